@@ -129,13 +129,19 @@ def quantiles(
     are narrower near the lower end, where error scores crowd. Columns: ``keys``, ``probability``,
     ``quantile``.
     """
+    if not keys:
+        return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probabilities, bins=bins).drop(
+            "_all"
+        )
     known = df.select(*keys, value).filter(F.col(value).isNotNull())
     limits = known.groupBy(*keys).agg(
         F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_n")
     )
     # sqrt is correctly rounded everywhere, so every branch of the plan gets the same bins.
     share = F.coalesce(F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    binned = _join_on(known, limits, keys).withColumn(
+    if list(keys) == ["_all"]:
+        limits = F.broadcast(limits)  # exactly one row
+    binned = known.join(limits, list(keys)).withColumn(
         "_bin", F.least(F.floor(F.sqrt(F.sqrt(share)) * bins), F.lit(bins - 1)).cast("int")
     )
     counted = binned.groupBy(*keys, "_bin").agg(
@@ -153,8 +159,10 @@ def quantiles(
     )
     needed = ranks.select(*keys, "_bin").distinct()
     within = Window.partitionBy(*keys, "_bin").orderBy(value)
-    placed = _semi_on(binned.select(*keys, "_bin", value), needed, [*keys, "_bin"]).withColumn(
-        "_local", F.row_number().over(within) - 1
+    placed = (
+        binned.select(*keys, "_bin", value)
+        .join(needed, [*keys, "_bin"], "left_semi")
+        .withColumn("_local", F.row_number().over(within) - 1)
     )
     hits = placed.join(
         ranks.select(*keys, "_bin", "_local", "probability", "_at", "_rank"), [*keys, "_bin", "_local"]
@@ -166,11 +174,3 @@ def quantiles(
         (low + (high - low) * F.first(fraction)).alias("quantile")
     )
 
-
-def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Equi-join, or a join to a single row when there are no keys."""
-    return left.join(right, list(keys)) if keys else left.crossJoin(F.broadcast(right))
-
-
-def _semi_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return left.join(right, list(keys), "left_semi")
