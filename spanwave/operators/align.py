@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from spanwave.functions import times
 from spanwave.operators import conditioning, joins, sequence
+from spanwave.session import cut_lineage
 
 KEY = "event_id"
 
@@ -58,21 +59,16 @@ def _first_samples_at_or_after(samples: DataFrame, slots: int, tile: str) -> Dat
     values = {name: F.when(F.col("slot") == i, packed) for i, name in enumerate(_names(slots), start=1)}
     # At equal times the reference row must come first, so that it sees the sample beside it.
     order = ["timestamp_utc", (F.col("slot") != 0).cast("int"), "sample_index", "slot"]
-    filled = sequence.fill_forward(samples, [KEY], order, tile, values, backward=True)
-    present = samples.groupBy(KEY).agg(F.collect_set("slot").alias("present"))
-    return (
-        filled.filter(F.col("slot") == 0)
-        .join(present, KEY)
-        .select(
-            KEY,
-            tile,
-            "timestamp_utc",
-            "sample_index",
-            "present",
-            *[F.col(f"{n}.timestamp_utc").alias(f"{n}_at") for n in values],
-            *[F.col(f"{n}.tile").alias(f"{n}_tile") for n in values],
-            F.array("value", *[F.col(f"{n}.value") for n in values]).alias("values"),
-        )
+    filled = sequence.fill_forward(samples, [KEY], order, tile, values, backward=True, presence=True)
+    return filled.filter(F.col("slot") == 0).select(
+        KEY,
+        tile,
+        "timestamp_utc",
+        "sample_index",
+        *[F.col(f"{n}_present") for n in values],
+        *[F.col(f"{n}.timestamp_utc").alias(f"{n}_at") for n in values],
+        *[F.col(f"{n}.tile").alias(f"{n}_tile") for n in values],
+        F.array("value", *[F.col(f"{n}.value") for n in values]).alias("values"),
     )
 
 
@@ -100,7 +96,7 @@ def _judge_within_tiles(rows: DataFrame, slots: int, tile: str) -> DataFrame:
         )
         verdict = (
             F.when(before == 0, 0)
-            .when(~F.array_contains("present", F.lit(level)), before)
+            .when(~F.col(f"{name}_present"), before)
             .when(sample.isNull(), 0)
             .when(inside, before)
             .when(sample >= F.col("_sure"), 0)
@@ -113,26 +109,21 @@ def _judge_within_tiles(rows: DataFrame, slots: int, tile: str) -> DataFrame:
 
 
 def _judge_across_tiles(judged: DataFrame, slots: int, tile: str) -> DataFrame:
-    levels = range(slots)
+    names = _names(slots)
     # The first row of a tile that is sure to survive each level stands for the tile.
     firsts = [
-        F.min(F.when(F.col(f"_alive_{i}") == 1, F.col("timestamp_utc"))).alias(f"_first_{i}") for i in levels
+        F.min(F.when(F.col(f"_alive_{i}") == 1, F.col("timestamp_utc"))).alias(f"_first_{i}")
+        for i in range(slots)
     ]
-    undecided_events = judged.filter("_open").select(KEY).distinct()
-    markers = judged.groupBy(KEY, tile).agg(*firsts).join(undecided_events, KEY, "left_semi")
-    open_rows = judged.filter("_open").select(
-        KEY,
-        tile,
-        "timestamp_utc",
-        "sample_index",
-        "present",
-        "values",
-        "_open",
-        *[f"{n}_at" for n in _names(slots)],
-    )
-    rows = open_rows.unionByName(
-        markers.withColumn("_open", F.lit(False)), allowMissingColumns=True
+    row = F.struct(
+        "timestamp_utc", "sample_index", "values", *[f"{n}_at" for n in names], *[f"{n}_present" for n in names]
     )
+    # One row per tile: its marker and its undecided rows, the last few of the tile.
+    per_tile = judged.groupBy(KEY, tile).agg(*firsts, F.collect_list(F.when(F.col("_open"), row)).alias("_late"))
+    marker = F.array(F.lit(None).cast(judged.select(row.alias("r")).schema["r"].dataType))
+    rows = per_tile.select(
+        KEY, tile, *[f"_first_{i}" for i in range(slots)], F.explode(F.concat(marker, "_late")).alias("_row")
+    ).select(KEY, tile, *[f"_first_{i}" for i in range(slots)], F.col("_row").isNotNull().alias("_open"), "_row.*")
     later = (
         Window.partitionBy(KEY)
         .orderBy(
@@ -148,8 +139,7 @@ def _judge_across_tiles(judged: DataFrame, slots: int, tile: str) -> DataFrame:
         out = out.withColumn("_next", F.last(stands, ignorenulls=True).over(later))
         sample = F.col(f"{name}_at")
         hit = sample.isNotNull() & (F.col("_next").isNull() | (sample < F.col("_next")))
-        absent = ~F.array_contains("present", F.lit(level))
-        out = out.withColumn("_on", F.col("_on") & (absent | hit)).drop("_next")
+        out = out.withColumn("_on", F.col("_on") & (~F.col(f"{name}_present") | hit)).drop("_next")
     return out.filter(F.col("_open") & F.col("_on")).select(
         KEY, tile, "timestamp_utc", "sample_index", "values"
     )
@@ -224,6 +214,6 @@ def timestamp_query(
     indexed = sequence.ordinal(
         sliced, [KEY, "sensor_name"], ["timestamp_utc", "row_1based"], "tile", "sample_index"
     )
-    zeroed = conditioning.zero_waveforms(indexed, [KEY, "sensor_name"], method=zeroing)
+    zeroed = conditioning.zero_waveforms(cut_lineage(indexed), [KEY, "sensor_name"], method=zeroing)
     slotted = zeroed.join(sensors.select(KEY, "sensor_name", "slot"), [KEY, "sensor_name"])
     return aligned_long(align(slotted, slots), sensors)

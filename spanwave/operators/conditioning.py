@@ -9,11 +9,12 @@ starts from. This equals filtering the waveform in one piece.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanwave.functions import naming
@@ -25,14 +26,21 @@ STEP = 64
 
 
 def zero_waveforms(
-    samples: DataFrame, keys: Sequence[str], *, method: str = "linear_endpoints", value: str = "value"
+    samples: DataFrame,
+    keys: Sequence[str],
+    *,
+    method: str = "linear_endpoints",
+    value: str = "value",
+    where: Column | None = None,
 ) -> DataFrame:
-    """Subtract from each waveform the straight line between its end values, by sample index."""
-    if method not in ZEROING_METHODS:
-        raise ValueError(f"unsupported zeroing method {method!r}; use one of {ZEROING_METHODS}")
-    if method == "none":
+    """Subtract from each waveform the straight line between its end values, by sample index.
+
+    Waveforms outside ``where`` (a condition on ``keys``) pass unchanged.
+    """
+    if _checked(method) == "none":
         return samples
-    ends = samples.groupBy(*keys).agg(
+    chosen = samples if where is None else samples.filter(where)
+    ends = chosen.groupBy(*keys).agg(
         F.min_by(value, "sample_index").alias("_first"),
         F.max_by(value, "sample_index").alias("_last"),
         F.max("sample_index").alias("_steps"),
@@ -41,8 +49,8 @@ def zero_waveforms(
     at_end = (F.col("sample_index") == F.col("_steps")) & (F.col("_steps") > 0)
     baseline = F.when(at_end, F.col("_last")).otherwise(F.col("_first") + F.col("sample_index") * step)
     return (
-        samples.join(ends, list(keys))
-        .withColumn(value, F.col(value) - baseline)
+        samples.join(ends, list(keys), "left")
+        .withColumn(value, F.col(value) - F.coalesce(baseline, F.lit(0.0)))
         .drop("_first", "_last", "_steps")
     )
 
@@ -287,14 +295,24 @@ def condition(
     parts = naming.sensor_parts(F.col("sensor_name"))
     is_acc_z = F.coalesce((parts["quantity"] == "ACC") & (parts["axis"] == "Z"), F.lit(False))
     is_strain = F.coalesce(parts["quantity"] == "STR", F.lit(False))
-    columns = [*keys, "sample_index", "value"]
-    clean = samples.select(
-        *keys, "sample_index", F.coalesce(F.when(~F.isnan("value"), F.col("value")), F.lit(0.0)).alias("value")
+    clean = samples.withColumn(
+        "value", F.coalesce(F.when(~F.isnan("value"), F.col("value")), F.lit(0.0))
     )
-    acc = clean.filter(is_acc_z)
     if acc_filter != "none":
-        acc = bandpass(acc, keys, **band)
-    acc = zero_waveforms(acc, keys, method=acc_zeroing)
-    strain = zero_waveforms(clean.filter(is_strain), keys, method=strain_zeroing)
-    rest = clean.filter(~is_acc_z & ~is_strain)
-    return acc.select(columns).unionByName(strain.select(columns)).unionByName(rest.select(columns))
+        acc = clean.filter(is_acc_z)
+        filtered = acc.drop("value").join(bandpass(acc, keys, **band), [*keys, "sample_index"])
+        clean = clean.filter(~is_acc_z).unionByName(filtered)
+    zeroed_kinds = [
+        kind
+        for kind, method in ((is_acc_z, acc_zeroing), (is_strain, strain_zeroing))
+        if _checked(method) != "none"
+    ]
+    if not zeroed_kinds:
+        return clean
+    return zero_waveforms(clean, keys, where=reduce(Column.__or__, zeroed_kinds))
+
+
+def _checked(method: str) -> str:
+    if method not in ZEROING_METHODS:
+        raise ValueError(f"unsupported zeroing method {method!r}; use one of {ZEROING_METHODS}")
+    return method

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanwave.functions import naming, numbers
 from spanwave.operators import sequence
+from spanwave.session import cut_lineage
 
 GROUP = ["set_name", "deck"]
 
@@ -29,8 +30,9 @@ def candidate_events(channel_rows: DataFrame, *, require_full_channel_set: bool
     expected = channel_rows.groupBy(*GROUP).agg(
         F.array_sort(F.collect_set("sensor_name")).alias("expected_channels")
     )
-    per_event = channel_rows.groupBy(*GROUP, "event_id", "start_time_utc").agg(
-        F.array_sort(F.collect_set("sensor_name")).alias("channels")
+    per_event = channel_rows.groupBy(*GROUP, "event_id").agg(
+        F.min("start_time_utc").alias("start_time_utc"),
+        F.array_sort(F.collect_set("sensor_name")).alias("channels"),
     )
     joined = per_event.join(expected, GROUP).filter(F.size("channels") >= 2)
     return (
@@ -81,8 +83,8 @@ def event_matrices(
 ) -> DataFrame:
     """Samples of the selected events on the common channels, rows with a gap removed.
 
-    Rows are renumbered from 0 per event and ``channel_index`` follows channel order. Events with
-    fewer than two full rows, and groups with fewer than two channels or too few events, drop out.
+    One result row per sample: its number from 0 in the event and ``values`` by channel order. Events
+    with fewer than two full rows, and groups with fewer than two channels or too few events, drop out.
     """
     by_name = Window.partitionBy(*GROUP).orderBy("sensor_name")
     everyone = Window.partitionBy(*GROUP)
@@ -96,31 +98,32 @@ def event_matrices(
         .join(selected.select(*GROUP, "event_id"), [*GROUP, "event_id"], "left_semi")
         .join(numbered, [*GROUP, "sensor_name"])
     )
+    channel = F.struct("channel_index", "value")
     full = (
         rows.groupBy(*GROUP, "event_id", "sample_index", "channel_count")
-        .agg(F.count(F.lit(1)).alias("_have"), F.min(tile).alias("_tile"))
-        .filter(F.col("_have") == F.col("channel_count"))
+        .agg(F.array_sort(F.collect_list(channel)).alias("_c"), F.min(tile).alias("_tile"))
+        .filter(F.size("_c") == F.col("channel_count"))
+        .withColumn("values", F.col("_c.value"))
+        .drop("_c")
     )
-    renumbered = sequence.ordinal(full, [*GROUP, "event_id"], ["sample_index"], "_tile", "row")
-    sizes = (
-        renumbered.groupBy(*GROUP, "event_id")
-        .agg(F.count(F.lit(1)).alias("row_count"))
-        .filter(F.col("row_count") >= 2)
+    numbered_rows = sequence.ordinal(
+        full, [*GROUP, "event_id"], ["sample_index"], "_tile", "row", size="row_count"
+    ).filter(F.col("row_count") >= 2)
+    enough = (
+        full.groupBy(*GROUP, "event_id")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .filter(F.col("_rows") >= 2)
+        .groupBy(*GROUP)
+        .agg(F.count(F.lit(1)).alias("event_count"))
+        .filter(F.col("event_count") >= min_common_events)
     )
-    enough = sizes.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("event_count")).filter(
-        F.col("event_count") >= min_common_events
-    )
-    kept = renumbered.join(sizes, [*GROUP, "event_id"]).join(enough, GROUP)
-    return rows.select(
-        *GROUP, "event_id", "sample_index", "sensor_name", "channel_index", "value"
-    ).join(
-        kept.select(*GROUP, "event_id", "sample_index", "row", "row_count", "event_count", "channel_count"),
-        [*GROUP, "event_id", "sample_index"],
+    return numbered_rows.join(enough, GROUP).select(
+        *GROUP, "event_id", "row", "row_count", "event_count", "channel_count", "values"
     )
 
 
 def segments(matrices: DataFrame, *, nperseg: int = 1024, noverlap: int = 512) -> DataFrame:
-    """Cut each event into overlapping segments; one row per segment with its channels as arrays.
+    """Cut each event into overlapping segments; one row per segment, ``x`` its rows of channel values.
 
     A sample joins every segment that covers it (two for half overlap). Events shorter than
     ``nperseg`` make one segment of their own length.
@@ -130,25 +133,22 @@ def segments(matrices: DataFrame, *, nperseg: int = 1024, noverlap: int = 512) -
     count = F.floor((F.col("row_count") - size) / step) + 1
     low = F.greatest(F.ceil((F.col("row") - size + 1) / step), F.lit(0))
     high = F.least(F.floor(F.col("row") / step), count - 1)
-    covering = F.when(high >= low, F.sequence(low, high))
-    placed = matrices.select(
-        *GROUP,
-        "event_id",
-        "channel_index",
-        "row",
-        "value",
-        "event_count",
-        size.alias("segment_length"),
-        count.alias("segment_count"),
-        F.explode(covering).alias("segment"),
-    )
     keys = [*GROUP, "event_id", "segment", "segment_length", "segment_count", "event_count"]
-    lines = placed.groupBy(*keys, "channel_index").agg(
-        F.array_sort(F.collect_list(F.struct("row", "value"))).alias("_x")
+    return (
+        matrices.select(
+            *GROUP,
+            "event_id",
+            "row",
+            "values",
+            "event_count",
+            size.alias("segment_length"),
+            count.alias("segment_count"),
+            F.explode(F.when(high >= low, F.sequence(low, high))).alias("segment"),
+        )
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(F.struct("row", "values"))).alias("_x"))
+        .select(*keys, F.col("_x.values").alias("x"))
     )
-    return lines.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("channel_index", F.col("_x.value").alias("x")))).alias("_c")
-    ).select(*keys, F.col("_c.x").alias("x"))
 
 
 def spectral_density(segmented: DataFrame, *, sampling_rate_hz: float = 100.0) -> DataFrame:
@@ -172,7 +172,7 @@ def spectral_density(segmented: DataFrame, *, sampling_rate_hz: float = 100.0) -
         sums: dict[tuple, np.ndarray] = {}
         for batch in batches:
             for row in batch.itertuples(index=False):
-                x = np.stack([np.asarray(c, dtype=float) for c in row.x])
+                x = np.stack([np.asarray(r, dtype=float) for r in row.x]).T
                 window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(x.shape[1]) / x.shape[1])
                 z = np.fft.rfft(x * window, axis=1) / window.sum()
                 cross = np.einsum("if,jf->fij", z, z.conj()) / (row.segment_count * row.event_count)
@@ -411,6 +411,6 @@ def run(
     density = spectral_density(
         segments(matrices, nperseg=nperseg, noverlap=noverlap), sampling_rate_hz=sampling_rate_hz
     )
-    modes = decompose(density)
+    modes = cut_lineage(decompose(density))
     table = peaks(first_curve(modes), low_hz=low_hz, high_hz=high_hz, n_peaks=n_peaks)
     return table, annotate_locations(mode_shapes(table, modes), channels)

@@ -20,15 +20,26 @@ def _before(keys: Sequence[str], tile: str):
 
 
 def ordinal(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], tile: str, name: str = "ordinal"
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    tile: str,
+    name: str = "ordinal",
+    *,
+    size: str | None = None,
 ) -> DataFrame:
-    """Add the 0-based position of each row in its group. ``tile`` must not decrease along ``order``."""
+    """Add the 0-based position of each row in its group, and the group's row count as ``size``.
+
+    ``tile`` must not decrease along ``order``.
+    """
     sizes = (
         df.groupBy(*keys, tile)
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_base", F.coalesce(F.sum("_n").over(_before(keys, tile)), F.lit(0)))
-        .drop("_n")
     )
+    if size is not None:
+        sizes = sizes.withColumn(size, F.sum("_n").over(Window.partitionBy(*keys)))
+    sizes = sizes.drop("_n")
     local = Window.partitionBy(*keys, tile).orderBy(*order)
     return (
         df.withColumn("_local", F.row_number().over(local) - 1)
@@ -46,11 +57,13 @@ def fill_forward(
     values: dict[str, Column],
     *,
     backward: bool = False,
+    presence: bool = False,
 ) -> DataFrame:
     """Add, per row, the latest non-NULL of each value at or before it in its group.
 
-    With ``backward`` the nearest non-NULL at or after the row. ``order`` must be unique per
-    group for a fixed result.
+    With ``backward`` the nearest non-NULL at or after the row. With ``presence`` also
+    ``<name>_present``, whether the group holds the value at all. ``order`` must be unique per group
+    for a fixed result.
     """
     sorting = [F.col(c) if isinstance(c, str) else c for c in order]
     place = F.struct(*sorting)
@@ -75,9 +88,13 @@ def fill_forward(
         *keys,
         tile,
         *[F.last(f"_edge_{n}", ignorenulls=True).over(across).alias(f"_carry_{n}") for n in values],
+        *[
+            F.max(F.col(f"_edge_{n}").isNotNull()).over(Window.partitionBy(*keys)).alias(f"{n}_present")
+            for n in values
+            if presence
+        ],
     )
-    filled = df
-    filled = filled.withColumns(
+    filled = df.withColumns(
         {f"_seen_{n}": F.last(v, ignorenulls=True).over(within) for n, v in values.items()}
     )
     joined = filled.join(carries, [*keys, tile])

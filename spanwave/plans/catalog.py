@@ -1,6 +1,6 @@
 """All registered queries, imported for their registration."""
 
-from spanwave.plans import event_queries  # noqa: F401
+from spanwave.plans import event_queries, feature_queries, signal_queries  # noqa: F401
 from spanwave.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "waveform_features"

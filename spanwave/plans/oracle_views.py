@@ -123,7 +123,7 @@ VIEWS["waveforms"] = (
     FROM readings
     """,
 )
-VIEWS["positional"] = (
+VIEWS["pos_rows"] = (
     ("waveforms",),
     """
     SELECT w.*, n.n AS row_count FROM waveforms w JOIN (
