@@ -123,12 +123,12 @@ def _judge_across_tiles(judged: DataFrame, slots: int, tile: str) -> DataFrame:
     marker = F.array(F.lit(None).cast(judged.select(row.alias("r")).schema["r"].dataType))
     rows = per_tile.select(
         KEY, tile, *[f"_first_{i}" for i in range(slots)], F.explode(F.concat(marker, "_late")).alias("_row")
-    ).select(KEY, tile, *[f"_first_{i}" for i in range(slots)], F.col("_row").isNotNull().alias("_open"), "_row.*")
+    ).select(KEY, tile, *[f"_first_{i}" for i in range(slots)], F.col("_row").isNotNull().alias("_open"), "_row.*").withColumn(
+        "_marker", (~F.col("_open")).cast("int")
+    )
     later = (
         Window.partitionBy(KEY)
-        .orderBy(
-            F.desc(tile), F.desc(F.col("_open").cast("int")), F.desc("timestamp_utc"), F.desc("sample_index")
-        )
+        .orderBy(F.desc(tile), "_marker", F.desc("timestamp_utc"), F.desc("sample_index"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     out = rows.withColumn("_on", F.col("_open"))

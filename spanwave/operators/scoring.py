@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwave.functions import naming, numbers
+from spanwave.functions import naming
 from spanwave.operators import sequence
 
 # Share of each modality in the total error.
@@ -350,11 +352,12 @@ def project(model: PCAModel, values: DataFrame) -> DataFrame:
 def reconstruct(model: PCAModel, projected: DataFrame) -> DataFrame:
     """Add ``reconstruction``, the latent coordinates mapped back by the fitted axes."""
     axes = model.pc.toArray()  # positions x k, both fixed by the tensor shape
-    rows = F.array(*[F.array(*[F.lit(float(c)) for c in row]) for row in axes])
-    dot = lambda row: F.aggregate(
-        F.zip_with(row, F.col("latent"), lambda a, b: a * b), F.lit(0.0), lambda t, e: t + e
-    )
-    return projected.withColumn("reconstruction", F.transform(rows, dot))
+
+    @F.pandas_udf("array<double>")
+    def back(latent: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(latent.to_list()) @ axes.T)) if len(latent) else pd.Series([], dtype=object)
+
+    return projected.withColumn("reconstruction", back("latent"))
 
 
 def centre(values: DataFrame, reference: Column, width: int) -> DataFrame:

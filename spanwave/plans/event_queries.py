@@ -9,6 +9,7 @@ from spanwave.functions import naming, numbers, times
 from spanwave.operators import events, joins, overview
 from spanwave.plans.oracle_views import iso, part, rnd, token, with_views
 from spanwave.plans.registry import query, tidy
+from spanwave.session import cut_lineage
 from spanwave.sources import tables
 
 EXCLUSIONS = [
@@ -543,7 +544,7 @@ def discarded_event_sensors(spark, folder):
 )
 def resolved_event_records(spark, folder):
     """Records found again by id, by exact window, or by start, whichever step first suffices."""
-    rows = events.included_records(annotated(spark, folder))
+    rows = cut_lineage(events.included_records(annotated(spark, folder)))
     found = events.group_events(rows)
     day = F.dayofmonth("start_time_utc")
     requests = found.select(

@@ -433,9 +433,9 @@ def raw_record_decomposition(spark, folder):
     selected = cut_lineage(modal.first_events(candidates, MAX_EVENTS))
     channels = modal.common_channels(selected)
     chosen = waves.join(selected.select("event_id"), "event_id", "left_semi")
-    even = joins.positional_rows(chosen, ["event_id"])
+    even = cut_lineage(joins.positional_rows(chosen, ["event_id"]))
     filtered = conditioning.bandpass(even, KEYS)
-    signal = even.drop("value").join(filtered, [*KEYS, "sample_index"])
+    signal = cut_lineage(even.drop("value").join(filtered, [*KEYS, "sample_index"]))
     matrices = modal.event_matrices(signal, selected, channels).filter(F.col("row_count") >= SEGMENT)
     table, located = modal.run(matrices, channels, nperseg=SEGMENT, noverlap=OVERLAP, n_peaks=3, high_hz=45.0)
     return tidy(located.select("set_name", "deck", "peak_rank", "sensor_name", "frequency_hz", "mode_shape_amplitude"))

@@ -59,7 +59,7 @@ VIEWS["records"] = (
     SELECT set_name, deck, sensor_name, raw_file,
            row_number() OVER (PARTITION BY set_name, sensor_name ORDER BY window_start) AS record_uid,
            start_row_1based, end_row_1based, window_start AS start_time_utc, end_time_utc,
-           (epoch_us(end_time_utc) - epoch_us(window_start)) / 1e6 AS duration,
+           ((epoch_us(end_time_utc) - epoch_us(window_start)) // 1000) / 1e3 AS duration,
            start_value, end_value, end_value - start_value AS diff_value, min_value, max_value, mean_value,
            max_value - min_value AS range_value, temperature,
            dense_rank() OVER (PARTITION BY set_name ORDER BY sensor_name) AS sensor_order

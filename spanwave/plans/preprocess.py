@@ -52,19 +52,22 @@ def build(
 ) -> Result:
     """Group, select, discard, slice, condition and align.
 
-    The sliced and the aligned samples are written to the checkpoint folder on the way, so that the
+    The annotated records, the sliced and the aligned samples are written to the checkpoint folder on the way, so that the
     tables built from them share one computation and a lost executor costs a re-read.
 
     Events that fail the sensor rule never reach the samples. ``slots`` may be passed when the
     number of sensors per event is known, which saves the small job that counts them.
     """
     ordered = events.add_sensor_order(records)
-    annotated = events.annotate_records(
-        events.assign_event_groups(ordered, settings.grouping_method),
-        decks=settings.decks,
-        strain_locations=settings.strain_locations,
-        acc_axis=settings.acc_axis,
-        exclusions=exclusions,
+    # The record table is thousands of times smaller than the samples and every step reads it.
+    annotated = cut_lineage(
+        events.annotate_records(
+            events.assign_event_groups(ordered, settings.grouping_method),
+            decks=settings.decks,
+            strain_locations=settings.strain_locations,
+            acc_axis=settings.acc_axis,
+            exclusions=exclusions,
+        )
     )
     included = events.included_records(annotated)
     found = events.group_events(included)

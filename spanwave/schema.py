@@ -6,8 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "float": T.FloatType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(),
+    "array<string>": T.ArrayType(T.StringType()),
+}
+
+
+def _table(columns: str) -> T.StructType:
+    """A schema from ``name type`` pairs; needs no running session."""
+    pairs = (column.split() for column in columns.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
 # Stage table columns, in storage order.
-EVENTS = T.StructType.fromDDL(
+EVENTS = _table(
     "event_id string, set_name string, deck string, start_time_utc timestamp, end_time_utc timestamp, "
     "active_sensor_count bigint, active_sensors array<string>, excluded_sensor_count bigint, "
     "excluded_sensors array<string>, excluded_sensor_reasons array<string>, reference_sensor string, "
@@ -15,7 +33,7 @@ EVENTS = T.StructType.fromDDL(
     "discard_reason string, zeroing_method string"
 )
 
-EVENT_SENSORS = T.StructType.fromDDL(
+EVENT_SENSORS = _table(
     "event_id string, set_name string, deck string, sensor_name string, sensor_order int, "
     "sensor_status string, exclusion_reason string, exclusion_source string, is_reference int, "
     "record_uid bigint, raw_file string, start_row_1based bigint, end_row_1based bigint, "
@@ -24,17 +42,19 @@ EVENT_SENSORS = T.StructType.fromDDL(
     "mean_value double, range_value double"
 )
 
-ALIGNED_SAMPLES = T.StructType.fromDDL(
+ALIGNED_SAMPLES = _table(
     "event_id string, set_name string, deck string, sensor_name string, sample_index bigint, "
     "timestamp_utc timestamp, value double"
 )
 
-SENSORS = T.StructType.fromDDL(
+STORED_SAMPLES = T.StructType([*ALIGNED_SAMPLES.fields[:-1], T.StructField("value", T.FloatType())])
+
+SENSORS = _table(
     "sensor_name string, deck string, span string, side string, location string, "
     "quantity string, axis string"
 )
 
-INDEX_COLUMNS = T.StructType.fromDDL(
+INDEX_COLUMNS = _table(
     "Record_UID bigint, File string, Start_Row bigint, End_Row bigint, Start_Time string, "
     "End_Time string, Duration double, Start_Value double, End_Value double, Diff_Value double, "
     "Min_Value double, Max_Value double, Mean_Value double, Range double, Temperature double, Tag string"

@@ -109,7 +109,8 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
         end_row.alias("end_row_1based"),
         F.col("window_start").alias("start_time_utc"),
         "end_time_utc",
-        times.seconds_between(F.col("window_start"), F.col("end_time_utc")).alias("duration"),
+        # Whole milliseconds, the precision of stored times.
+        (F.floor((F.unix_micros("end_time_utc") - F.unix_micros("window_start")) / 1000) / 1000).alias("duration"),
         "start_value",
         "end_value",
         (F.col("end_value") - F.col("start_value")).alias("diff_value"),
