@@ -1,9 +1,9 @@
 """Signal conditioning: endpoint baseline removal and zero-phase band-pass filtering.
 
-The filter is recursive over a whole waveform. Waveforms are cut into blocks of bounded length;
-each block is filtered from rest, the states at the block seams follow from a small linear
-recursion over one state vector per block, and each block then adds its response to the state it
-starts from. This equals filtering the waveform in one piece.
+The filter is recursive over a whole waveform, but forgets: after a fixed number of samples the
+effect of earlier input is below double precision. Waveforms are cut into blocks of bounded length,
+each block takes that many neighbouring samples along on both sides, and the blocks are filtered
+independently. Only the true ends of a waveform get the odd extension and the steady-state start.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from spanwave.functions import naming
 
 ZEROING_METHODS = ("none", "linear_endpoints")
 FILTER_METHODS = ("none", "butterworth_bandpass")
-BLOCK = 16384
+BLOCK = 65536
 STEP = 64
 
 
@@ -95,8 +95,24 @@ def pad_length(sections: np.ndarray) -> int:
     return 3 * (2 * len(sections) + 1 - at_origin)
 
 
+def halo_length(sections: np.ndarray) -> int:
+    """Samples after which the filter has forgotten any earlier input, to below double precision."""
+    slowest = max(abs(np.roots(s[3:])).max() for s in sections)
+    return int(-(-np.log(1e-18) / np.log(slowest) // STEP) * STEP)
+
+
+def _steady_state(sections: np.ndarray) -> np.ndarray:
+    """State of the cascade after a long constant input of 1."""
+    level, states = 1.0, []
+    for b0, b1, b2, _, a1, a2 in sections:
+        gain = (b0 + b1 + b2) / (1 + a1 + a2)
+        states += [level * (gain - b0), level * (b2 - a2 * gain)]
+        level *= gain
+    return np.array(states)
+
+
 def _run(sections: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Run the cascade over the last axis of ``x`` (waveforms, samples); state is (waveforms, 2S)."""
+    """Run the cascade over the last axis of ``x`` (rows, samples); state is (rows, 2 per section)."""
     y, state = x.astype(float).copy(), state.copy()
     for s, (b0, b1, b2, _, a1, a2) in enumerate(sections):
         first, second = state[:, 2 * s].copy(), state[:, 2 * s + 1].copy()
@@ -109,16 +125,6 @@ def _run(sections: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.nda
     return y, state
 
 
-def _steady_state(sections: np.ndarray) -> np.ndarray:
-    """State of the cascade after a long constant input of 1."""
-    level, states = 1.0, []
-    for b0, b1, b2, _, a1, a2 in sections:
-        gain = (b0 + b1 + b2) / (1 + a1 + a2)
-        states += [level * (gain - b0), level * (b2 - a2 * gain)]
-        level *= gain
-    return np.array(states)
-
-
 class _Kernel(NamedTuple):
     """The cascade over ``STEP`` samples at once, as matrices."""
 
@@ -126,6 +132,7 @@ class _Kernel(NamedTuple):
     push: np.ndarray  # samples in -> state out
     free: np.ndarray  # state in -> samples out
     carry: np.ndarray  # state in -> state out
+    steady: np.ndarray
 
 
 def _kernel(sections: np.ndarray) -> _Kernel:
@@ -136,21 +143,31 @@ def _kernel(sections: np.ndarray) -> _Kernel:
         [_run(sections, np.eye(1, STEP - j), np.zeros((1, size)))[1][0] for j in range(STEP)]
     )
     free, carry = _run(sections, np.zeros((size, STEP)), np.eye(size))
-    return _Kernel(response, push, free, carry)
+    return _Kernel(response, push, free, carry, _steady_state(sections))
 
 
-def _filter(kernel: _Kernel, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Output and final state; the state is exact for lengths that are multiples of ``STEP``."""
+def _one_way(kernel: _Kernel, x: np.ndarray, settled: bool) -> np.ndarray:
+    """One causal pass, from the steady state of the first sample when ``settled``, else from rest."""
     rows = -(-len(x) // STEP)
     grid = np.zeros(rows * STEP)
     grid[: len(x)] = x
     grid = grid.reshape(rows, STEP)
     pushes = grid @ kernel.push
     starts = np.empty_like(pushes)
+    state = kernel.steady * (x[0] if settled else 0.0)
     for r in range(rows):
         starts[r] = state
         state = state @ kernel.carry + pushes[r]
-    return (grid @ kernel.response + starts @ kernel.free).ravel()[: len(x)], state
+    return (grid @ kernel.response + starts @ kernel.free).ravel()[: len(x)]
+
+
+def _zero_phase(kernel: _Kernel, x: np.ndarray, pad: int, at_start: bool, at_end: bool) -> np.ndarray:
+    """Filter forward and back; true ends of the waveform are extended by point reflection."""
+    left = 2 * x[0] - x[pad:0:-1] if at_start else x[:0]
+    right = 2 * x[-1] - x[-2 : -pad - 2 : -1] if at_end else x[:0]
+    forward = _one_way(kernel, np.concatenate([left, x, right]), at_start)
+    back = _one_way(kernel, forward[::-1], at_end)[::-1]
+    return back[len(left) : len(left) + len(x)]
 
 
 def bandpass(
@@ -167,115 +184,58 @@ def bandpass(
     """Zero-phase band-pass over each waveform of ``(keys, sample_index, value)``.
 
     Missing values count as 0. Waveforms not longer than the padding come back unfiltered. The
-    result holds ``keys, sample_index`` and the filtered value.
+    result holds ``keys, sample_index`` and the filtered value. One shuffle, by (keys, block).
     """
     sections = butterworth_sections(order, low_hz, high_hz, sampling_rate_hz)
-    pad = pad_length(sections)
-    if block % STEP:
-        raise ValueError(f"block must be a multiple of {STEP} samples")
+    pad, halo, kernel = pad_length(sections), halo_length(sections), _kernel(sections)
+    if block < halo or halo < pad:
+        raise ValueError(f"block must hold at least the halo of {halo} samples")
     keys = list(keys)
-    clean = samples.select(
-        *keys,
-        "sample_index",
-        F.coalesce(F.when(~F.isnan(value), F.col(value)), F.lit(0.0)).alias(value),
+    key_types = ", ".join(
+        f"`{f.name}` {f.dataType.simpleString()}" for f in samples.select(*keys).schema.fields
     )
-    extended = _odd_extension(clean, keys, pad, value)
-    forward = _filter_blocks(extended, keys, sections, block, value)
-    # The second pass runs over the mirrored result; position n-1-i of a pass is position i of the next.
-    mirrored = forward.withColumn("_at", F.col("_n") - 1 - F.col("_at"))
-    both = _filter_blocks(mirrored, keys, sections, block, value)
-    restored = both.select(
-        *keys, (F.col("_n") - 1 - F.col("_at") - pad).alias("sample_index"), F.col(value), F.col("_n")
-    ).filter((F.col("sample_index") >= 0) & (F.col("sample_index") < F.col("_n") - 2 * pad))
-    lengths = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("_len"))
-    short = clean.join(lengths.filter(F.col("_len") <= pad), keys, "left_semi")
-    return restored.drop("_n").unionByName(short)
-
-
-def _odd_extension(samples: DataFrame, keys: list[str], pad: int, value: str) -> DataFrame:
-    """Waveforms longer than ``pad``, extended at both ends by point reflection; ``_at`` counts from 0."""
-    ends = (
-        samples.groupBy(*keys)
-        .agg(
-            F.min_by(value, "sample_index").alias("_first"),
-            F.max_by(value, "sample_index").alias("_last"),
-            F.count(F.lit(1)).alias("_len"),
-        )
-        .filter(F.col("_len") > pad)
+    i = F.col("sample_index")
+    own = F.floor(i / F.lit(block))
+    place = F.pmod(i, F.lit(block))
+    copies = F.filter(
+        F.array(
+            own,
+            F.when((place < halo) & (own > 0), own - 1),
+            F.when(place >= block - halo, own + 1),
+        ),
+        lambda b: b.isNotNull(),
     )
-    i, n = F.col("sample_index"), F.col("_len")
-    here = F.struct((i + pad).alias("at"), F.col(value).alias("v"))
-    left = F.struct((F.lit(pad) - i).alias("at"), (2 * F.col("_first") - F.col(value)).alias("v"))
-    right = F.struct(
-        (pad + 2 * (n - 1) - i).alias("at"), (2 * F.col("_last") - F.col(value)).alias("v")
-    )
-    near_start, near_end = i.between(1, pad), i.between(n - 1 - pad, n - 2)
-    copies = (
-        F.when(near_start & near_end, F.array(here, left, right))
-        .when(near_start, F.array(here, left))
-        .when(near_end, F.array(here, right))
-        .otherwise(F.array(here))
-    )
-    return samples.join(ends, keys).select(
-        *keys, F.explode(copies).alias("_c"), (n + 2 * pad).alias("_n")
-    ).select(*keys, F.col("_c.at").cast("bigint").alias("_at"), F.col("_c.v").alias(value), "_n")
-
-
-def _filter_blocks(
-    rows: DataFrame, keys: list[str], sections: np.ndarray, block: int, value: str
-) -> DataFrame:
-    """One causal pass, started in the steady state of the first sample."""
-    size = 2 * len(sections)
-    steady, kernel = _steady_state(sections), _kernel(sections)
-    over_block = np.linalg.matrix_power(kernel.carry, block // STEP)
-    key_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
-
+    clean = F.coalesce(F.when(~F.isnan(value), F.col(value)), F.lit(0.0))
     blocks = (
-        rows.withColumn("_block", F.floor(F.col("_at") / F.lit(block)))
-        .groupBy(*keys, "_n", "_block")
-        .agg(F.array_sort(F.collect_list(F.struct("_at", value))).alias("_rows"))
-        .withColumn("_x", F.col(f"_rows.{value}"))
-        .drop("_rows")
+        samples.select(*keys, "sample_index", clean.alias("_v"), F.explode(copies).alias("_block"))
+        .groupBy(*keys, "_block")
+        .agg(F.array_sort(F.collect_list(F.struct("sample_index", "_v"))).alias("_rows"))
+        .select(*keys, "_block", F.col("_rows._v").alias("_x"))
     )
 
-    def from_rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ends = [_filter(kernel, np.asarray(x), np.zeros(size))[1] for x in batch["_x"]]
-            yield batch.drop(columns="_x").assign(_end=ends, _x0=[float(x[0]) for x in batch["_x"]])
+    def filtered(start: int, x: np.ndarray) -> np.ndarray:
+        origin = max(start - halo, 0)
+        at_end = len(x) < start + block + halo - origin
+        if origin == 0 and at_end and len(x) <= pad:
+            return x
+        # A waveform that ends inside the block before leaves only halo samples here.
+        whole = _zero_phase(kernel, x, pad, origin == 0, at_end)
+        return whole[start - origin : start - origin + block]
 
-    ends = blocks.select(*keys, "_block", "_x").mapInPandas(
-        from_rest, f"{key_types}, `_block` bigint, `_end` array<double>, `_x0` double"
-    )
-
-    def seams(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_block")
-        state, starts = steady * group["_x0"].iloc[0], []
-        for end in group["_end"]:
-            starts.append(state)
-            state = state @ over_block + np.asarray(end)
-        return group[[*keys, "_block"]].assign(_start=starts)
-
-    # One row of a few numbers per block, so the recursion over a waveform's blocks stays small.
-    starts = ends.groupBy(*keys).applyInPandas(
-        seams, f"{key_types}, `_block` bigint, `_start` array<double>"
-    )
-
-    def from_start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = [
-                _filter(kernel, np.asarray(x), np.asarray(start))[0]
-                for x, start in zip(batch["_x"], batch["_start"], strict=True)
+                filtered(int(b) * block, np.asarray(x, dtype=float))
+                if len(x) > int(b) * block - max(int(b) * block - halo, 0)
+                else np.empty(0)
+                for b, x in zip(batch["_block"], batch["_x"], strict=True)
             ]
-            yield batch.drop(columns=["_x", "_start"]).assign(_y=out)
+            yield batch.drop(columns="_x").assign(_y=out)
 
-    filtered = (
-        blocks.join(starts, [*keys, "_block"])
-        .select(*keys, "_n", "_block", "_x", "_start")
-        .mapInPandas(from_start, f"{key_types}, `_n` bigint, `_block` bigint, `_y` array<double>")
-    )
-    return filtered.select(
-        *keys, "_n", (F.col("_block") * block).alias("_from"), F.posexplode("_y").alias("_i", value)
-    ).select(*keys, (F.col("_from") + F.col("_i")).alias("_at"), value, "_n")
+    done = blocks.mapInPandas(run, f"{key_types}, `_block` bigint, `_y` array<double>")
+    return done.select(
+        *keys, (F.col("_block") * block).alias("_from"), F.posexplode("_y").alias("_i", value)
+    ).select(*keys, (F.col("_from") + F.col("_i")).alias("sample_index"), value)
 
 
 def condition(

@@ -39,9 +39,9 @@ def assign_event_groups(records: DataFrame, method: str = "exact_window") -> Dat
     if method == "exact_window":
         grouped = records.withColumn("event_end_time_utc", F.col("end_time_utc"))
     else:
-        keys = ["set_name", "deck", "start_time_utc"]
-        latest = records.groupBy(*keys).agg(F.max("end_time_utc").alias("event_end_time_utc"))
-        grouped = records.join(latest, keys)
+        # One trigger gives each sensor of a deck one record, so these groups are short.
+        trigger = Window.partitionBy("set_name", "deck", "start_time_utc")
+        grouped = records.withColumn("event_end_time_utc", F.max("end_time_utc").over(trigger))
     return grouped.withColumn("event_start_time_utc", F.col("start_time_utc")).withColumn(
         "event_id",
         naming.event_id(

@@ -12,6 +12,8 @@ RUNTIME_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows that reach Python carry whole blocks of samples, so batches must stay short.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
 }
 
 

@@ -26,19 +26,20 @@ def test_band_errors(low, high):
         conditioning.butterworth_sections(4, low, high, 100.0)
 
 
-def test_blocked_filter_equals_one_piece(spark):
+@pytest.mark.parametrize("low, block", [(0.5, 65536), (8.0, 512), (8.0, 700)])
+def test_blocked_filter_equals_one_piece(spark, low, block):
     rng = np.random.default_rng(3)
-    waves = {f"w{n}": rng.normal(size=n).cumsum() for n in (5, 27, 28, 64, 100, 700)}
+    waves = {f"w{n}": rng.normal(size=n).cumsum() for n in (5, 27, 28, 64, 511, 512, 513, 1024, 1300, 2900)}
     rows = [(k, i, float(v)) for k, w in waves.items() for i, v in enumerate(w)]
     df = spark.createDataFrame(rows, "sensor_name string, sample_index bigint, value double")
-    sections = conditioning.butterworth_sections(4, 0.5, 20.0, 100.0)
-    for block in (64, 16384):
-        out = conditioning.bandpass(df, ["sensor_name"], block=block).toPandas()
-        for name, wave in waves.items():
-            got = out[out.sensor_name == name].sort_values("sample_index")
-            assert got.sample_index.tolist() == list(range(len(wave)))
-            want = reference_kernels.filter_both_ways(sections, wave, 27)
-            assert np.allclose(got["value"].to_numpy(), want, atol=1e-8)
+    sections = conditioning.butterworth_sections(4, low, 20.0, 100.0)
+    assert conditioning.halo_length(sections) <= block
+    out = conditioning.bandpass(df, ["sensor_name"], low_hz=low, block=block).toPandas()
+    for name, wave in waves.items():
+        got = out[out.sensor_name == name].sort_values("sample_index")
+        assert got.sample_index.tolist() == list(range(len(wave)))
+        want = reference_kernels.filter_both_ways(sections, wave, 27)
+        assert np.allclose(got["value"].to_numpy(), want, atol=1e-9)
 
 
 def test_zeroing_and_chain(spark):
