@@ -145,8 +145,12 @@ def _judge_across_tiles(judged: DataFrame, slots: int, tile: str) -> DataFrame:
     )
 
 
-def aligned_long(aligned: DataFrame, event_sensors: DataFrame, *, tile: str = "tile") -> DataFrame:
-    """Aligned rows as (event, sensor, sample_index, time, value), index from 0 per event."""
+def aligned_long(
+    aligned: DataFrame, event_sensors: DataFrame, *, tile: str = "tile", keep: Sequence[str] = ()
+) -> DataFrame:
+    """Aligned rows as (event, sensor, sample_index, time, value), index from 0 per event; columns
+    named in ``keep`` come from the event-sensor table.
+    """
     numbered = sequence.ordinal(
         aligned.withColumnRenamed("sample_index", "reference_row"),
         [KEY],
@@ -157,7 +161,7 @@ def aligned_long(aligned: DataFrame, event_sensors: DataFrame, *, tile: str = "t
     rows = numbered.select(
         KEY, "sample_index", "timestamp_utc", F.posexplode("values").alias("slot", "value")
     )
-    return rows.join(event_sensors.select(KEY, "slot", "sensor_name"), [KEY, "slot"])
+    return rows.join(event_sensors.select(KEY, "slot", "sensor_name", *keep), [KEY, "slot"])
 
 
 def diagnostics(samples: DataFrame, aligned: DataFrame, event_sensors: DataFrame) -> DataFrame:

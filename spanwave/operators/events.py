@@ -111,9 +111,7 @@ def collapse_records(records: DataFrame, keys: Iterable[str] = ("event_id", "sen
         F.min("start_time_utc").alias("start_time_utc"),
         F.max("end_time_utc").alias("end_time_utc"),
         F.min_by(F.struct(*kept), place).alias("_first"),
-        (F.when(F.min("raw_file") == F.max("raw_file"), F.lit(1)).otherwise(F.count_distinct("raw_file")))
-        .cast("bigint")
-        .alias("raw_file_count"),
+        F.size(F.collect_set("raw_file")).cast("bigint").alias("raw_file_count"),
     )
     return grouped.select(*keys, *widened, "raw_file_count", "_first.*")
 

@@ -157,7 +157,7 @@ def trailing_baseline(event_means: DataFrame, *, window: int = 100) -> DataFrame
 def event_means(samples: DataFrame, *, time: str = "window_start") -> DataFrame:
     """Mean value of each event per sensor, numbered by event start."""
     means = samples.groupBy("event_id", "sensor_name", time).agg(F.avg("value").alias("event_mean"))
-    tiled = means.withColumn("_tile", times.time_tile(F.col(time), 30 * 86400))
+    tiled = means.withColumn("_tile", times.time_tile(F.col(time), 86400))
     return sequence.ordinal(tiled, ["sensor_name"], [time, "event_id"], "_tile", "position").drop("_tile")
 
 

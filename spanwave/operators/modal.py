@@ -158,16 +158,6 @@ def spectral_density(segmented: DataFrame, *, sampling_rate_hz: float = 100.0) -
     adds up its segments before anything is shuffled. Long result: ``frequency_index, channel_i,
     channel_j, re, im``. All events of a group must give the same frequency grid.
     """
-    grid = segmented.groupBy(*GROUP).agg(
-        F.min("segment_length").alias("_min"), F.max("segment_length").alias("_max")
-    )
-    uneven = F.col("_min") != F.col("_max")
-    checked = segmented.join(grid, GROUP).withColumn(
-        "segment_length",
-        F.when(uneven, F.raise_error(F.lit("events of one group need one segment length")).cast("bigint"))
-        .otherwise(F.col("segment_length")),
-    )
-
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
         for batch in batches:
@@ -193,22 +183,32 @@ def spectral_density(segmented: DataFrame, *, sampling_rate_hz: float = 100.0) -
                 }
             )
 
-    partials = checked.select(*GROUP, "segment_length", "segment_count", "event_count", "x").mapInPandas(
+    partials = segmented.select(*GROUP, "segment_length", "segment_count", "event_count", "x").mapInPandas(
         partial,
         "set_name string, deck string, segment_length bigint, frequency_index bigint, "
         "channel_count bigint, re array<double>, im array<double>",
     )
     frequency = F.col("frequency_index") * F.lit(sampling_rate_hz) / F.col("segment_length")
+    lengths = F.col("segment_length")
+    of_group = Window.partitionBy(*GROUP)
+    one_grid = F.min(lengths).over(of_group) == F.max(lengths).over(of_group)
     return (
         partials.select(
             *GROUP,
+            "segment_length",
             "frequency_index",
             frequency.alias("frequency_hz"),
             "channel_count",
             F.posexplode(F.arrays_zip("re", "im")).alias("_at", "_z"),
         )
-        .groupBy(*GROUP, "frequency_index", "frequency_hz", "channel_count", "_at")
+        .groupBy(*GROUP, "segment_length", "frequency_index", "frequency_hz", "channel_count", "_at")
         .agg(F.sum("_z.re").alias("re"), F.sum("_z.im").alias("im"))
+        .withColumn(
+            "frequency_index",
+            F.when(one_grid, F.col("frequency_index")).otherwise(
+                F.raise_error(F.lit("events of one group need one segment length")).cast("bigint")
+            ),
+        )
         .select(
             *GROUP,
             "frequency_index",

@@ -326,9 +326,9 @@ def check_fractions(fractions: Sequence[float]) -> None:
 
 
 def _shuffled(events: DataFrame, seed: int) -> DataFrame:
-    """Repeatable order by hash, numbered from 0; the first two digits of the hash are the tile."""
+    """Repeatable order by hash, numbered from 0; the first digits of the hash are the tile."""
     hashed = events.withColumn("_hash", F.md5(F.concat(F.col("event_id"), F.lit(str(seed)))))
-    tiled = hashed.withColumns({"_tile": F.substring("_hash", 1, 2), "_all": F.lit(0)})
+    tiled = hashed.withColumns({"_tile": F.substring("_hash", 1, 3), "_all": F.lit(0)})
     return sequence.ordinal(tiled, ["_all"], ["_hash", "event_id"], "_tile", "draw").drop(
         "_hash", "_tile", "_all"
     )

@@ -433,7 +433,7 @@ def retained_events_of_deck(spark, folder):
 )
 def sensor_listing(spark, folder):
     """Sensors of each set with their lowest order, by quantity and status."""
-    rows = annotated(spark, folder)
+    rows = cut_lineage(annotated(spark, folder))
     listed = events.list_sensors(
         rows, events.sensor_dimension(rows), quantity="STR", sensor_status="included"
     )
@@ -454,7 +454,7 @@ def sensor_listing(spark, folder):
 )
 def event_sensor_rows(spark, folder):
     """The event-sensor bridge with the reference sensor flagged."""
-    rows = annotated(spark, folder)
+    rows = cut_lineage(annotated(spark, folder))
     reference = events.reference_sensors(events.included_records(rows))
     bridge = events.event_sensor_rows(rows, reference)
     return tidy(
@@ -493,7 +493,7 @@ def event_sensor_rows(spark, folder):
     ),
 )
 def preprocess_summary(spark, folder):
-    rows = annotated(spark, folder)
+    rows = cut_lineage(annotated(spark, folder))
     found = events.group_events(events.included_records(rows))
     marked = events.mark_discards(found, min_active_sensors=MIN_ACTIVE_SENSORS)
     return events.run_summary(marked, events.exclusion_log(rows))
@@ -509,7 +509,7 @@ def preprocess_summary(spark, folder):
 )
 def discarded_event_sensors(spark, folder):
     """Event-sensor rows of discarded events only."""
-    rows = annotated(spark, folder)
+    rows = cut_lineage(annotated(spark, folder))
     found = events.group_events(events.included_records(rows))
     marked = events.mark_discards(found, min_active_sensors=MIN_ACTIVE_SENSORS)
     return rows.join(marked.filter("discarded"), "event_id", "left_semi").select(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,8 @@ from spanwave.functions import times
 from spanwave.operators import align, conditioning, events, joins, sequence
 from spanwave.session import cut_lineage
 
+KEYS = ["event_id", "sensor_name"]
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -27,108 +29,138 @@ class Settings:
     tile_seconds: int = 60
 
 
-@dataclass(frozen=True)
-class Result:
-    events: DataFrame
-    event_sensors: DataFrame
-    aligned_samples: DataFrame
-    diagnostics: DataFrame
-    exclusion_log: DataFrame
-    summary: DataFrame
-
-
-def most_sensors(found: DataFrame) -> int:
-    """Sensors of the fullest event: one number that fixes the width of the alignment."""
-    return int(found.agg(F.max("active_sensor_count")).first()[0] or 1)
-
-
-def build(
-    records: DataFrame,
-    samples: DataFrame,
-    settings: Settings,
-    *,
-    exclusions: DataFrame | None = None,
-    slots: int | None = None,
-) -> Result:
-    """Group, select, discard, slice, condition and align.
-
-    The annotated records, the sliced and the aligned samples are written to the checkpoint folder on the way, so that the
-    tables built from them share one computation and a lost executor costs a re-read.
-
-    Events that fail the sensor rule never reach the samples. ``slots`` may be passed when the
-    number of sensors per event is known, which saves the small job that counts them.
+class Run:
+    """One preprocessing run: group, select, discard, slice, condition and align.
+
+    Tables are built when first asked for. Events that fail the sensor rule never reach the samples.
+    The annotated records, the sliced and the aligned samples are written to the checkpoint folder on
+    the way, so that the tables built from them share one computation and a lost executor costs a
+    re-read. ``slots`` may be passed when the number of sensors per event is known, which saves the
+    small job that counts them.
     """
-    ordered = events.add_sensor_order(records)
-    # The record table is thousands of times smaller than the samples and every step reads it.
-    annotated = cut_lineage(
-        events.annotate_records(
-            events.assign_event_groups(ordered, settings.grouping_method),
-            decks=settings.decks,
-            strain_locations=settings.strain_locations,
-            acc_axis=settings.acc_axis,
-            exclusions=exclusions,
+
+    def __init__(
+        self,
+        records: DataFrame,
+        samples: DataFrame,
+        settings: Settings,
+        *,
+        exclusions: DataFrame | None = None,
+        slots: int | None = None,
+    ) -> None:
+        self._records, self._samples, self._exclusions = records, samples, exclusions
+        self._slots = slots
+        self.settings = settings
+
+    @cached_property
+    def annotated(self) -> DataFrame:
+        """Records with event and inclusion status; thousands of times smaller than the samples."""
+        s = self.settings
+        grouped = events.assign_event_groups(events.add_sensor_order(self._records), s.grouping_method)
+        return cut_lineage(
+            events.annotate_records(
+                grouped,
+                decks=s.decks,
+                strain_locations=s.strain_locations,
+                acc_axis=s.acc_axis,
+                exclusions=self._exclusions,
+            )
         )
-    )
-    included = events.included_records(annotated)
-    found = events.group_events(included)
-    heavy = found.filter(F.col("active_sensor_count") >= settings.min_active_sensors)
-    slots = slots or most_sensors(found)
-
-    usable = included.join(heavy.select("event_id"), "event_id", "left_semi")
-    collapsed, _ = events.collapse_single_file(usable)
-    slotted = align.add_slots(
-        collapsed.select(
-            "event_id", "set_name", "deck", "sensor_name", "sensor_order", "raw_file",
-            "start_row_1based", "end_row_1based",
+
+    @cached_property
+    def found(self) -> DataFrame:
+        return events.group_events(events.included_records(self.annotated))
+
+    @cached_property
+    def slots(self) -> int:
+        """Sensors of the fullest event: one number that fixes the width of the alignment."""
+        return self._slots or int(self.found.agg(F.max("active_sensor_count")).first()[0] or 1)
+
+    @cached_property
+    def _usable(self) -> DataFrame:
+        heavy = self.found.filter(F.col("active_sensor_count") >= self.settings.min_active_sensors)
+        return events.included_records(self.annotated).join(heavy.select("event_id"), "event_id", "left_semi")
+
+    @cached_property
+    def _slotted(self) -> DataFrame:
+        collapsed, _ = events.collapse_single_file(self._usable)
+        return align.add_slots(
+            collapsed.select(
+                "event_id", "set_name", "deck", "sensor_name", "sensor_order", "raw_file",
+                "start_row_1based", "end_row_1based",
+            )
+        )
+
+    @cached_property
+    def sliced(self) -> DataFrame:
+        """Numbered samples of every usable event and sensor."""
+        rows = joins.drop_unparsed(joins.slice_records(self._slotted, self._samples)).withColumn(
+            "tile", times.time_tile(F.col("timestamp_utc"), self.settings.tile_seconds)
         )
-    )
-    keys = ["event_id", "sensor_name"]
-    sliced = joins.drop_unparsed(joins.slice_records(slotted, samples)).withColumn(
-        "tile", times.time_tile(F.col("timestamp_utc"), settings.tile_seconds)
-    )
-    indexed = sequence.ordinal(sliced, keys, ["timestamp_utc", "row_1based"], "tile", "sample_index")
-    # Written once: the steps below read the sliced samples from several branches.
-    indexed = cut_lineage(indexed)
-    ready = conditioning.condition(
-        indexed,
-        keys,
-        acc_filter=settings.acc_filter,
-        acc_zeroing=settings.acc_zeroing,
-        strain_zeroing=settings.strain_zeroing,
-        **settings.band,
-    )
-    if settings.acc_filter != "none":
-        ready = cut_lineage(ready)
-    aligned = cut_lineage(align.align(ready, slots))
-    aligned_samples = align.aligned_long(aligned, slotted).join(
-        heavy.select("event_id", "set_name", "deck"), "event_id"
-    )
-
-    counts = aligned.groupBy("event_id").agg(F.count(F.lit(1)).alias("aligned_rows"))
-    reference = events.reference_sensors(usable)
-    before = (
-        indexed.filter("slot = 0").groupBy("event_id").agg(F.count(F.lit(1)).alias("rows_before_alignment"))
-    )
-    details = [reference, before, events.excluded_per_event(annotated)]
-    marked = events.mark_discards(
-        found, min_active_sensors=settings.min_active_sensors, aligned_counts=counts
-    )
-    catalogue = reduce(lambda left, right: left.join(right, "event_id", "left"), details, marked)
-    log = events.exclusion_log(annotated)
-    return Result(
-        events=catalogue.withColumns(
+        return cut_lineage(sequence.ordinal(rows, KEYS, ["timestamp_utc", "row_1based"], "tile", "sample_index"))
+
+    @cached_property
+    def conditioned(self) -> DataFrame:
+        s = self.settings
+        ready = conditioning.condition(
+            self.sliced,
+            KEYS,
+            acc_filter=s.acc_filter,
+            acc_zeroing=s.acc_zeroing,
+            strain_zeroing=s.strain_zeroing,
+            **s.band,
+        )
+        return cut_lineage(ready) if s.acc_filter != "none" else ready
+
+    @cached_property
+    def _aligned(self) -> DataFrame:
+        return cut_lineage(align.align(self.conditioned, self.slots))
+
+    @cached_property
+    def aligned_samples(self) -> DataFrame:
+        return align.aligned_long(self._aligned, self._slotted, keep=("set_name", "deck"))
+
+    @cached_property
+    def diagnostics(self) -> DataFrame:
+        return align.diagnostics(self.conditioned, self._aligned, self._slotted)
+
+    @cached_property
+    def _marked(self) -> DataFrame:
+        counts = self._aligned.groupBy("event_id").agg(F.count(F.lit(1)).alias("aligned_rows"))
+        return events.mark_discards(
+            self.found, min_active_sensors=self.settings.min_active_sensors, aligned_counts=counts
+        )
+
+    @cached_property
+    def events(self) -> DataFrame:
+        """The event manifest, retained and discarded."""
+        before = (
+            self.sliced.filter("slot = 0")
+            .groupBy("event_id")
+            .agg(F.count(F.lit(1)).alias("rows_before_alignment"))
+        )
+        details = [events.reference_sensors(self._usable), before, events.excluded_per_event(self.annotated)]
+        joined = reduce(lambda left, right: left.join(right, "event_id", "left"), details, self._marked)
+        s = self.settings
+        return joined.withColumns(
             {
                 "reference_sensor": F.coalesce("reference_sensor", F.lit("")),
                 "rows_before_alignment": F.coalesce("rows_before_alignment", F.lit(0)),
                 "excluded_sensor_count": F.coalesce("excluded_sensor_count", F.lit(0)),
                 "zeroing_method": F.lit(
-                    f"strain:{settings.strain_zeroing};acc_{settings.acc_axis.lower()}:{settings.acc_zeroing}"
+                    f"strain:{s.strain_zeroing};acc_{s.acc_axis.lower()}:{s.acc_zeroing}"
                 ),
             }
-        ),
-        event_sensors=events.event_sensor_rows(annotated, reference),
-        aligned_samples=aligned_samples,
-        diagnostics=align.diagnostics(ready, aligned, slotted),
-        exclusion_log=log,
-        summary=events.run_summary(marked, log),
-    )
+        )
+
+    @cached_property
+    def event_sensors(self) -> DataFrame:
+        return events.event_sensor_rows(self.annotated, events.reference_sensors(self._usable))
+
+    @cached_property
+    def exclusion_log(self) -> DataFrame:
+        return events.exclusion_log(self.annotated)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return events.run_summary(self._marked, self.exclusion_log)

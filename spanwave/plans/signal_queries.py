@@ -70,12 +70,12 @@ def _aligned_sql(select: str) -> str:
     return with_views(select, "event_list", extra=extra)
 
 
-def _unfiltered(spark, folder) -> preprocess.Result:
+def _unfiltered(spark, folder) -> preprocess.Run:
     """The preprocessing job with filtering off, which SQL can follow step by step."""
     settings = preprocess.Settings(
         min_active_sensors=event_queries.MIN_ACTIVE_SENSORS, acc_filter="none", tile_seconds=TILE
     )
-    return preprocess.build(
+    return preprocess.Run(
         tables.records(spark, folder),
         tables.raw_samples(spark, folder),
         settings,
@@ -139,7 +139,7 @@ def preprocessed_events(spark, folder):
 def filtered_aligned_samples(spark, folder):
     """The full chain with the band-pass on vertical acceleration."""
     settings = preprocess.Settings(min_active_sensors=event_queries.MIN_ACTIVE_SENSORS, tile_seconds=TILE)
-    result = preprocess.build(
+    result = preprocess.Run(
         tables.records(spark, folder),
         tables.raw_samples(spark, folder),
         settings,

@@ -71,7 +71,7 @@ def month(spark):
 
 @pytest.fixture(scope="module")
 def done(spark, month):
-    result = preprocess.build(*month, preprocess.Settings(min_active_sensors=2, tile_seconds=2))
+    result = preprocess.Run(*month, preprocess.Settings(min_active_sensors=2, tile_seconds=2))
     return {
         "events": cut_lineage(result.events),
         "event_sensors": cut_lineage(result.event_sensors),
