@@ -57,14 +57,14 @@ def waveform_features(spark, folder):
         "strftime(a.start_time_utc, '%Y-%m-%dT%H-%M-%SZ') AND s.sensor_name = a.sensor_name WHERE a.sensor_status = 'included'",
         "annotated",
         "waveforms",
-        extra={"centred": _CENTRED + " WHERE sample_index < 3", "stats": _STATS},
+        extra={"centred": _CENTRED, "stats": _STATS},
     ),
 )
 def sensor_event_features(spark, folder):
     """The feature table: table values of each included record beside its waveform statistics."""
     rows = event_queries.annotated(spark, folder)
     short = F.concat_ws("__", "set_name", "deck", F.date_format("start_time_utc", "yyyy-MM-dd'T'HH-mm-ss'Z'"))
-    waves = centred(spark, folder).filter(F.col("sample_index") < 3)
+    waves = centred(spark, folder)
     bridge = rows.withColumnRenamed("event_id", "full_id").withColumn("event_id", short)
     table = features.sensor_event_features(bridge, waves)
     full = bridge.select("event_id", "sensor_name", "full_id")
@@ -150,7 +150,7 @@ def point_anomalies(spark, folder):
 
 # Modal analysis over two-day events, vertical acceleration: two channels per deck.
 SEGMENT, OVERLAP, RATE = 8, 4, 100.0
-MAX_EVENTS = 4
+MAX_EVENTS = 5
 _MODAL = {
     "days": "SELECT set_name, deck, sensor_name, timestamp_utc, reading_id, value, "
     "set_name || '__' || deck || '__' || CAST(epoch_us(timestamp_utc) // 172800000000 AS VARCHAR) AS event_id, "

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 from pathlib import Path
@@ -60,7 +61,12 @@ def main(folder: str, *wanted: str) -> None:
     import __spark_entry__ as entry
     from spanwave.session import local_session
 
-    spark = local_session(8, "compare")
+    if os.environ.get("PLAIN_SESSION"):
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").getOrCreate()
+    else:
+        spark = local_session(8, "compare")
     con = connect(folder)
     queries, oracles = entry.queries(), entry.oracle_sql()
     bad = []
