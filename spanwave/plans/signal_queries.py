@@ -87,13 +87,13 @@ def _unfiltered(spark, folder) -> preprocess.Run:
 @query(
     "aligned_samples",
     _aligned_sql(
-        f"SELECT event_id, sensor_name, sample_index, {iso('ts')} AS timestamp_utc, {rnd('value')} AS value FROM aligned"
+        f"SELECT event_id, sensor_name, sample_index, {iso('ts')} AS timestamp_utc, {rnd('value', 9)} AS value FROM aligned"
     ),
 )
 def aligned_samples(spark, folder):
     """Group, select, slice, zero and align every event."""
     long = _unfiltered(spark, folder).aligned_samples
-    return tidy(long.select("event_id", "sensor_name", "sample_index", "timestamp_utc", "value"))
+    return tidy(long.select("event_id", "sensor_name", "sample_index", "timestamp_utc", "value"), {"value": 9})
 
 
 @query(
@@ -162,7 +162,7 @@ def bandpassed_waveforms(spark, folder):
     "zeroed_waveforms",
     with_views(
         "SELECT event_id, sensor_name, sample_index, "
-        f"{rnd('CASE WHEN steps = 0 THEN 0.0 ELSE value - (v0 + (v1 - v0) * sample_index / steps) END')} AS value "
+        f"{rnd('CASE WHEN steps = 0 THEN 0.0 ELSE value - (v0 + (v1 - v0) * sample_index / steps) END', 9)} AS value "
         "FROM (SELECT *, first_value(value) OVER w AS v0, last_value(value) OVER w AS v1, "
         "count(*) OVER w - 1 AS steps FROM waveforms WINDOW w AS (PARTITION BY event_id, sensor_name ORDER BY sample_index "
         "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))",
@@ -172,7 +172,7 @@ def bandpassed_waveforms(spark, folder):
 def zeroed_waveforms(spark, folder):
     """Endpoint baseline removed from every waveform."""
     zeroed = conditioning.zero_waveforms(tables.waveforms(spark, folder), ["event_id", "sensor_name"])
-    return tidy(zeroed.select("event_id", "sensor_name", "sample_index", "value"))
+    return tidy(zeroed.select("event_id", "sensor_name", "sample_index", "value"), {"value": 9})
 
 
 @query(
@@ -251,7 +251,7 @@ for _k in range(1, QUERY_SLOTS):
     "timestamp_query",
     with_views(
         f"SELECT t.sensor_name, c.sample_index, {iso('c.ts')} AS timestamp_utc, "
-        f"{rnd('(SELECT arg_min(s.value, s.timestamp_utc) FROM sig s WHERE s.slot = t.slot AND s.timestamp_utc >= c.ts)')} AS value "
+        f"{rnd('(SELECT arg_min(s.value, s.timestamp_utc) FROM sig s WHERE s.slot = t.slot AND s.timestamp_utc >= c.ts)', 9)} AS value "
         f"FROM (SELECT *, row_number() OVER (ORDER BY ts, idx) - 1 AS sample_index FROM r{QUERY_SLOTS - 1}) c, slotted t",
         "waveforms",
         "records",
@@ -270,7 +270,7 @@ def timestamp_query(spark, folder):
         slots=QUERY_SLOTS,
         tile_seconds=TILE,
     )
-    return tidy(found.select("sensor_name", "sample_index", "timestamp_utc", "value"))
+    return tidy(found.select("sensor_name", "sample_index", "timestamp_utc", "value"), {"value": 9})
 
 
 @query(
