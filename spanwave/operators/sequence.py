@@ -157,8 +157,11 @@ def quantiles(
     # sqrt is correctly rounded everywhere, so every branch of the plan gets the same bins.
     share = F.coalesce(F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
     if list(keys) == ["_all"]:
-        limits = F.broadcast(limits)  # exactly one row
-    binned = known.join(limits, list(keys)).withColumn(
+        # One row: read as scalars, as a join on a constant would be a nested loop.
+        limited = known.withColumns({c: limits.select(c).scalar() for c in ("_lo", "_hi", "_n")})
+    else:
+        limited = known.join(limits, list(keys))
+    binned = limited.withColumn(
         "_bin", F.least(F.floor(F.sqrt(F.sqrt(share)) * bins), F.lit(bins - 1)).cast("int")
     )
     counted = binned.groupBy(*keys, "_bin").agg(
