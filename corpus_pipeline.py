@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from spanwave import session
-from spanwave.llm import bpe, language_id, line_dedup
+from spanwave.llm import bpe, decontaminate, language_id, line_dedup, near_dup
 from spanwave.llm.storage import quoted
 
 
@@ -27,6 +27,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select(*[quoted(c) for c in docs.columns])
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id."""
+    session.prepare(spark)
+    return near_dup.keep_one(docs).select(*[quoted(c) for c in docs.columns])
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    benchmark = session.prepare(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.remove_leaks(docs, benchmark).select(*[quoted(c) for c in docs.columns])
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and digests of the ids and of the bytes decoded from them."""
     session.prepare(spark)
@@ -38,6 +50,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", language),
     ("line_dedup", lines),
+    ("near_duplicates", near_copies),
+    ("decontamination", leaks),
     ("byte_bpe", tokens),
 ]
 #: Signatures, bit-parallel distances and byte pairs are beyond SQL; the stages are tested by brute force.

@@ -8,8 +8,9 @@ are merged: a heap of adjacent pairs over a doubly linked list of byte pieces.
 from __future__ import annotations
 
 import base64
-import heapq
+from array import array
 from functools import partial
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ MAX_VOCABULARY = 2_000_000
 BUCKET = 4  # keys a bucket of the perfect hash holds on average
 MASK = (1 << 64) - 1
 STEP, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd multipliers of the slot hash
-MEMO_WORDS = 400_000  # words a task remembers; then it forgets them all
+MEMO_WORDS = 600_000  # words a task remembers; then it forgets them all
 MEMO_BYTES = 64  # longer words are not remembered
 LATEST: list = []  # the coder a worker used last, with its memory
 
@@ -115,18 +116,41 @@ class Vocabulary:
         return self.ids[slot] if self.words[slot] == word else None
 
 
+def pack(ids: list[int]) -> bytes:
+    """Ids as 32-bit numbers in a row."""
+    return array("i", ids).tobytes()
+
+
+class Pieces(dict):
+    """Ranks of parts of words by the perfect hash, -1 for none; remembers within a bound."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, piece: bytes) -> int:
+        found = self.vocabulary.rank(piece)
+        found = -1 if found is None else found
+        if len(piece) <= MEMO_BYTES:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class Coder(dict):
     """Words to the bytes of their 32-bit ids; remembers what it has worked out, within a bound."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
         self.vocabulary = vocabulary
+        self.pieces = Pieces(vocabulary)
         self.split = regex.compile(vocabulary.pattern).findall
 
     def __missing__(self, word: str) -> bytes:
         raw = word.encode("utf-8")
         rank = self.vocabulary.rank(raw)
-        ids = np.array([rank] if rank is not None else self.merge(raw), np.int32).tobytes()
+        ids = pack([rank] if rank is not None else self.merge(raw))
         if len(raw) <= MEMO_BYTES:
             if len(self) >= MEMO_WORDS:
                 self.clear()
@@ -134,28 +158,35 @@ class Coder(dict):
         return ids
 
     def merge(self, raw: bytes) -> list[int]:
-        """Join the adjacent pair of lowest rank, leftmost first, until none is in the vocabulary."""
-        rank, n = self.vocabulary.rank, len(raw)
+        """Join the adjacent pair of lowest rank, leftmost first, until none is in the vocabulary.
+
+        A heap entry packs rank, start and end of a possible join into one number.
+        """
+        rank, n = self.pieces.__getitem__, len(raw)
+        bits = n.bit_length()
+        mask = (1 << bits) - 1
         end = list(range(1, n + 1))  # end[i]: where the piece that starts at i stops; 0 once joined to its left
         before = list(range(-1, n - 1))
         heap = []
         for i in range(n - 1):
-            if (r := rank(raw[i : i + 2])) is not None:
-                heap.append((r, i, i + 2))
-        heapq.heapify(heap)
+            if (r := rank(raw[i : i + 2])) >= 0:
+                heap.append(((r << bits | i) << bits) | i + 2)
+        heapify(heap)
         while heap:
-            _, i, stop = heapq.heappop(heap)
+            entry = heappop(heap)
+            stop, i = entry & mask, entry >> bits & mask
             middle = end[i]
             if not middle or middle >= n or end[middle] != stop:
                 continue  # one of the two pieces has grown since
             end[i], end[middle] = stop, 0
             if stop < n:
                 before[stop] = i
-                if (r := rank(raw[i : end[stop]])) is not None:
-                    heapq.heappush(heap, (r, i, end[stop]))
+                after = end[stop]
+                if (r := rank(raw[i:after])) >= 0:
+                    heappush(heap, ((r << bits | i) << bits) | after)
             left = before[i]
-            if left >= 0 and (r := rank(raw[left:stop])) is not None:
-                heapq.heappush(heap, (r, left, stop))
+            if left >= 0 and (r := rank(raw[left:stop])) >= 0:
+                heappush(heap, ((r << bits | left) << bits) | stop)
         ids, i = [], 0
         while i < n:
             ids.append(rank(raw[i : end[i]]))

@@ -112,7 +112,8 @@ def dedup_lines(
             partial(_suspects, filled=filled, chars=min_chars), f"key binary, owner {kind}"
         )
     )
-    confirmed = (
+    # Written first, so that the join deals both sides itself and can split the keys of hot lines.
+    confirmed = stage(
         suspects.groupBy("key")
         .agg(F.count_distinct("owner").alias("n"), F.max("owner").alias("last"))
         .where(F.col("n") >= min_docs)

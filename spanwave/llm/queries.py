@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwave import session
-from spanwave.llm import bpe, language_id, line_dedup
+from spanwave.llm import bpe, decontaminate, language_id, line_dedup, near_dup, personal_data, quality, secret_scan, sharding, suffix_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,60 @@ def language_id_of_pages(spark: SparkSession, folder: str) -> DataFrame:
     return done.select(
         "page_id", "host", "declared", "language", F.round("confidence", 6).alias("confidence"), "text_language", "accepted"
     )
+
+
+@query
+def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, folder, "documents"), limit=SHARD_BYTES)
+
+
+SHARD_BYTES = 1 << 20
+ORACLES["op2_sharding"] = f"""
+WITH hashed AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes,
+    substr(CAST(CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) AS BIT) AS VARCHAR), 17) AS bits
+  FROM documents
+),
+sums AS (
+  SELECT substr(bits, 1, d) AS prefix, d, sum(n_bytes)::BIGINT AS shard_bytes
+  FROM hashed, range(0, 40) AS r(d) GROUP BY ALL HAVING sum(n_bytes) <= {SHARD_BYTES}
+),
+best AS (
+  SELECT doc_id, n_bytes, bits, min(d) AS depth
+  FROM hashed JOIN sums ON substr(bits, 1, d) = prefix GROUP BY ALL
+)
+SELECT doc_id, n_bytes, prefix AS shard, depth::INTEGER AS depth, shard_bytes, true AS fits
+FROM best JOIN sums ON substr(bits, 1, depth) = prefix AND depth = d
+"""
+
+
+@query
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    done = quality.score(table(spark, folder, "documents"))
+    return done.select("doc_id", *quality.METRICS, "base_failed", "kept", "n_common_words")
+
+
+@query
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.find_secrets(table(spark, folder, "documents")))
+
+
+@query
+def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.digests(personal_data.find_personal_data(table(spark, folder, "documents")))
+
+
+@query
+def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -14,7 +14,11 @@ if __name__ == "__main__":
         if sys.argv[2:] and not any(w in name for w in sys.argv[2:]):
             continue
         start = time.time()
-        got = build(spark, sys.argv[1]).toPandas()
+        try:
+            got = build(spark, sys.argv[1]).toPandas()
+        except Exception as error:  # noqa: BLE001
+            print(name, "ERROR", str(error)[:600], flush=True)
+            continue
         spent = time.time() - start
         note = compare.difference(got, con.execute(queries.ORACLES[name]).df()) or "match" if name in queries.ORACLES else got.head(8)
         print(name, len(got), round(spent, 1), note, flush=True)
