@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwave.llm.storage import Batches, as_bytes, list_of, quoted, stage, without
+from spanwave.llm.storage import Batches, as_bytes, list_of, packed, quoted, stage, unpacked, with_fields, without
 
 SAMPLE_ROWS = 400  # labelled rows a language is fitted on, at most
 SAMPLE_BYTES = 20_000  # bytes of a labelled row that are used
@@ -128,8 +128,8 @@ def identify(
     """
     spark = docs.sparkSession
     names, tables = fit(docs, text_col, declared_col, sample_rows) if declared_col else ([], np.zeros((0, 1 << TABLE_BITS)))
-    kept = without(docs, *OUTPUTS)
     if not names:
+        kept = without(docs, *OUTPUTS)
         return kept.select(
             *[quoted(c) for c in kept.columns],
             F.lit(None).cast("string").alias("language"),
@@ -148,8 +148,7 @@ def identify(
         rows = docs.select(
             *columns, host.alias("__host"), declared.alias("__declared"), as_bytes(quoted(text_col)).alias("__body")
         )
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-        done = rows.mapInArrow(partial(_likelihood, tables=shared), f"{fields}, __text array<double>, __letters long")
+        done = rows.mapInArrow(partial(_likelihood, tables=shared), with_fields(rows, "__text array<double>, __letters long"))
         known_here = F.array_contains(known, F.coalesce(F.col("__declared"), F.lit("")))
         both = F.zip_with(
             "__text",
@@ -187,13 +186,13 @@ def identify(
     )
     if hosts.count() <= MAX_HOSTS_SENT:
         priors = F.broadcast(priors)
-    rows = scored([quoted(c) for c in kept.columns]).join(priors, F.col("__host") == F.col("__of"), "left")
+    rows = scored([packed(docs, *OUTPUTS).alias("given")]).join(priors, F.col("__host") == F.col("__of"), "left")
     fused = F.zip_with("__both", F.coalesce("__prior", base), lambda s, p: s + F.log(p))
     best = lambda a: F.element_at(known, F.array_position(a, F.array_max(a)).cast("int"))
     rows = rows.withColumn("__p", _softmax(fused))
     there = F.col("__letters") >= MIN_LETTERS
     return rows.select(
-        *[quoted(c) for c in kept.columns],
+        *unpacked(docs, F.col("given"), *OUTPUTS),
         F.when(there, best(F.col("__p"))).alias("language"),
         F.when(there, F.array_max("__p")).otherwise(0.0).alias("confidence"),
         F.when(there, best(F.col("__text"))).alias("text_language"),

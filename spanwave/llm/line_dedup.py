@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
 from spanwave.llm import bloom
-from spanwave.llm.storage import Batches, as_bytes, quoted, stage, without
+from spanwave.llm.storage import Batches, as_bytes, packed, quoted, stage, unpacked, without_names
 
 SPACE = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 20
@@ -122,14 +122,21 @@ def dedup_lines(
     drops = (
         suspects.join(confirmed, "key")
         .where(F.col("owner") < F.col("last"))
-        .groupBy(F.col("owner").alias("__owner"))
-        .agg(F.collect_set("key").alias("__drops"))
+        .groupBy(F.col("owner").alias("holder"))
+        .agg(F.collect_set("key").alias("drops"))
+    )
+    lost = ("n_lines", "n_dropped")
+    rows = docs.select(
+        packed(docs, text_col, *lost).alias("given"),
+        quoted(id_col).alias("owner"),
+        F.when(quoted(text_col).isNotNull(), as_bytes(quoted(text_col))).alias("body"),
+    )
+    joined = rows.join(drops, F.col("owner") == F.col("holder"), "left")
+    done = joined.select("given", "body", _rewrite(F.coalesce("body", F.lit(b"")), F.col("drops")).alias("done"))
+    text = F.when(F.col("body").isNotNull(), F.col("done.text")).alias(text_col)
+    columns = {c.lower(): col for c, col in zip(without_names(docs, text_col, *lost), unpacked(docs, F.col("given"), text_col, *lost), strict=True)}
+    return done.select(
+        *[columns.get(c.lower(), text) for c in without_names(docs, *lost)],
+        F.col("done.n_lines").alias("n_lines"),
+        F.col("done.n_dropped").alias("n_dropped"),
     )
-    joined = without(docs, "n_lines", "n_dropped").join(drops, quoted(id_col) == F.col("__owner"), "left")
-    done = joined.withColumn("__done", _rewrite(as_bytes(quoted(text_col)), F.col("__drops")))
-    kept = [
-        F.when(quoted(c).isNotNull(), F.col("__done.text")).alias(c) if c == text_col else quoted(c)
-        for c in docs.columns
-        if c.lower() not in ("n_lines", "n_dropped")
-    ]
-    return done.select(*kept, F.col("__done.n_lines").alias("n_lines"), F.col("__done.n_dropped").alias("n_dropped"))

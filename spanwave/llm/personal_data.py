@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from spanwave.llm.secret_scan import count_of, joined
-from spanwave.llm.storage import Batches, as_bytes, quoted, stage, without
+from spanwave.llm.storage import Batches, as_bytes, packed, quoted, stage, unpacked, with_fields
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -200,25 +200,25 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows without an id teach patterns and get their fixed forms only. An input column named
     ``spans`` is replaced.
     """
-    kept = without(docs, "spans", text_col)
-    rows = docs.select(*[quoted(c) for c in kept.columns], as_bytes(quoted(text_col)).alias("__body"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields)
+    lost = ("spans", text_col)
+    rows = docs.select(packed(docs, *lost).alias("given"), quoted(id_col).alias("__owner"), as_bytes(quoted(text_col)).alias("__body"))
     found = stage(
         rows.mapInArrow(
             _extract,
-            f"{fields}__print long, __base array<struct<kind:int,start:long,end:long>>, "
-            "__found array<struct<pattern:string,string:string,kind:int,start:long,end:long>>",
+            with_fields(
+                rows,
+                "__print long, __base array<struct<kind:int,start:long,end:long>>, "
+                "__found array<struct<pattern:string,string:string,kind:int,start:long,end:long>>",
+            ),
         )
     )
-    each = found.select(quoted(id_col).alias("__owner"), F.col("__print").alias("__text"), F.explode("__found").alias("x")).select(
-        "__owner", "__text", "x.*"
-    )
+    each = found.select("__owner", F.col("__print").alias("__text"), F.explode("__found").alias("x")).select("__owner", "__text", "x.*")
     good = score_patterns(each.select("pattern", "string", "kind").distinct()).where(F.col("confidence") >= min_confidence)
     more = (
         each.where("kind < 0 and __owner is not null")
         .drop("kind")
         .join(good.select("pattern").distinct(), "pattern")
-        .groupBy("__owner", "__text")
+        .groupBy(F.col("__owner").alias("__of"), "__text")
         .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__more"))
     )
     names = F.array(*[F.lit(k) for k in KINDS])
@@ -227,8 +227,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.coalesce("__more", F.array().cast("array<struct<start:long,end:long>>")),
         lambda s: F.struct(F.lit("context").alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
     )
-    both = found.join(more, (quoted(id_col) == F.col("__owner")) & (F.col("__print") == F.col("__text")), "left")
-    return both.select(*[quoted(c) for c in kept.columns], F.concat(base, learned).alias("spans"))
+    both = found.join(more, (F.col("__owner") == F.col("__of")) & (F.col("__print") == F.col("__text")), "left")
+    return both.select(*unpacked(docs, F.col("given"), *lost), F.concat(base, learned).alias("spans"))
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections import Counter
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from spanwave.llm.line_dedup import SPACE
-from spanwave.llm.storage import Batches, as_bytes, list_of, quoted, stage, without
+from spanwave.llm.storage import Batches, as_bytes, list_of, packed, quoted, stage, unpacked, with_fields
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -103,14 +102,10 @@ def score(
     without a host share one unnamed host. Input columns named like the outputs are replaced.
     """
     lost = (text_col, *OUTPUTS)
-    kept = without(docs, *lost)
     host = F.coalesce(quoted(host_col).cast("string"), F.lit("")) if host_col else F.lit("")
-    rows = docs.select(*[quoted(c) for c in kept.columns], host.alias("__host"), as_bytes(quoted(text_col)).alias("__body"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    rows = docs.select(packed(docs, *lost).alias("given"), host.alias("__host"), as_bytes(quoted(text_col)).alias("__body"))
     metrics = ", ".join(f"{m} long" for m in METRICS)
-    measured = stage(
-        rows.mapInArrow(partial(_measure), f"{fields}, {metrics}, __lines array<long>, __counts array<long>")
-    )
+    measured = stage(rows.mapInArrow(_measure, with_fields(rows, f"{metrics}, __lines array<long>, __counts array<long>")))
     sizes = measured.groupBy("__host").agg(F.count(F.lit(1)).alias("__docs"))
     held = measured.select("__host", F.explode("__lines").alias("line")).groupBy("__host", "line").agg(F.count(F.lit(1)).alias("n"))
     # More than the fixed limit first: what is left is small beside the lines, and so is the list of a
@@ -136,7 +131,7 @@ def score(
     )
     left = (F.col("n_words") - F.col("n_common_words")) >= F.col("n_words") * F.lit(min_words_left)
     return counted.select(
-        *[quoted(c) for c in kept.columns],
+        *unpacked(docs, F.col("given"), *lost),
         *METRICS,
         "base_failed",
         "n_common_words",

@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwave.llm.storage import Batches, as_bytes, quoted, without
+from spanwave.llm.storage import Batches, as_bytes, packed, quoted, unpacked, with_fields
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(
@@ -138,10 +138,10 @@ def find_secrets(docs: DataFrame, text_col: str = "text", min_novelty: float = M
     Null and empty texts have none. Every row is scanned by itself, repeated rows too. An input
     column named ``secrets`` is replaced.
     """
-    kept = without(docs, "secrets", text_col)
-    rows = docs.select(*[quoted(c) for c in kept.columns], as_bytes(quoted(text_col)).alias("__body"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields)
-    return rows.mapInArrow(Scan(min_novelty), f"{fields}secrets array<struct<kind:string,start:long,end:long>>")
+    lost = ("secrets", text_col)
+    rows = docs.select(packed(docs, *lost).alias("given"), as_bytes(quoted(text_col)).alias("body"))
+    found = rows.mapInArrow(Scan(min_novelty), with_fields(rows, "secrets array<struct<kind:string,start:long,end:long>>"))
+    return found.select(*unpacked(docs, F.col("given"), *lost), "secrets")
 
 
 def count_of(spans: str, kind: str) -> Column:

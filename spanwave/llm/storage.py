@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,10 +51,30 @@ def quoted(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
+def packed(df: DataFrame, *lost: str) -> Column:
+    """All columns but ``lost`` as one struct, so that none can clash with a column of an operator."""
+    names = without_names(df, *lost)
+    return F.struct(*([quoted(c).alias(c) for c in names] or [F.lit(0).alias("none")]))
+
+
+def unpacked(df: DataFrame, given: Column, *lost: str) -> list[Column]:
+    """The columns that ``packed`` put into ``given``."""
+    return [given.getField(c).alias(c) for c in without_names(df, *lost)]
+
+
+def with_fields(rows: DataFrame, fields: str) -> T.StructType:
+    """The schema of ``rows`` less its last column, with ``fields`` after it."""
+    return T.StructType(rows.schema.fields[:-1] + T.StructType.fromDDL(fields).fields)
+
+
+def without_names(df: DataFrame, *names: str) -> list[str]:
+    lost = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in lost]
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` less the columns whose names clash with ``names``, whatever their case."""
-    lost = {n.lower() for n in names}
-    return df.select(*[quoted(c) for c in df.columns if c.lower() not in lost])
+    return df.select(*[quoted(c) for c in without_names(df, *names)])
 
 
 def list_of(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.ListArray:
