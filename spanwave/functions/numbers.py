@@ -10,10 +10,6 @@ def nan_to_null(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def finite_or_null(value: Column) -> Column:
-    return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)
-
-
 def to_number(value: Column) -> Column:
     """Numeric value, or NULL for text that is none and for NaN."""
     return nan_to_null(value.try_cast("double"))
@@ -23,7 +19,7 @@ def to_int(value: Column, field: str = "value") -> Column:
     """Integer part of a numeric value; NULL or NaN is an error that names ``field``."""
     number = nan_to_null(value.cast("double"))
     return F.when(number.isNotNull(), number.cast("bigint")).otherwise(
-        F.raise_error(F.lit(f"{field} is NaN.")).cast("bigint")
+        F.raise_error(F.lit(f"no whole number in {field}")).cast("bigint")
     )
 
 

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from spanwave.functions import naming, times
 
 GROUPING_METHODS = ("exact_window", "shared_start")
+# Texts of the exclusion log.
+DECK_REASON, DECK_SOURCE = "deck not selected for preprocessing", "preprocessing.sensor_selection.decks"
+CHANNEL_REASON, CHANNEL_SOURCE = "channel not selected for neural preprocessing", "preprocessing sensor selection"
+# Why an event is discarded.
+TOO_FEW_SENSORS, NO_COMMON_ROWS = "insufficient_active_sensors", "no_common_aligned_rows"
 EVENT_KEYS = ["event_id", "set_name", "deck", "event_start_time_utc", "event_end_time_utc"]
 
 
@@ -144,13 +149,13 @@ def annotate_records(
     is_acc = (parts["quantity"] == "ACC") & F.coalesce(parts["axis"] == acc_axis, F.lit(False))
     wrong_channel = ~(is_strain | is_acc)
     reason = (
-        F.when(wrong_deck, F.lit("deck not selected"))
-        .when(wrong_channel, F.lit("channel not selected"))
+        F.when(wrong_deck, F.lit(DECK_REASON))
+        .when(wrong_channel, F.lit(CHANNEL_REASON))
         .otherwise(F.lit(""))
     )
     source = (
-        F.when(wrong_deck, F.lit("selection.decks"))
-        .when(wrong_channel, F.lit("selection.channels"))
+        F.when(wrong_deck, F.lit(DECK_SOURCE))
+        .when(wrong_channel, F.lit(CHANNEL_SOURCE))
         .otherwise(F.lit(""))
     )
     status = F.when(wrong_deck | wrong_channel, F.lit("excluded")).otherwise(F.lit("included"))
@@ -211,7 +216,7 @@ def mark_discards(
     """Add ``discarded`` and ``discard_reason``: too few sensors first, then no aligned rows."""
     too_few = F.col("active_sensor_count") < min_active_sensors
     if aligned_counts is None:
-        reason = F.when(too_few, F.lit("insufficient_active_sensors")).otherwise(F.lit(""))
+        reason = F.when(too_few, F.lit(TOO_FEW_SENSORS)).otherwise(F.lit(""))
         marked = events.withColumn("rows_after_alignment", F.lit(None).cast("bigint"))
     else:
         marked = events.join(
@@ -223,8 +228,8 @@ def mark_discards(
             F.when(too_few, F.lit(0)).otherwise(F.coalesce("rows_after_alignment", F.lit(0))).cast("bigint"),
         )
         reason = (
-            F.when(too_few, F.lit("insufficient_active_sensors"))
-            .when(F.col("rows_after_alignment") == 0, F.lit("no_common_aligned_rows"))
+            F.when(too_few, F.lit(TOO_FEW_SENSORS))
+            .when(F.col("rows_after_alignment") == 0, F.lit(NO_COMMON_ROWS))
             .otherwise(F.lit(""))
         )
     return marked.withColumn("discard_reason", reason).withColumn("discarded", F.col("discard_reason") != "")
@@ -287,7 +292,7 @@ def run_summary(marked: DataFrame, exclusions: DataFrame) -> DataFrame:
 
 def resolve_event_records(records: DataFrame, requests: DataFrame) -> DataFrame:
     """Records of each requested event (``request_id, event_id, deck, start_time_utc, end_time_utc,
-    active_sensor_count``).
+    active_sensor_count``, and ``set_name`` where the events of several sets are told apart).
 
     Tried in turn: the event id; the same deck and event window; the same start with an end not
     after the request's. A step is passed over when it finds fewer sensors than the request names.
@@ -301,6 +306,8 @@ def resolve_event_records(records: DataFrame, requests: DataFrame) -> DataFrame:
         return r.join(q, condition).select(*asked, *own, F.lit(level).alias("_level"))
 
     same_deck = F.col("r.deck") == F.col("q.deck")
+    if "set_name" in requests.columns:
+        same_deck = same_deck & (F.col("r.set_name") == F.col("q.set_name"))
     found = (
         step(1, F.col("r.event_id") == F.col("q.event_id"))
         .unionByName(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwave.functions import times
@@ -45,9 +45,41 @@ def unparsed_counts(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def in_table_order(records: DataFrame) -> list[str]:
+    """Columns that give the order of a sensor's index table."""
+    if "table_row" in records.columns:
+        return ["table_row"]
+    return ["start_time_utc", "raw_file", "start_row_1based"]
+
+
 def kth_records(records: DataFrame, k: int = 0) -> DataFrame:
-    """The record at 0-based place ``k`` of every sensor in its set; shorter sensors are left out."""
-    return records.filter(F.col("record_uid") == k + 1)
+    """The record at 0-based place ``k`` of every sensor's index table; shorter sensors are left out."""
+    table = Window.partitionBy("set_name", "sensor_name").orderBy(*in_table_order(records))
+    return records.withColumn("_place", F.row_number().over(table)).filter(F.col("_place") == k + 1).drop("_place")
+
+
+def read_record(
+    records: DataFrame,
+    samples: DataFrame,
+    sensor_name: str,
+    *,
+    set_name: str | None = None,
+    record_uid: int | None = None,
+    place: int = 0,
+) -> DataFrame:
+    """The rows of one record of a sensor, by its UID or else by its 0-based place in the index table.
+
+    A UID that occurs more than once means its first record; a record that is absent is a
+    ``LookupError``.
+    """
+    own = records.filter(F.col("sensor_name") == sensor_name)
+    own = own if set_name is None else own.filter(F.col("set_name") == set_name)
+    wanted = own if record_uid is None else own.filter(F.col("record_uid") == record_uid)
+    chosen = kth_records(wanted, place if record_uid is None else 0)
+    if chosen.isEmpty():
+        what = f"UID {record_uid}" if record_uid is not None else f"place {place}"
+        raise LookupError(f"{sensor_name} has no record of {what}")
+    return slice_records(chosen, samples)
 
 
 def records_around(records: DataFrame, timestamp: str, **selection) -> DataFrame:

@@ -40,7 +40,7 @@ def candidate_events(channel_rows: DataFrame, *, require_full_channel_set: bool
     )
 
 
-def first_events(candidates: DataFrame, max_events: int | None = 5) -> DataFrame:
+def first_events(candidates: DataFrame, max_events: int | None = None) -> DataFrame:
     """The earliest ``max_events`` candidates of each (set, deck); ``None`` keeps all.
 
     Partial top-k per tile of events first, so no (set, deck) is ranked in one task.
@@ -80,11 +80,13 @@ def event_matrices(
     *,
     tile: str = "tile",
     min_common_events: int = 2,
+    min_rows: int = 2,
 ) -> DataFrame:
     """Samples of the selected events on the common channels, rows with a gap removed.
 
     One result row per sample: its number from 0 in the event and ``values`` by channel order. Events
-    with fewer than two full rows, and groups with fewer than two channels or too few events, drop out.
+    with fewer than ``min_rows`` full rows, and groups with fewer than two channels or too few events,
+    drop out; ``event_count`` counts the events that stay.
     """
     by_name = Window.partitionBy(*GROUP).orderBy("sensor_name")
     everyone = Window.partitionBy(*GROUP)
@@ -108,11 +110,11 @@ def event_matrices(
     )
     numbered_rows = sequence.ordinal(
         full, [*GROUP, "event_id"], ["sample_index"], "_tile", "row", size="row_count"
-    ).filter(F.col("row_count") >= 2)
+    ).filter(F.col("row_count") >= min_rows)
     enough = (
         full.groupBy(*GROUP, "event_id")
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") >= 2)
+        .filter(F.col("_rows") >= min_rows)
         .groupBy(*GROUP)
         .agg(F.count(F.lit(1)).alias("event_count"))
         .filter(F.col("event_count") >= min_common_events)
@@ -367,32 +369,65 @@ def pivot_shapes(located: DataFrame, value: str, n_peaks: int) -> DataFrame:
 
 
 def family_status(
-    events: DataFrame, selected: DataFrame, matrices: DataFrame, *, family: str, min_common_events: int = 2
+    events: DataFrame,
+    channel_rows: DataFrame,
+    candidates: DataFrame,
+    selected: DataFrame,
+    channels: DataFrame,
+    matrices: DataFrame,
+    *,
+    quantity: str = "ACC",
+    axis: str = "Z",
+    min_common_events: int = 2,
+    require_full_channel_set: bool = True,
 ) -> DataFrame:
-    """Per (set, deck): whether its modal features were computed, why not, and the counts."""
-    label = family.upper()
-    retained = events.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_events"))
-    chosen = selected.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_selected"))
-    used = matrices.groupBy(*GROUP).agg(
-        F.max("event_count").alias("_used"), F.max("channel_count").alias("_channels")
+    """Per (set, deck) of the retained ``events``: whether its modal features were computed, why not,
+    and the counts of events and channels.
+
+    The other tables are those of the steps in between: the included channels of the events, the
+    candidates, the selected events, their common channels and the matrices.
+    """
+    count = F.count(F.lit(1))
+    shown = channel_rows.groupBy(*GROUP).agg(F.count_distinct("sensor_name").alias("_expected"))
+    tables = (
+        shown,
+        candidates.groupBy(*GROUP).agg(count.alias("_candidates")),
+        selected.groupBy(*GROUP).agg(count.alias("_selected")),
+        channels.groupBy(*GROUP).agg(count.alias("_common")),
+        matrices.groupBy(*GROUP).agg(F.max("event_count").alias("_used"), F.max("channel_count").alias("_channels")),
     )
+    rows = events.groupBy(*GROUP).agg(count.alias("_events"))
+    for table in tables:
+        rows = rows.join(table, GROUP, "left")
+    rows = rows.fillna(0, ["_expected", "_candidates", "_selected", "_common"])
     done = F.col("_used").isNotNull()
-    detail = (
-        F.when(done, F.format_string("computed from %d retained events", "_used"))
-        .when(F.coalesce("_selected", F.lit(0)) < min_common_events, F.lit(f"insufficient common {label} events"))
-        .otherwise(F.lit(f"insufficient {label} events after dropping missing rows"))
-    )
-    return (
-        retained.join(chosen, GROUP, "left")
-        .join(used, GROUP, "left")
-        .select(
-            *GROUP,
-            F.lit(family).alias("feature_family"),
-            F.when(done, F.lit("completed")).otherwise(F.lit("skipped")).alias("status"),
-            detail.alias("detail"),
-            F.coalesce("_used", "_events").alias("event_count"),
-            F.coalesce("_channels", F.lit(0)).alias("channel_count"),
+    few = F.col("_selected") < min_common_events
+    # The details of a family that was or was not computed.
+    label = f"{quantity}_{axis}"
+    computed = F.format_string("computed from %d retained events", "_used")
+    if require_full_channel_set:
+        detail = (
+            F.when(done, computed)
+            .when(F.col("_expected") < 2, F.lit(f"insufficient configured {label} channels"))
+            .when(F.col("_candidates") == 0, F.format_string(f"no events with all %d {label} channels", "_expected"))
+            .when(few, F.format_string(f"insufficient events with all %d {label} channels", "_expected"))
+            .otherwise(F.lit(f"insufficient full-set {label} events after dropping missing rows"))
+        )
+    else:
+        detail = (
+            F.when(done, computed)
+            .when(few, F.lit(f"insufficient common {label} events"))
+            .when(F.col("_common") < 2, F.lit(f"insufficient common {label} channels"))
+            .otherwise(F.lit(f"insufficient {label} events after dropping missing rows"))
         )
+    named = F.when(few, F.lit(0)).otherwise(F.col("_common"))
+    return rows.select(
+        *GROUP,
+        F.lit(f"{label}_fdd".lower()).alias("feature_family"),
+        F.when(done, F.lit("completed")).otherwise(F.lit("skipped")).alias("status"),
+        detail.alias("detail"),
+        F.coalesce("_used", "_events").alias("event_count"),
+        F.coalesce(F.col("_channels").cast("bigint"), named.cast("bigint")).alias("channel_count"),
     )
 
 

@@ -6,6 +6,7 @@ bounded array per event and channel.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,6 +18,7 @@ from spanwave.functions import naming
 from spanwave.operators import sequence
 
 BLOCK = 16384
+EXCLUDED_NOTE = "excluded_from_neural_input"  # fixed value
 
 
 def channel_map(
@@ -66,7 +68,7 @@ def channel_map(
             .otherwise(F.lit(""))
             .alias("model_channel_id"),
             included.alias("include_flag"),
-            F.when(included, F.lit("")).otherwise(F.lit("excluded_from_model_input")).alias("notes"),
+            F.when(included, F.lit("")).otherwise(F.lit(EXCLUDED_NOTE)).alias("notes"),
         )
     )
 
@@ -303,26 +305,27 @@ def finite_counts(values: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def split_counts(n: int, fractions: Sequence[float]) -> list[int]:
-    """Largest-remainder counts; the first part is never empty while there are events."""
+    """How many of ``n`` events each part gets: whole shares, then one more by largest remainder.
+
+    Of equal remainders the later part comes first. The first part takes one event from the next
+    that has any, should it come out empty.
+    """
     check_fractions(fractions)
-    raw = np.asarray(fractions, dtype=float) * n
-    counts = np.floor(raw).astype(int)
-    spare = n - int(counts.sum())
-    for index in np.argsort(raw - counts)[::-1][:spare]:
-        counts[index] += 1
-    if n > 0 and counts[0] == 0:
-        donor = next((i for i in range(1, len(counts)) if counts[i] > 0), None)
-        if donor is not None:
-            counts[donor] -= 1
-        counts[0] = 1
-    return [int(c) for c in counts]
+    shares = [f * n for f in fractions]
+    counts = [math.floor(share) for share in shares]
+    by_remainder = sorted(range(len(shares)), key=lambda i: (shares[i] - counts[i], i))
+    left_over = n - sum(counts)
+    for part in by_remainder[len(shares) - left_over :]:
+        counts[part] += 1
+    if n and not counts[0]:
+        giver = min(part for part, count in enumerate(counts) if count)
+        counts[giver], counts[0] = counts[giver] - 1, 1
+    return counts
 
 
 def check_fractions(fractions: Sequence[float]) -> None:
-    if any(f < 0 for f in fractions):
-        raise ValueError("split fractions must be non-negative.")
-    if not np.isclose(sum(fractions), 1.0):
-        raise ValueError("split fractions must sum to 1.0.")
+    if min(fractions) < 0 or not math.isclose(sum(fractions), 1.0, rel_tol=1e-5):
+        raise ValueError(f"fractions must not be negative and must add up to 1: {list(fractions)}")
 
 
 def _shuffled(events: DataFrame, seed: int) -> DataFrame:
@@ -349,7 +352,7 @@ def split_events(
     """
     n = events.count()
     if n <= 0:
-        raise ValueError("event_count must be positive.")
+        raise ValueError("there are no events to split")
     if remainder_to is None:
         counts = split_counts(n, fractions)
     else:

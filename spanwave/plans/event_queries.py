@@ -99,7 +99,8 @@ def sensor_catalogue(spark, folder):
         "SELECT r.set_name, r.sensor_name, r.record_uid, s.row_1based, s.value "
         "FROM records r JOIN samples s ON r.set_name = s.set_name AND r.sensor_name = s.sensor_name "
         "AND r.raw_file = s.raw_file AND s.row_1based BETWEEN r.start_row_1based AND r.end_row_1based "
-        "WHERE r.record_uid = 3",
+        "WHERE (SELECT count(*) FROM records e WHERE e.set_name = r.set_name AND e.sensor_name = r.sensor_name "
+        "AND e.start_time_utc < r.start_time_utc) = 2",
         "records",
     ),
 )
@@ -344,10 +345,10 @@ def cross_file_rejects(spark, folder):
     with_views(
         "SELECT set_name, sensor_name, "
         "CASE WHEN reason IS NOT NULL OR deck <> 'OLD' OR NOT selected THEN 'excluded' ELSE 'included' END AS sensor_status, "
-        "CASE WHEN reason IS NOT NULL THEN reason WHEN deck <> 'OLD' THEN 'deck not selected' "
-        "WHEN NOT selected THEN 'channel not selected' ELSE '' END AS exclusion_reason, "
-        "CASE WHEN reason IS NOT NULL THEN source WHEN deck <> 'OLD' THEN 'selection.decks' "
-        "WHEN NOT selected THEN 'selection.channels' ELSE '' END AS exclusion_source, count(*) AS record_count "
+        "CASE WHEN reason IS NOT NULL THEN reason WHEN deck <> 'OLD' THEN 'deck not selected for preprocessing' "
+        "WHEN NOT selected THEN 'channel not selected for neural preprocessing' ELSE '' END AS exclusion_reason, "
+        "CASE WHEN reason IS NOT NULL THEN source WHEN deck <> 'OLD' THEN 'preprocessing.sensor_selection.decks' "
+        "WHEN NOT selected THEN 'preprocessing sensor selection' ELSE '' END AS exclusion_source, count(*) AS record_count "
         "FROM (SELECT r.*, x.reason, x.source, regexp_matches(sensor_name, '_(INF|SUP)_STR$|_ACC_Z$') AS selected "
         "FROM records r LEFT JOIN exclusions x USING (set_name, sensor_name)) GROUP BY ALL",
         "records",

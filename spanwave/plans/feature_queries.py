@@ -150,7 +150,6 @@ def point_anomalies(spark, folder):
 
 # Modal analysis over two-day events, vertical acceleration: two channels per deck.
 SEGMENT, OVERLAP, RATE = 8, 4, 100.0
-MAX_EVENTS = 5
 _MODAL = {
     "days": "SELECT set_name, deck, sensor_name, timestamp_utc, reading_id, value, "
     "set_name || '__' || deck || '__' || CAST(epoch_us(timestamp_utc) // 172800000000 AS VARCHAR) AS event_id, "
@@ -161,8 +160,7 @@ _MODAL = {
     "expect": "SELECT set_name, deck, list_sort(list(DISTINCT sensor_name)) AS expected_channels FROM days "
     "WHERE sensor_name LIKE '%ACC!_Z' ESCAPE '!' GROUP BY ALL",
     "chosen": "SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY set_name, deck ORDER BY block, event_id) AS r "
-    "FROM cand c JOIN expect USING (set_name, deck) WHERE channels = expected_channels AND len(channels) >= 2) "
-    f"WHERE r <= {MAX_EVENTS}",
+    "FROM cand c JOIN expect USING (set_name, deck) WHERE channels = expected_channels AND len(channels) >= 2)",
     "chan": "SELECT set_name, deck, sensor_name, row_number() OVER (PARTITION BY set_name, deck ORDER BY sensor_name) - 1 AS channel_index, "
     "count(*) OVER (PARTITION BY set_name, deck) AS channel_count FROM (SELECT set_name, deck, sensor_name FROM "
     "(SELECT set_name, deck, event_id, unnest(channels) AS sensor_name FROM chosen) JOIN "
@@ -173,8 +171,10 @@ _MODAL = {
     "JOIN chan c USING (set_name, deck, sensor_name) JOIN full_rows f ON f.event_id = w.event_id AND f.sample_index = w.sample_index "
     "JOIN (SELECT event_id, count(*) AS row_count FROM full_rows GROUP BY ALL) n ON n.event_id = w.event_id WHERE n.row_count >= 2",
     "ev": "SELECT set_name, deck, count(DISTINCT event_id) AS event_count FROM mat GROUP BY ALL",
+    "ev_long": f"SELECT set_name, deck, count(DISTINCT event_id) AS event_count FROM mat WHERE row_count >= {SEGMENT} "
+    "GROUP BY ALL HAVING count(DISTINCT event_id) >= 2",
     "seg": f"SELECT m.*, s.segment, m.row - s.segment * {SEGMENT - OVERLAP} AS i, (row_count - {SEGMENT}) // {SEGMENT - OVERLAP} + 1 AS segment_count "
-    f"FROM mat m, range(100000) AS s(segment) WHERE m.row_count >= {SEGMENT} AND s.segment <= (m.row_count - {SEGMENT}) // {SEGMENT - OVERLAP} "
+    f"FROM mat m, range((SELECT max(row_count) FROM mat)) AS s(segment) WHERE m.row_count >= {SEGMENT} AND s.segment <= (m.row_count - {SEGMENT}) // {SEGMENT - OVERLAP} "
     f"AND m.row BETWEEN s.segment * {SEGMENT - OVERLAP} AND s.segment * {SEGMENT - OVERLAP} + {SEGMENT - 1}",
     "hann": f"SELECT i, 0.5 - 0.5 * cos(2 * pi() * i / {SEGMENT}) AS w FROM range({SEGMENT}) AS t(i)",
     "z": f"SELECT set_name, deck, event_id, segment, segment_count, channel_index, f.k, "
@@ -185,7 +185,7 @@ _MODAL = {
     "sum((a.re * b.re + a.im * b.im) / a.segment_count) / any_value(event_count) AS re, "
     "sum((a.im * b.re - a.re * b.im) / a.segment_count) / any_value(event_count) AS im "
     "FROM z a JOIN z b ON a.event_id = b.event_id AND a.segment = b.segment AND a.k = b.k "
-    "JOIN ev ON ev.set_name = a.set_name AND ev.deck = a.deck GROUP BY a.set_name, a.deck, a.k, a.channel_index, b.channel_index",
+    "JOIN ev_long ev ON ev.set_name = a.set_name AND ev.deck = a.deck GROUP BY a.set_name, a.deck, a.k, a.channel_index, b.channel_index",
     "pair": "SELECT set_name, deck, frequency_index, max(re) FILTER (channel_i = 0 AND channel_j = 0) AS a, "
     "max(re) FILTER (channel_i = 1 AND channel_j = 1) AS d, max(re) FILTER (channel_i = 0 AND channel_j = 1) AS b, "
     "max(im) FILTER (channel_i = 0 AND channel_j = 1) AS c FROM g GROUP BY ALL",
@@ -209,7 +209,7 @@ _PEAKS = {
 }
 
 
-def _modal(spark, folder):
+def _modal(spark, folder, min_rows: int = 2):
     block = times.time_tile(F.col("timestamp_utc"), 172800)
     rows = tables.readings(spark, folder).withColumn(
         "event_id", F.concat_ws("__", "set_name", "deck", block.cast("string"))
@@ -218,11 +218,9 @@ def _modal(spark, folder):
     event_sensors = rows.groupBy("set_name", "deck", "event_id", "sensor_name").agg(
         F.min(block).alias("start_time_utc"), F.lit("included").alias("sensor_status")
     )
-    candidates = modal.candidate_events(modal.channels_of(event_sensors))
-    # A few events per deck, read by every later step.
-    selected = cut_lineage(modal.first_events(candidates, MAX_EVENTS))
+    selected = cut_lineage(modal.candidate_events(modal.channels_of(event_sensors)))
     channels = modal.common_channels(selected)
-    return event_sensors, selected, channels, modal.event_matrices(waves, selected, channels)
+    return event_sensors, selected, channels, modal.event_matrices(waves, selected, channels, min_rows=min_rows)
 
 
 @query(
@@ -284,10 +282,9 @@ def event_matrices(spark, folder):
 
 
 def _density(spark, folder):
-    _, _, channels, matrices = _modal(spark, folder)
-    long_enough = matrices.filter(F.col("row_count") >= SEGMENT)
+    _, _, channels, matrices = _modal(spark, folder, min_rows=SEGMENT)
     return channels, modal.spectral_density(
-        modal.segments(long_enough, nperseg=SEGMENT, noverlap=OVERLAP), sampling_rate_hz=RATE
+        modal.segments(matrices, nperseg=SEGMENT, noverlap=OVERLAP), sampling_rate_hz=RATE
     )
 
 
@@ -400,20 +397,24 @@ def mode_shape_table(spark, folder):
     "feature_family_status",
     with_views(
         "SELECT e.set_name, e.deck, 'acc_z_fdd' AS feature_family, CASE WHEN v.n >= 2 THEN 'completed' ELSE 'skipped' END AS status, "
-        "CASE WHEN v.n >= 2 THEN 'computed from ' || v.n || ' retained events' WHEN coalesce(k.n, 0) < 2 THEN 'insufficient common ACC_Z_FDD events' "
-        "ELSE 'insufficient ACC_Z_FDD events after dropping missing rows' END AS detail, "
-        "CASE WHEN v.n >= 2 THEN v.n ELSE e.n END AS event_count, CASE WHEN v.n >= 2 THEN 2 ELSE 0 END::BIGINT AS channel_count "
+        "CASE WHEN v.n >= 2 THEN 'computed from ' || v.n || ' retained events' "
+        "WHEN coalesce(len(expected_channels), 0) < 2 THEN 'insufficient configured ACC_Z channels' "
+        "WHEN k.n IS NULL THEN 'no events with all ' || len(expected_channels) || ' ACC_Z channels' "
+        "WHEN k.n < 2 THEN 'insufficient events with all ' || len(expected_channels) || ' ACC_Z channels' "
+        "ELSE 'insufficient full-set ACC_Z events after dropping missing rows' END AS detail, "
+        "CASE WHEN v.n >= 2 THEN v.n ELSE e.n END AS event_count, "
+        "CASE WHEN k.n >= 2 THEN len(expected_channels) ELSE 0 END::BIGINT AS channel_count "
         "FROM (SELECT set_name, deck, count(DISTINCT event_id) AS n FROM days GROUP BY ALL) e "
         "LEFT JOIN (SELECT set_name, deck, count(*) AS n FROM chosen GROUP BY ALL) k USING (set_name, deck) "
-        "LEFT JOIN (SELECT set_name, deck, event_count AS n FROM ev) v USING (set_name, deck)",
+        "LEFT JOIN (SELECT set_name, deck, event_count AS n FROM ev) v USING (set_name, deck) LEFT JOIN expect USING (set_name, deck)",
         "readings",
         extra={k: v for k, v in _MODAL.items() if k not in ("seg", "hann", "z", "g", "pair", "curve")},
     ),
 )
 def feature_family_status(spark, folder):
-    event_sensors, selected, _, matrices = _modal(spark, folder)
+    event_sensors, selected, channels, matrices = _modal(spark, folder)
     found = event_sensors.select("set_name", "deck", "event_id").distinct()
-    return modal.family_status(found, selected, matrices, family="acc_z_fdd")
+    return modal.family_status(found, modal.channels_of(event_sensors), selected, selected, channels, matrices)
 
 
 @query("raw_record_decomposition")
@@ -430,12 +431,12 @@ def raw_record_decomposition(spark, folder):
         F.min("timestamp_utc").alias("start_time_utc"), F.lit("included").alias("sensor_status")
     )
     candidates = modal.candidate_events(modal.channels_of(sensors, axis=None))
-    selected = cut_lineage(modal.first_events(candidates, MAX_EVENTS))
+    selected = cut_lineage(candidates)
     channels = modal.common_channels(selected)
     chosen = waves.join(selected.select("event_id"), "event_id", "left_semi")
     even = cut_lineage(joins.positional_rows(chosen, ["event_id"]))
     filtered = conditioning.bandpass(even, KEYS)
     signal = cut_lineage(even.drop("value").join(filtered, [*KEYS, "sample_index"]))
-    matrices = modal.event_matrices(signal, selected, channels).filter(F.col("row_count") >= SEGMENT)
+    matrices = modal.event_matrices(signal, selected, channels, min_rows=SEGMENT)
     table, located = modal.run(matrices, channels, nperseg=SEGMENT, noverlap=OVERLAP, n_peaks=3, high_hz=45.0)
     return tidy(located.select("set_name", "deck", "peak_rank", "sensor_name", "frequency_hz", "mode_shape_amplitude"))

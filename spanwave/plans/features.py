@@ -24,7 +24,7 @@ class Settings:
     noverlap: int = 512
     n_peaks: int = 3
     min_common_events: int = 2
-    max_events: int | None = 5
+    max_events: int | None = None
     require_full_channel_set: bool = True
     tile_seconds: int = 60
 
@@ -60,7 +60,6 @@ def build(
     candidates = modal.candidate_events(
         channel_rows, require_full_channel_set=settings.require_full_channel_set
     )
-    # A few events per deck, read by every later step.
     selected = cut_lineage(modal.first_events(candidates, settings.max_events))
     channels = cut_lineage(modal.common_channels(selected))
     matrices = cut_lineage(
@@ -91,6 +90,15 @@ def build(
         "deck_modal_peaks": labelled,
         "deck_mode_shape_components": located.drop("channel_index", "frequency_index"),
         "feature_family_status": modal.family_status(
-            retained, selected, matrices, family=family, min_common_events=settings.min_common_events
+            retained,
+            channel_rows,
+            candidates,
+            selected,
+            channels,
+            matrices,
+            quantity=settings.quantity,
+            axis=settings.axis,
+            min_common_events=settings.min_common_events,
+            require_full_channel_set=settings.require_full_channel_set,
         ),
     }

@@ -57,7 +57,7 @@ VIEWS["records"] = (
     ("samples",),
     """
     SELECT set_name, deck, sensor_name, raw_file,
-           row_number() OVER (PARTITION BY set_name, sensor_name ORDER BY window_start) AS record_uid,
+           1000 + 10 * row_number() OVER (PARTITION BY set_name, sensor_name ORDER BY window_start) AS record_uid,
            start_row_1based, end_row_1based, window_start AS start_time_utc, end_time_utc,
            ((epoch_us(end_time_utc) - epoch_us(window_start)) // 1000) / 1e3 AS duration,
            start_value, end_value, end_value - start_value AS diff_value, min_value, max_value, mean_value,
@@ -97,9 +97,9 @@ VIEWS["annotated"] = (
     """
     SELECT g.*,
            CASE WHEN x.reason IS NOT NULL OR NOT selected THEN 'excluded' ELSE 'included' END AS sensor_status,
-           CASE WHEN x.reason IS NOT NULL THEN x.reason WHEN NOT selected THEN 'channel not selected'
+           CASE WHEN x.reason IS NOT NULL THEN x.reason WHEN NOT selected THEN 'channel not selected for neural preprocessing'
                 ELSE '' END AS exclusion_reason,
-           CASE WHEN x.reason IS NOT NULL THEN x.source WHEN NOT selected THEN 'selection.channels'
+           CASE WHEN x.reason IS NOT NULL THEN x.source WHEN NOT selected THEN 'preprocessing sensor selection'
                 ELSE '' END AS exclusion_source
     FROM (SELECT *, regexp_matches(sensor_name, '_(INF|SUP)_STR$|_ACC_Z$') AS selected FROM grouped) g
     LEFT JOIN exclusions x USING (set_name, sensor_name)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanwave import schema
-from spanwave.functions import times
+from spanwave.functions import numbers, times
 
 # Keys under which a JSON file may hold its list of records.
 INDEX_WRAPPERS = ("data", "records", "rows", "table")
@@ -32,117 +34,165 @@ def catalogue(files: DataFrame, observed: DataFrame) -> DataFrame:
     )
 
 
+def _cell(value: object) -> str | None:
+    """A JSON value as text: strings as they are, all else as JSON."""
+    return value if value is None or isinstance(value, str) else json.dumps(value)
+
+
+def _flat(record: dict, prefix: str = "") -> dict:
+    """Nested objects as dotted names."""
+    out: dict = {}
+    for name, value in record.items():
+        if isinstance(value, dict) and value:
+            out |= _flat(value, f"{prefix}{name}.")
+        else:
+            out[prefix + name] = value
+    return out
+
+
+def _by_rows(columns: dict) -> list[dict]:
+    """Rows of named lists, short ones padded; a single value belongs to the first row."""
+    lists = {name: value if isinstance(value, list) else [value] for name, value in columns.items()}
+    length = max(map(len, lists.values()), default=0)
+    return [{n: v[i] if i < len(v) else None for n, v in lists.items()} for i in range(length)]
+
+
+def json_records(data: object, wrappers: Sequence[str]) -> list[dict]:
+    """Rows of one JSON file, by the shape of that file alone.
+
+    A list of records; an object with such a list under one of ``wrappers``; an object of columns;
+    a single record, nested objects flattened to dotted names. A lone record with lists is one of
+    columns. One-element lists stand for their element.
+    """
+    if isinstance(data, dict):
+        data = next((data[w] for w in wrappers if isinstance(data.get(w), list)), data)
+    if isinstance(data, dict):
+        rows = _by_rows(data) if data and all(isinstance(v, list) for v in data.values()) else [_flat(data)]
+    elif isinstance(data, list):
+        rows = [r if isinstance(r, dict) else {"0": r} for r in data]
+    else:
+        raise ValueError(f"a JSON file must hold an object or a list, not {type(data).__name__}")
+    if len(rows) == 1 and any(isinstance(v, list) for v in rows[0].values()):
+        rows = _by_rows(rows[0])
+    return [{n: v[0] if isinstance(v, list) and len(v) == 1 else v for n, v in r.items()} for r in rows]
+
+
+ROWS = T.StructType(
+    [
+        T.StructField("_path", T.StringType()),
+        T.StructField("row_1based", T.LongType()),
+        T.StructField("cells", T.MapType(T.StringType(), T.StringType())),
+    ]
+)
+ROWS_PER_BATCH = 10_000
+
+
 def read_json_rows(spark: SparkSession, paths: str | Sequence[str], wrappers: Sequence[str]) -> DataFrame:
-    """Rows of JSON files in any of the accepted shapes, with the path they came from.
+    """Rows of JSON files, each file by its own shape: ``_path, row_1based, cells``.
 
-    Accepted: a list of records; an object holding such a list under a wrapper key; an object of
-    equal columns, shorter ones padded with NULL; a single record. Files of one call must share a
-    shape. ``row_1based`` counts rows within a file.
+    Files of any mix of shapes may come in one call. A JSON document is parsed as a whole, so a file
+    is the unit of work and has to fit a task; a file that is no JSON fails the read.
     """
-    loaded = spark.read.option("multiLine", True).json(paths)
-    source = F.col("_metadata.file_path").alias("_path")
-    wrapped = next(
-        (
-            f.name
-            for f in loaded.schema.fields
-            if f.name in wrappers
-            and isinstance(f.dataType, T.ArrayType)
-            and isinstance(f.dataType.elementType, T.StructType)
-        ),
-        None,
-    )
-    if wrapped is not None:
-        rows = loaded.select(source, F.posexplode(f"`{wrapped}`").alias("_at", "_row"))
-        return rows.select("_path", (F.col("_at") + 1).cast("bigint").alias("row_1based"), "_row.*")
-    lists = [f.name for f in loaded.schema.fields if isinstance(f.dataType, T.ArrayType)]
-    whole_columns = lists and (len(lists) == len(loaded.columns) or _is_single_row_of_lists(loaded, lists))
-    if whole_columns:
-        as_lists = [
-            F.col(f"`{c}`") if c in lists else F.array(F.col(f"`{c}`")).alias(c) for c in loaded.columns
-        ]
-        rows = loaded.select(source, F.posexplode(F.arrays_zip(*as_lists)).alias("_at", "_row"))
-        return rows.select("_path", (F.col("_at") + 1).cast("bigint").alias("row_1based"), "_row.*")
-    # Records: one JSON value per file, whose elements keep file order in _metadata-less scans.
-    numbered = loaded.select(source, F.monotonically_increasing_id().alias("_order"), "*")
-    first = numbered.groupBy("_path").agg(F.min("_order").alias("_first"))
-    return (
-        numbered.join(first, "_path")
-        .withColumn("row_1based", F.col("_order") - F.col("_first") + 1)
-        .select("_path", "row_1based", *loaded.columns)
-    )
 
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, text in zip(*(batch.column(i) for i in range(2)), strict=True):
+                rows = json_records(json.loads(text.as_py()), wrappers)
+                for start in range(0, len(rows), ROWS_PER_BATCH):
+                    part = rows[start : start + ROWS_PER_BATCH]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([path.as_py()] * len(part), pa.string()),
+                            pa.array(range(start + 1, start + 1 + len(part)), pa.int64()),
+                            pa.array([[(n, _cell(v)) for n, v in r.items()] for r in part], pa.map_(pa.string(), pa.string())),
+                        ],
+                        ROWS.names,
+                    )
+
+    files = spark.read.option("wholetext", True).text(paths)
+    return files.select(F.col("_metadata.file_path"), "value").mapInArrow(parse, ROWS)
+
+
+def has_cell(name: str) -> Column:
+    return F.exists(F.map_keys("cells"), lambda k: F.lower(k) == name.lower())
+
+
+def cell(name: str) -> Column:
+    """The cell of that name: exact spelling first, then any letter case."""
+    other = F.map_values(F.map_filter("cells", lambda k, _: F.lower(k) == name.lower()))
+    return F.coalesce(F.col("cells")[name], F.get(other, F.lit(0)))
 
-def _is_single_row_of_lists(loaded: DataFrame, lists: Sequence[str]) -> bool:
-    """Whether each file is one object whose lists are columns rather than one-element cells."""
-    longest = F.greatest(*[F.size(f"`{c}`") for c in lists], F.lit(0))
-    counts = loaded.agg(F.max(longest).alias("n")).first()
-    return (counts["n"] or 0) > 1
+
+def needed(name: str) -> Column:
+    """A cell that every row must have."""
+    return F.when(has_cell(name), cell(name)).otherwise(
+        F.raise_error(F.concat(F.lit(f"no column {name} in "), "_path")).cast("string")
+    )
 
 
-def unwrap_single(df: DataFrame) -> DataFrame:
-    """Replace one-element lists by their element."""
-    out = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        out.append(F.element_at(c, 1).alias(f.name) if isinstance(f.dataType, T.ArrayType) else c)
-    return df.select(*out)
+def needed_time(name: str) -> Column:
+    """A time that must be readable."""
+    at = times.parse_utc(needed(name))
+    message = F.concat(F.lit(f"unreadable {name} in "), "_path", F.lit(", row "), F.col("row_1based").cast("string"))
+    return F.when(at.isNotNull(), at).otherwise(F.raise_error(message).cast("timestamp"))
 
 
 def read_index_tables(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Index tables of any number of sensors and sets as typed records.
+    """Index tables of any number of sensors and sets as typed records, in one scan.
 
-    Set and sensor come from the path ``<set>/TABLE_<sensor>_SETn.json``.
+    Set and sensor come from the path ``<set>/TABLE_<sensor>_SETn.json``. A row without one of the
+    needed columns, with an unreadable time or without row numbers fails the read; other cells
+    that are no numbers are NULL.
     """
-    rows = unwrap_single(read_json_rows(spark, paths, INDEX_WRAPPERS))
-    names = schema.require_columns(rows, *schema.REQUIRED_INDEX_COLUMNS)
-    typed = schema.conform(rows.withColumnsRenamed({v: k for k, v in names.items()}), schema.INDEX_COLUMNS)
-    located = schema.conform(
-        rows.withColumnsRenamed({v: k for k, v in names.items()}),
-        T.StructType([*schema.INDEX_COLUMNS.fields, T.StructField("_path", T.StringType()), T.StructField("row_1based", T.LongType())]),
-    )
+    rows = read_json_rows(spark, paths, INDEX_WRAPPERS)
     path = F.col("_path")
     sensor = sensor_from_file(F.element_at(F.split(path, "/"), -1))
-    return located.select(
+    measures = [f.name for f in schema.INDEX_COLUMNS.fields if isinstance(f.dataType, T.DoubleType)]
+    return rows.select(
         F.element_at(F.split(path, "/"), -2).alias("set_name"),
         F.substring_index(sensor, "_", 1).alias("deck"),
         sensor.alias("sensor_name"),
-        F.col("File").alias("raw_file"),
+        needed("File").alias("raw_file"),
         F.col("row_1based").alias("table_row"),
-        F.col("Record_UID").alias("record_uid"),
-        F.col("Start_Row").alias("start_row_1based"),
-        F.col("End_Row").alias("end_row_1based"),
-        times.parse_utc(F.col("Start_Time")).alias("start_time_utc"),
-        times.parse_utc(F.col("End_Time")).alias("end_time_utc"),
+        cell("Record_UID").try_cast("double").cast("bigint").alias("record_uid"),
+        numbers.to_int(needed("Start_Row").try_cast("double"), "Start_Row").alias("start_row_1based"),
+        numbers.to_int(needed("End_Row").try_cast("double"), "End_Row").alias("end_row_1based"),
+        needed_time("Start_Time").alias("start_time_utc"),
+        needed_time("End_Time").alias("end_time_utc"),
         *[
-            F.col(c).alias(c.lower() if c != "Range" else "range_value")
-            for c in typed.columns
-            if c.endswith("_Value") or c in ("Duration", "Range", "Temperature", "Tag")
+            numbers.to_number(cell(c)).alias("range_value" if c == "Range" else c.lower())
+            for c in measures
         ],
+        cell("Tag").alias("tag"),
     )
 
 
-def read_waveforms(spark: SparkSession, paths: str | Sequence[str], sensor_name: str) -> DataFrame:
-    """Raw waveform files of one sensor: typed time and value, NULL where they cannot be read.
+def read_waveforms(spark: SparkSession, paths: str | Sequence[str], sensor_name: str | None = None) -> DataFrame:
+    """Raw waveform files of any number of sensors in one scan: typed time and value.
 
-    The value column is the sensor's own name when present, else the first that is not the time.
-    Set and file come from the path ``<set>/<sensor>/<file>``.
+    Set, sensor and file come from the path ``<set>/<sensor>/<file>``, the sensor from
+    ``sensor_name`` if given. The value is the cell under the sensor's own name if the row has it,
+    else the first that is not the time. Times and values that cannot be read are NULL; a row
+    without a time column or without any other fails the read.
     """
     rows = read_json_rows(spark, paths, WAVEFORM_WRAPPERS)
-    clock = schema.resolve_column(rows, "timestamp")
-    if clock is None:
-        raise KeyError(f"raw waveform of {sensor_name!r} has no timestamp column")
-    measures = [c for c in rows.columns if c not in (clock, "_path", "row_1based")]
-    if not measures:
-        raise KeyError(f"raw waveform of {sensor_name!r} has no value column")
-    value = sensor_name if sensor_name in measures else measures[0]
     tokens = F.split("_path", "/")
+    sensor = F.lit(sensor_name) if sensor_name else F.element_at(tokens, -2)
+    others = F.map_filter("cells", lambda k, _: F.lower(k) != "timestamp")
+    first = F.get(F.map_values(others), F.lit(0))
+    no_value = F.raise_error(F.concat(F.lit("no value column in "), "_path")).cast("string")
+    value = (
+        F.when(F.size(others) == 0, no_value)
+        .when(F.array_contains(F.map_keys(others), sensor), F.element_at(others, sensor))
+        .otherwise(first)
+    )
     return rows.select(
         F.element_at(tokens, -3).alias("set_name"),
-        F.lit(sensor_name).alias("sensor_name"),
+        sensor.alias("sensor_name"),
         F.element_at(tokens, -1).alias("raw_file"),
         "row_1based",
-        times.parse_utc(F.col(f"`{clock}`").cast("string")).alias("timestamp_utc"),
-        F.col(f"`{value}`").try_cast("double").alias("value"),
+        times.parse_utc(needed("timestamp")).alias("timestamp_utc"),
+        value.try_cast("double").alias("value"),
     )
 
 

@@ -94,7 +94,7 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     in_set = Window.partitionBy("set_name", "sensor_name").orderBy("window_start")
     in_file = Window.partitionBy("set_name", "sensor_name", "raw_file").orderBy("window_start")
     end_row = F.sum("n").over(in_file)
-    return per_window.withColumn("record_uid", F.row_number().over(in_set).cast("bigint")).select(
+    return per_window.withColumn("record_uid", (F.row_number().over(in_set) * 10 + 1000).cast("bigint")).select(
         "set_name",
         "deck",
         "sensor_name",

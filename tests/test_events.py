@@ -71,7 +71,7 @@ def test_exclusion_comes_last(spark):
     rows = records(spark, [(A, "f", 1, 2, 0, 3), (B, "f", 1, 2, 0, 3), (C, "f", 1, 2, 0, 3)])
     listed = spark.createDataFrame([("SET1", C, "damaged", "visit")], "set_name string, sensor_name string, reason string, source string")
     marked = events.annotate_records(rows, decks=["OLD"], exclusions=listed).orderBy("sensor_name").collect()
-    assert [r.exclusion_reason for r in marked] == ["deck not selected", "deck not selected", "damaged"]
+    assert [r.exclusion_reason for r in marked] == ["deck not selected for preprocessing", "deck not selected for preprocessing", "damaged"]
     marked = events.annotate_records(rows, acc_axis="Y", exclusions=listed).orderBy("sensor_name").collect()
     assert [r.sensor_status for r in marked] == ["included", "excluded", "excluded"]
 

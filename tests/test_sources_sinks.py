@@ -57,8 +57,58 @@ def test_index_pads_short_columns_and_needs_its_columns(spark, tmp_path):
     other = tmp_path / "bad"
     other.mkdir()
     (other / "TABLE_X_SET1.json").write_text(json.dumps({"File": ["a", "b"], "Start_Row": [1, 2]}))
-    with pytest.raises(KeyError):
-        index_files.read_index_tables(spark, str(other))
+    with pytest.raises(Exception, match="no column"):
+        index_files.read_index_tables(spark, str(other)).collect()
+
+
+@pytest.mark.parametrize("change", [{"Start_Time": ["soon", "2022-07-01"]}, {"Start_Row": [None, 3]}, {"End_Row": ["x", 3]}])
+def test_index_with_bad_needed_cells_fails(spark, tmp_path, change):
+    (tmp_path / f"TABLE_{SENSOR}_SET1.json").write_text(json.dumps({**INDEX, **change}))
+    with pytest.raises(Exception, match="unreadable|whole number"):
+        index_files.read_index_tables(spark, str(tmp_path)).collect()
+
+
+def test_files_of_all_shapes_in_one_call(spark, tmp_path):
+    """No file and no row is lost, whatever stands beside it."""
+    shapes = [INDEX, {"records": rows_of(INDEX)}, {"data": rows_of(INDEX)}, rows_of(INDEX), {k: [v[0]] for k, v in INDEX.items()}]
+    shapes += [[INDEX], {**INDEX, "File": "a.json"}, {k: v[0] for k, v in INDEX.items()} | {"More": {"Deep": {"Er": 1}}}, []]
+    for i, content in enumerate(shapes):
+        (tmp_path / f"TABLE_OLD_S{i}_X_SET1.json").write_text(json.dumps(content))
+    found = {}
+    for r in index_files.read_index_tables(spark, str(tmp_path)).filter("raw_file IS NOT NULL OR record_uid IS NOT NULL").collect():
+        found.setdefault(r.sensor_name, []).append((r.table_row, r.record_uid, r.tag))
+    both = [(1, 1, "x"), (2, 2, "y")]
+    want = {f"OLD_S{i}_X": both for i in (0, 1, 2, 3, 5, 6)} | {"OLD_S4_X": both[:1], "OLD_S7_X": both[:1]}
+    assert {k: sorted(v) for k, v in found.items()} == want
+
+
+def test_nested_objects_are_flattened():
+    assert index_files.json_records({"a": {"b": {"c": 1}, "d": [2]}, "e": 3}, ("data",)) == [{"a.b.c": 1, "a.d": 2, "e": 3}]
+    assert index_files.json_records([{"a": [1]}, {"a": [1, 2]}], ()) == [{"a": 1}, {"a": [1, 2]}]
+
+
+def test_waveforms_of_many_sensors_in_one_scan(spark, tmp_path):
+    for sensor, content in (("A", {"timestamp": ["2022-07-01"], "A": [1]}), ("B", [{"x": 2, "Timestamp": "2022-07-01"}]), ("C", {"rows": [{"timestamp": "2022-07-01", "x": 9, "C": 3}]})):
+        (tmp_path / "SET1" / sensor).mkdir(parents=True)
+        (tmp_path / "SET1" / sensor / "f.json").write_text(json.dumps(content))
+    rows = index_files.read_waveforms(spark, str(tmp_path / "*" / "*")).collect()
+    assert sorted((r.set_name, r.sensor_name, r.row_1based, r.value) for r in rows) == [("SET1", "A", 1, 1.0), ("SET1", "B", 1, 2.0), ("SET1", "C", 1, 3.0)]
+
+
+def test_one_record_by_uid_or_place(spark):
+    from spanwave.operators import joins
+
+    at = datetime(2022, 7, 1)
+    records = spark.createDataFrame(
+        [("S1", "a", "f", 70 + i, i, 3 * i - 2, 3 * i, at, at) for i in (2, 1)],
+        "set_name string, sensor_name string, raw_file string, record_uid long, table_row long, start_row_1based long, end_row_1based long, start_time_utc timestamp, end_time_utc timestamp",
+    )
+    samples = spark.createDataFrame([("S1", "a", "f", i, at, float(i)) for i in range(1, 9)], "set_name string, sensor_name string, raw_file string, row_1based long, timestamp_utc timestamp, value double")
+    values = lambda **k: sorted(r.value for r in joins.read_record(records, samples, "a", **k).collect())
+    assert values(record_uid=72) == [4.0, 5.0, 6.0] and values() == [1.0, 2.0, 3.0] and values(place=1) == values(record_uid=72)
+    for missing in ({"record_uid": 1}, {"place": 2}, {"set_name": "S2"}):
+        with pytest.raises(LookupError):
+            values(**missing)
 
 
 @pytest.mark.parametrize("wrapped", [False, True])
