@@ -39,11 +39,14 @@ def add_slots(event_sensors: DataFrame) -> DataFrame:
 def align(samples: DataFrame, slots: int, *, tile: str = "tile") -> DataFrame:
     """Align the events in ``samples`` (``event_id, slot, tile, timestamp_utc, sample_index, value``).
 
-    ``slots`` bounds the sensors per event and comes from the sensor dimension. One row per
+    ``slots`` bounds the sensors per event and comes from the sensor dimension; a slot outside it
+    fails the job. One row per
     surviving reference row: ``event_id, tile, timestamp_utc, sample_index`` (of the reference)
     and ``values``, an array by slot that is NULL where the event lacks the slot.
     """
-    first_samples = _first_samples_at_or_after(samples, slots, tile)
+    outside = F.raise_error(F.concat(F.lit(f"more than {slots} sensors in event "), F.col(KEY)))
+    bounded = samples.withColumn("slot", F.when(F.col("slot") < slots, F.col("slot")).otherwise(outside.cast("int")))
+    first_samples = _first_samples_at_or_after(bounded, slots, tile)
     judged = _judge_within_tiles(first_samples, slots, tile)
     settled = judged.filter(~F.col("_open") & (F.col(f"_alive_{slots - 1}") == 1)).select(KEY, tile, "timestamp_utc", "sample_index", "values")
     late = _judge_across_tiles(judged, slots, tile)

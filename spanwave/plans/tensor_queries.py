@@ -171,7 +171,7 @@ def strain_windows(spark, folder):
 _SPECTRA = {
     **_EVENTS,
     "n_fft": "SELECT max(row_count) AS n FROM kept",
-    "bins": f"SELECT k AS bin, k * {RATE} / n AS hz FROM n_fft, range(1000) AS t(k) WHERE k <= n // 2 AND k * {RATE} / n BETWEEN {LOW} AND {HIGH}",
+    "bins": f"SELECT k AS bin, k * {RATE} / n AS hz FROM n_fft, range((SELECT max(row_count) FROM kept)) AS t(k) WHERE k <= n // 2 AND k * {RATE} / n BETWEEN {LOW} AND {HIGH}",
 }
 
 
@@ -220,29 +220,58 @@ def acceleration_spectra(spark, folder):
     return tidy(lines)
 
 
-@query("packaged_tensors")
+_MODALITIES = {
+    **_SPECTRA,
+    "manifest": "SELECT row_number() OVER (ORDER BY set_name, deck, window_start, event_id) - 1 AS row_index, event_id, "
+    "row_count AS valid_length, w0 FROM kept",
+    "strain": "SELECT event_id, 'strain' AS modality, idx, sample_index - w0 AS position, value "
+    f"FROM joined JOIN manifest USING (event_id) WHERE modality = 'strain' AND sample_index >= w0 AND sample_index < w0 + {2 * HALF}",
+    "acc": "SELECT event_id, 'acc' AS modality, idx, bin - (SELECT min(bin) FROM bins) AS position, "
+    "sqrt(power(sum(CAST(CAST(value AS FLOAT) AS DOUBLE) * cos(2 * pi() * bin * sample_index / n)), 2) + "
+    "power(sum(CAST(CAST(value AS FLOAT) AS DOUBLE) * sin(2 * pi() * bin * sample_index / n)), 2)) AS value "
+    "FROM joined JOIN manifest USING (event_id), bins, n_fft WHERE modality = 'acc' GROUP BY event_id, idx, bin",
+    "temps": "SELECT event_id, avg(t) AS temperature_mean, count(t) AS temperature_sensor_count FROM "
+    "(SELECT event_id, sensor_name, avg(temperature) AS t FROM joined GROUP BY ALL) GROUP BY event_id",
+}
+
+
+@query(
+    "packaged_tensors",
+    with_views(
+        "SELECT row_index, event_id, valid_length, modality, idx AS model_channel_index, position, "
+        "round(CAST(CAST(value AS FLOAT) AS DOUBLE), 3) + 0.0 AS value, "
+        f"{rnd('temperature_mean', 8)} AS temperature_mean, temperature_sensor_count "
+        "FROM (SELECT * FROM strain UNION ALL SELECT * FROM acc) JOIN manifest USING (event_id) LEFT JOIN temps USING (event_id)",
+        "pos_rows",
+        "records",
+        extra=_MODALITIES,
+    ),
+)
 def packaged_tensors(spark, folder):
-    """One row per kept event: strain windows, spectra and temperature as arrays."""
+    """The packed arrays of each modality on the shared event axis, one row per value: strain
+    windows and spectra by their own channels, valid length and temperature of the event."""
     aligned, channels, packaged = _packaged(spark, folder)
     packaged = cut_lineage(packaged)
-    strain = tensors.pack_arrays(
-        tensors.strain_windows(aligned, packaged, channels), ["event_id", "model_channel_index"], "position", "value", "strain"
-    )
+    keys = ["event_id", "model_channel_index"]
+    strain = tensors.pack_arrays(tensors.strain_windows(aligned, packaged, channels), keys, "position", "value", "values")
     kept = packaged.filter("status = 'keep'").select("event_id")
     acc = aligned.join(channels.filter("modality = 'acc'"), "sensor_name").join(kept, "event_id", "left_semi")
-    lines = tensors.spectra(
-        acc, ["event_id", "model_channel_index"], tensors.transform_length(packaged), low_hz=LOW, high_hz=HIGH
-    )
-    spectra = tensors.pack_arrays(lines, ["event_id", "model_channel_index"], "bin", "magnitude", "acc")
+    lines = tensors.spectra(acc, keys, tensors.transform_length(packaged), low_hz=LOW, high_hz=HIGH)
+    spectra = tensors.pack_arrays(lines, keys, "bin", "magnitude", "values")
+    packed = strain.withColumn("modality", F.lit("strain")).unionByName(spectra.withColumn("modality", F.lit("acc")))
     sensors = aligned.groupBy("event_id", "sensor_name").agg(F.avg("temperature").alias("temperature"))
-    temperature = tensors.mean_temperature(sensors, channels)
-    joined = (
+    rows = (
         tensors.manifest(packaged)
-        .join(strain, "event_id")
-        .join(spectra, ["event_id", "model_channel_index"], "left")
-        .join(temperature, "event_id", "left")
+        .select("row_index", "event_id")
+        .join(packaged.select("event_id", F.col("row_count").alias("valid_length")), "event_id")
+        .join(packed, "event_id")
+        .join(tensors.mean_temperature(sensors, channels), "event_id", "left")
+    )
+    values = F.posexplode("values").alias("position", "value")
+    long = rows.select(
+        "row_index", "event_id", "valid_length", "modality", "model_channel_index", values, "temperature_mean", "temperature_sensor_count"
     )
-    return tidy(joined)
+    return tidy(long.withColumns({"value": F.col("value").cast("double"), "position": F.col("position").cast("bigint")}), {"value": 3, "temperature_mean": 8})
 
 
 @query(

@@ -64,6 +64,7 @@ def package(
     return {
         "sensor_map": channel_map,
         "manifest": tensors.manifest(packaged),
+        "valid_lengths": packaged.filter("status = 'keep'").select("event_id", F.col("row_count").alias("valid_length")),
         "strain_inputs": tensors.pack_arrays(
             tensors.strain_windows(samples, packaged, channels), keys, "position", "value", "values"
         ),

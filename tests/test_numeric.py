@@ -193,5 +193,5 @@ def test_complex_helpers(spark):
     a, b = numbers.times_conjugate(F.lit(z.real), F.lit(z.imag), F.lit(w.real), F.lit(w.imag))
     row = spark.range(1).select(re.alias("re"), im.alias("im"), a.alias("a"), b.alias("b"), numbers.round_half_even(F.lit(0.5), 0).alias("r")).first()
     assert complex(row.re, row.im) == pytest.approx(z * np.exp(-0.3j)) and complex(row.a, row.b) == z * w.conjugate() and row.r == 0
-    with pytest.raises(Exception, match="Start_Row is NaN"):
+    with pytest.raises(Exception, match="no whole number in Start_Row"):
         spark.range(1).select(numbers.to_int(F.lit(float("nan")), "Start_Row")).collect()
