@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanwave.functions import naming, numbers
 from spanwave.operators import sequence
+from spanwave.operators.sizing import small
 from spanwave.session import cut_lineage
 
 GROUP = ["set_name", "deck"]
@@ -98,7 +99,7 @@ def event_matrices(
     rows = (
         samples.filter(F.col("value").isNotNull() & ~F.isnan("value"))
         .join(selected.select(*GROUP, "event_id"), [*GROUP, "event_id"], "left_semi")
-        .join(numbered, [*GROUP, "sensor_name"])
+        .join(small(numbered), [*GROUP, "sensor_name"])
     )
     channel = F.struct("channel_index", "value")
     full = (
@@ -112,9 +113,7 @@ def event_matrices(
         full, [*GROUP, "event_id"], ["sample_index"], "_tile", "row", size="row_count"
     ).filter(F.col("row_count") >= min_rows)
     enough = (
-        full.groupBy(*GROUP, "event_id")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") >= min_rows)
+        numbered_rows.filter("row = 0")
         .groupBy(*GROUP)
         .agg(F.count(F.lit(1)).alias("event_count"))
         .filter(F.col("event_count") >= min_common_events)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spanwave.functions import naming
 from spanwave.operators import sequence
+from spanwave.operators.sizing import small
 
 # Share of each modality in the total error.
 WEIGHTS = {"strain": 1.0, "acc": 1.0, "temperature": 0.1}
@@ -27,6 +28,21 @@ def squared_error(original: Column, reconstruction: Column) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda total, e: total + e) / F.size(original)
 
 
+def mean_of(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda total, v: total + v) / F.size(values)
+
+
+def channel_errors(values: Column, channels: int) -> Column:
+    """Per channel of a channel-major array: mean squared distance to the channel's own mean."""
+    width = (F.size(values) / F.lit(channels)).cast("int")
+
+    def error(channel: Column) -> Column:
+        own = F.slice(values, channel * width + 1, width)
+        return squared_error(own, F.transform(own, lambda _: mean_of(own)))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(channels - 1)), error)
+
+
 def total_error(strain: Column, acc: Column, temperature: Column, weights: dict[str, float] | None = None) -> Column:
     w = {**WEIGHTS, **(weights or {})}
     return w["strain"] * strain + w["acc"] * acc + w["temperature"] * temperature
@@ -249,7 +265,7 @@ def baseline_scores(
     )
     z = F.abs(F.try_divide(F.col("value") - F.col("_mean"), F.when(F.col("_std") > 0, F.col("_std"))))
     return (
-        long.join(fitted, ["sensor_name", "feature"])
+        long.join(small(fitted), ["sensor_name", "feature"])
         .withColumn("_z", z)
         .filter(F.col("_z").isNotNull())
         .groupBy("event_id", "set_name")

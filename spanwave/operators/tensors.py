@@ -403,19 +403,34 @@ def channel_samples(tensors: DataFrame, channels: int) -> DataFrame:
     )
 
 
-def duplicate_channels(values: DataFrame, *, tolerance: float = 1e-6) -> DataFrame:
+def scale_arrays(rows: DataFrame, reference: Column, width: int) -> DataFrame:
+    """Scale ``values`` by each array position's mean and deviation over the reference rows.
+
+    The fit is one row of ``width`` pairs and reaches the rows as a scalar, so nothing is shuffled
+    but its partial sums.
+    """
+
+    def fit(i: int) -> Column:
+        at = F.get("values", F.lit(i))
+        v = F.when(~F.isnan(at), at)
+        std = F.stddev_pop(v)
+        return F.struct(F.avg(v).alias("mean"), F.when(std == 0, F.lit(1.0)).otherwise(std).alias("std"))
+
+    fitted = rows.filter(reference).agg(F.array(*[fit(i) for i in range(width)]))
+    scaled = F.zip_with("values", "_fit", lambda v, f: (v - f["mean"]) / f["std"])
+    return rows.withColumn("_fit", fitted.scalar()).withColumn("values", scaled).drop("_fit")
+
+
+def duplicate_channels(rows: DataFrame, channels: int, *, tolerance: float = 1e-6) -> DataFrame:
     """Channel pairs whose values never differ by ``tolerance`` or more, with the largest gap.
 
-    Channels of one (event, place) are folded into a map first, so rows meet without a self join
-    and pairs are limited by the channel count.
+    ``values`` is channel-major. Pairs are compared inside the row; their number is bounded by the
+    channel count, and only one maximum per pair and task is shuffled.
     """
-    per_place = values.groupBy("event_id", "place").agg(
-        F.array_sort(F.collect_list(F.struct("channel", "value"))).alias("_c")
-    )
-    left = per_place.select("event_id", "place", "_c", F.explode("_c").alias("a"))
-    pairs = left.select("a", F.explode("_c").alias("b")).filter(F.col("a.channel") < F.col("b.channel"))
-    return pairs.groupBy(
-        F.col("a.channel").alias("channel"), F.col("b.channel").alias("other_channel")
-    ).agg(F.max(F.abs(F.col("a.value") - F.col("b.value"))).alias("max_abs_diff")).withColumn(
-        "duplicate", F.col("max_abs_diff") < tolerance
-    )
+    width = (F.size("values") / F.lit(channels)).cast("int")
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(channels) for b in range(a + 1, channels)]
+    each = rows.select("values", width.alias("_width"), F.explode(F.array(*pairs)).alias("p"))
+    own, other = (F.slice("values", F.col(f"p.{side}") * F.col("_width") + 1, F.col("_width")) for side in "ab")
+    gap = F.array_max(F.zip_with(own, other, lambda x, y: F.abs(x - y)))
+    found = each.groupBy(F.col("p.a").alias("channel"), F.col("p.b").alias("other_channel"))
+    return found.agg(F.max(gap).alias("max_abs_diff")).withColumn("duplicate", F.col("max_abs_diff") < tolerance)

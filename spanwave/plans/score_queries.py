@@ -32,36 +32,35 @@ _ERRORS = {
 }
 
 
+def _array_errors(spark, folder):
+    """One row per event with the error of each of its eight channels; nothing is exploded or shuffled."""
+    rows = tables.tensors(spark, folder)
+    errors = F.transform(scoring.channel_errors(F.col("values"), 8), lambda e: e * 100)
+    return rows.select("event_id", "set_name", "vec_id", errors.alias("m"), ((F.col("vec_id") % 30) / 100).alias("temperature"))
+
+
 def sample_errors(spark, folder):
-    values = tables.tensor_values(spark, folder)
-    per_channel = Window.partitionBy("event_id", "channel")
-    guessed = values.withColumn("guess", F.avg("value").over(per_channel))
-    mse = scoring.score_samples(guessed, "guess", ["event_id", "set_name", "vec_id", "channel"]).withColumn(
-        "mse", F.col("mse") * 100
-    )
-    # Both halves of a sample sit in one event row of eight channels: fold, do not self join.
-    folded = mse.groupBy("event_id", "set_name", "vec_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("channel", "mse"))).alias("m")
-    )
-    temperature = (F.col("vec_id") % 30) / 100
-    halves = folded.select(
-        "event_id", "set_name", "vec_id", "m", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("channel")
-    ).select(
+    """Channel c and c + 4 of an event are the two halves of a sample."""
+    rows = _array_errors(spark, folder).select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("channel"))
+    halves = rows.select(
         "event_id",
         "set_name",
         "vec_id",
         "channel",
-        F.element_at("m", F.col("channel")).alias("strain"),
-        F.element_at("m", F.col("channel") + 4).alias("acc"),
-        temperature.alias("temperature"),
+        F.get("m", F.col("channel")).alias("strain"),
+        F.get("m", F.col("channel") + 4).alias("acc"),
+        "temperature",
     )
     return halves.withColumn("total", scoring.total_error(F.col("strain"), F.col("acc"), F.col("temperature")))
 
 
 def event_scores(spark, folder):
-    errors = sample_errors(spark, folder)
-    scores = scoring.score_events(errors, MEASURES, ["event_id", "set_name", "vec_id"])
-    return scores.withColumn("temperature", F.col("temperature") * 100)
+    strain, acc = (scoring.mean_of(F.slice("m", first, 4)) for first in (1, 5))
+    means = _array_errors(spark, folder).select(
+        "event_id", "set_name", "vec_id", strain.alias("strain"), acc.alias("acc"), "temperature"
+    )
+    total = scoring.total_error(F.col("strain"), F.col("acc"), F.col("temperature"))
+    return means.withColumn("total", total).withColumn("temperature", F.col("temperature") * 100)
 
 
 def reference():
@@ -69,7 +68,7 @@ def reference():
 
 
 def flagged(spark, folder):
-    scores = cut_lineage(event_scores(spark, folder))
+    scores = event_scores(spark, folder)
     return scoring.flag_exceedances(scores, scoring.threshold(scores, reference()))
 
 
@@ -118,7 +117,7 @@ def event_score_table(spark, folder):
 )
 def reference_threshold(spark, folder):
     """99th percentile of the reference set's scores."""
-    return tidy(scoring.threshold(cut_lineage(event_scores(spark, folder)), reference()))
+    return tidy(scoring.threshold(event_scores(spark, folder), reference()))
 
 
 @query(
@@ -151,7 +150,7 @@ def exceedance_rates(spark, folder):
 )
 def modality_rates(spark, folder):
     """Exceedance rate of each set by modality, each against its own reference threshold."""
-    scores = cut_lineage(event_scores(spark, folder))
+    scores = event_scores(spark, folder)
     rates = scoring.modality_rates(scores, reference(), {"strain": "STR", "acc": "ACC", "total": "ALL"})
     return tidy(rates, {"above_rate": 8})
 
@@ -265,7 +264,7 @@ def sanity_flags(spark, folder):
 )
 def score_histogram(spark, folder):
     """Scores of each set in equal bins, clipped at the 99.5th percentile of all sets."""
-    return scoring.histogram(cut_lineage(event_scores(spark, folder)), ["set_name"], "total", bins=20)
+    return scoring.histogram(event_scores(spark, folder), ["set_name"], "total", bins=20)
 
 
 @query(
@@ -278,7 +277,7 @@ def score_histogram(spark, folder):
     ),
 )
 def score_quartiles(spark, folder):
-    return tidy(scoring.box_quantiles(cut_lineage(event_scores(spark, folder)), ["set_name"], "total"))
+    return tidy(scoring.box_quantiles(event_scores(spark, folder), ["set_name"], "total"))
 
 
 @query(
@@ -419,7 +418,7 @@ def health_bands(spark, folder):
 )
 def set_health_scores(spark, folder):
     """Set score from how often and how far events pass the threshold (own definition)."""
-    return tidy(scoring.set_scores(cut_lineage(flagged(spark, folder)), REFERENCE))
+    return tidy(scoring.set_scores(flagged(spark, folder), REFERENCE))
 
 
 @query(
@@ -476,7 +475,7 @@ def rates_on_sensors(spark, folder):
 )
 def metric_names_split(spark, folder):
     """Wide result columns melted, the metric name split and labelled."""
-    scores = cut_lineage(event_scores(spark, folder))
+    scores = event_scores(spark, folder)
     wide = scores.groupBy("set_name").agg(F.avg("total").alias("mean_comb"))
     for measure, name in (("acc", "median_acc"), ("strain", "median_sg")):
         box = scoring.box_quantiles(scores, ["set_name"], measure).select("set_name", F.col("median").alias(name))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanwave.operators import events, joins, tensors
+from spanwave.operators.sizing import small
 from spanwave.plans import event_queries
 from spanwave.plans.oracle_views import rnd, with_views
 from spanwave.plans.registry import query, tidy
@@ -58,7 +59,7 @@ def _packaged(spark, folder):
     found = waves.groupBy("event_id", "set_name", "deck").agg(
         F.min("window_start").alias("start_time_utc"), F.max("timestamp_utc").alias("end_time_utc")
     )
-    channels = cut_lineage(tensors.selected_channels(_channels(spark, folder)))
+    channels = small(cut_lineage(tensors.selected_channels(_channels(spark, folder))))
     packaged = tensors.package(found, aligned, channels, half_window=HALF, min_aligned_samples=MIN_ROWS)
     return aligned, channels, packaged
 
@@ -464,9 +465,9 @@ def reference_scaling(spark, folder):
 )
 def scaled_values(spark, folder):
     """Reference scaling applied unchanged to every set."""
-    values = tables.tensor_values(spark, folder)
-    fitted = tensors.scaling(values.filter(F.col("event_id").startswith("SPAN_SET1_")), ["position"])
-    return tidy(tensors.scale(values, fitted, ["position"]).select("event_id", "position", "value"))
+    rows = tables.tensors(spark, folder)
+    scaled = tensors.scale_arrays(rows, F.col("event_id").startswith("SPAN_SET1_"), 64)
+    return tidy(scaled.select("event_id", F.posexplode("values").alias("position", "value")))
 
 
 @query(
@@ -508,9 +509,8 @@ def channel_samples(spark, folder):
 )
 def duplicate_channels(spark, folder):
     """Channel pairs that carry the same values; two channels are made equal first."""
-    from pyspark.sql import Window
-
-    values = tables.tensor_values(spark, folder)
-    twin = F.when(F.col("channel").isin(2, 5), F.lit(2)).otherwise(F.col("channel"))
-    same = Window.partitionBy("event_id", "place", twin)
-    return tidy(tensors.duplicate_channels(values.withColumn("value", F.max("value").over(same))))
+    rows = tables.tensors(spark, folder)
+    place = lambda c: F.slice("values", 8 * c + 1, 8)
+    twin = F.zip_with(place(2), place(5), lambda x, y: F.greatest(x, y))
+    values = F.concat(*[twin if c in (2, 5) else place(c) for c in range(8)])
+    return tidy(tensors.duplicate_channels(rows.select(values.alias("values")), 8))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwave.operators import tensors
+from spanwave.operators.sizing import small
 from spanwave.session import cut_lineage
 
 
@@ -45,7 +46,7 @@ def package(
         strain_locations=settings.strain_locations,
         acc_axis=settings.acc_axis,
     )
-    channels = cut_lineage(tensors.selected_channels(channel_map))
+    channels = small(cut_lineage(tensors.selected_channels(channel_map)))
     samples = aligned_samples.join(retained.select("event_id"), "event_id", "left_semi")
     packaged = cut_lineage(
         tensors.package(
