@@ -9,11 +9,11 @@ smaller start); every byte of a repeated string goes.
    unit; all strings of a unit hold one core of some two thirds of their length, so equal strings are
    in units with equal cores. A Bloom pair over cores lets only units through whose core may repeat.
 3. Equal units: all but the first are repeated throughout.
-4. Different units with one core are brought together. Each task splits its units into shards,
-   sorts the suffixes of each shard and takes its transform. Shards are merged two by two by
-   refining their interleave: after h rounds it is right for the first h bytes, and where a boundary
-   first shows gives the common prefix. After ``length`` rounds the intervals without a
-   boundary are the repeated strings; suffixes are never sorted again.
+4. Different units with one core are brought together. Each task takes them core by core in
+   groups of a few shards, sorts the suffixes of each shard and takes its transform. The shards of a
+   group are merged by refining their interleave: after h rounds it is right for the first h bytes,
+   and the round in which a boundary first shows gives the common prefix. After ``length`` rounds
+   the intervals without a boundary are the repeated strings; suffixes are never sorted again.
 """
 
 from __future__ import annotations
@@ -35,10 +35,12 @@ from spanwave.llm.storage import Batches, as_bytes, numbers, quoted, stage
 
 LENGTH = 100
 ANCHOR = 32
-PIECE = 1 << 20  # bytes worked on at once
+PIECE = 1 << 18  # bytes worked on at once
 PLACE_BITS = 22
 BLOCK = 20_000  # units of one core that may meet in one task
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 16
+MERGED = 4  # shards merged at once; units of one core stay together even if they are more
+TASK_BYTES = 4 << 20
 MAX_SENT = 1_000_000  # ids that may be sent to all tasks; more are joined
 
 _random = np.random.RandomState(7041)
@@ -171,119 +173,131 @@ def _suspects(batches: Batches, filled, length: int) -> Batches:
             )
 
 
-class Shard:
-    """A collection of strings as transform and suffix array; 0 ends a string, bytes follow as 1 to 256."""
-
-    def __init__(self, symbols: np.ndarray, suffixes: np.ndarray, strings: int) -> None:
-        self.symbols = symbols  # the symbol before each suffix, in the order of the suffixes
-        self.suffixes = suffixes  # where each suffix starts in the task's text
-        self.strings = strings
-
-    @staticmethod
-    def sort(text: np.ndarray, base: int) -> Shard:
-        """From strings that each end in 0, by doubling ranks; ``base`` is where they start in the task's text."""
-        n = len(text)
-        ends = text == 0
-        # Ends differ from each other: that of an earlier string is smaller.
-        rank = text.astype(np.int64) + int(ends.sum())
-        rank[ends] = np.arange(ends.sum())
-        span = 1
-        order = np.argsort(rank, kind="stable")
-        while True:
-            following = np.zeros(n, np.int64)
-            following[:-span] = rank[span:] + 1
-            key = rank * np.int64(rank.max() + 2) + following
-            order = np.argsort(key, kind="stable")
-            ordered = key[order]
-            fresh = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-            rank = np.empty(n, np.int64)
-            rank[order] = fresh
-            if fresh[-1] == n - 1:
-                break
-            span *= 2
-        before = np.concatenate([[np.uint16(0)], text[:-1]])
-        return Shard(before[order], order + base, int(ends.sum()))
-
-
-def merge(left: Shard, right: Shard, length: int) -> tuple[Shard, np.ndarray]:
-    """The shard of both collections, and the common prefix of each suffix with the one before it.
-
-    Common prefixes are exact below ``length``; ``length`` stands for that much or more.
+def sort_shard(text: np.ndarray) -> np.ndarray:
+    """Suffixes of strings that each end in 0, by doubling ranks; of equal suffixes the earlier string's first."""
+    n = len(text)
+    ends = text == 0
+    strings = int(ends.sum())
+    # Ends differ from each other: that of an earlier string is smaller.
+    rank = text.astype(np.int64) + strings
+    rank[ends] = np.arange(strings)
+    span = 1
+    while True:
+        following = np.zeros(n, np.int64)
+        following[:-span] = rank[span:] + 1
+        key = rank * np.int64(n + 258) + following
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+        fresh = np.zeros(n, np.int64)
+        np.cumsum(ordered[1:] != ordered[:-1], out=fresh[1:])
+        rank[order] = fresh
+        if fresh[-1] == n - 1:
+            return order
+        span *= 2
+
+
+def merge(text: np.ndarray, cuts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes of the shards ``text[cuts[i]:cuts[i + 1]]`` in order of their first ``length`` symbols.
+
+    With it the common prefix of each suffix with the one before it, exact below ``length``. The
+    interleave is kept as places in the row of all shards' sorted suffixes. One round takes the
+    symbols before the suffixes (the transforms, interleaved), sorts them stably and goes on to the
+    suffixes that these symbols begin; ends keep the order of their strings.
     """
-    n = len(left.symbols) + len(right.symbols)
-    strings = left.strings + right.strings
-    source = np.zeros(n, np.uint8)
-    source[len(left.symbols) :] = 1
-    symbols = np.empty(n, np.uint16)
-    common = np.full(n, length, np.int64)
-    block = np.zeros(n, np.int64)
+    n = len(text)
+    sorted_suffixes = np.concatenate([sort_shard(text[a:b]) + a for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    place = np.empty(n, np.int32)
+    place[sorted_suffixes] = np.arange(n, dtype=np.int32)
+    before = np.concatenate([text[-1:], text[:-1]])[sorted_suffixes]  # the shards' transforms
+    step = np.concatenate([place[-1:], place[:-1]])[sorted_suffixes]  # where the suffix one symbol longer is
+    ends = place[np.flatnonzero(text == 0)]
+    strings = len(ends)
+    row = np.arange(n, dtype=np.int32)
+    block = np.zeros(n, np.int32)
+    common = np.full(n, length, np.int16)
+    edge = np.ones(n, bool)
     for h in range(1, length + 1):
-        of_right = source == 1
-        symbols[~of_right], symbols[of_right] = left.symbols, right.symbols
+        symbols = before[row]
         order = np.argsort(symbols, kind="stable")[strings:]
-        refined = np.empty(n, np.uint8)
-        refined[: left.strings], refined[left.strings : strings] = 0, 1  # the ends, in order of their strings
-        refined[strings:] = source[order]
         ordered, blocks = symbols[order], block[order]
-        edge = np.ones(n, bool)
+        longer = step[row[order]]
         edge[strings + 1 :] = (ordered[1:] != ordered[:-1]) | (blocks[1:] != blocks[:-1])
         common[edge & (common == length)] = h - 1
-        same = np.array_equal(refined, source)
-        fresh = np.cumsum(edge)
-        source = refined
-        if same and fresh[-1] == block[-1]:
-            break
+        fresh = np.cumsum(edge, dtype=np.int32)
+        unchanged = fresh[-1] == block[-1] and np.array_equal(row[strings:], longer)
+        row[:strings], row[strings:] = ends, longer
         block = fresh
-    of_right = source == 1
-    symbols[~of_right], symbols[of_right] = left.symbols, right.symbols
-    suffixes = np.empty(n, np.int64)
-    suffixes[~of_right], suffixes[of_right] = left.suffixes, right.suffixes
-    return Shard(symbols, suffixes, strings), common
+        if unchanged:
+            break
+    return sorted_suffixes[row], common
 
 
 def repeated(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All strings that two or more places of ``bodies`` hold: interval number, body, offset of each place."""
     sizes = np.array([len(b) + 1 for b in bodies], np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes)])
-    text = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8).astype(np.uint16) + np.uint16(1)
+    raw = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8)
+    used = np.zeros(257, bool)
+    used[raw.astype(np.int64) + 1] = True
+    text = raw.astype(np.uint16) + np.uint16(1)
     text[begins[1:] - 1] = 0
-    count = max(2, int(-(-len(text) // SHARD_BYTES)))
+    if not used[256]:  # one byte a symbol sorts faster; 255 does not occur in UTF-8
+        text = text.astype(np.uint8)
+    count = max(2, -(-len(text) // SHARD_BYTES))
     cuts = np.unique(np.searchsorted(begins, np.linspace(0, len(text), count + 1)))
-    if len(cuts) == 2:
-        cuts = np.array([0, max(1, len(bodies) // 2), len(bodies)])
-    shards = [Shard.sort(text[begins[a] : begins[b]], int(begins[a])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    common = None
-    while len(shards) > 1:
-        merged = []
-        for i in range(0, len(shards) - 1, 2):
-            shard, common = merge(shards[i], shards[i + 1], length)
-            merged.append(shard)
-        shards = merged + shards[len(shards) - len(shards) % 2 :]
-    suffixes = shards[0].suffixes
+    if len(cuts) == 2 and len(bodies) > 1:
+        cuts = np.array([0, len(bodies) // 2, len(bodies)])
+    suffixes, common = merge(text, begins[cuts], length)
     interval = np.cumsum(common < length)
+    chosen = np.flatnonzero(np.bincount(interval)[interval] > 1)
+    suffixes, interval = suffixes[chosen], interval[chosen]
     body = np.searchsorted(begins, suffixes, side="right") - 1
     offset = suffixes - begins[body]
-    whole = (sizes[body] - 1 - offset >= length) & (np.bincount(interval)[interval] > 1)
+    whole = sizes[body] - 1 - offset >= length
     return interval[whole], body[whole], offset[whole]
 
 
+def groups(batches: Batches) -> Iterator[pa.Table]:
+    """Rows of whole cores, of about ``MERGED`` shards together; the rows come ordered by core."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cores = numbers(batch, "core")
+        lengths = pc.binary_length(batch.column("bytes")).to_numpy(zero_copy_only=False)
+        cuts = [*np.flatnonzero(cores[1:] != cores[:-1]) + 1, len(cores)]
+        if held and numbers(held[-1], "core")[-1] != cores[0]:
+            cuts = [0, *cuts]
+        done = 0
+        sums = np.concatenate([[0], np.cumsum(lengths)])
+        for cut in cuts[:-1]:
+            if size + sums[cut] - sums[done] >= MERGED * SHARD_BYTES:
+                yield pa.Table.from_batches([*held, batch.slice(done, cut - done)])
+                held, size, done = [], 0, cut
+        held.append(batch.slice(done))
+        size += sums[-1] - sums[done]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _compare(batches: Batches, length: int) -> Batches:
-    """Places of repeated strings in all units of a task, but the first place of each."""
-    tables = [b for b in batches if b.num_rows]
-    if not tables:
-        return
-    table = pa.Table.from_batches(tables)
-    kind = table.schema.field("owner").type
-    bodies = table.column("bytes").to_pylist()
-    if len(bodies) < 2:
-        return
-    interval, body, offset = repeated(bodies, length)
+    """Places of repeated strings in the units of a task, but the first place of each."""
+    for table in groups(batches):
+        if (rows := later_places(table, length)) is not None:
+            yield rows
+
+
+def later_places(table: pa.Table, length: int) -> pa.RecordBatch | None:
+    if table.num_rows < 2:
+        return None
+    interval, body, offset = repeated(table.column("bytes").to_pylist(), length)
     if not len(interval):
-        return
+        return None
     owners = table.column("owner").combine_chunks()
-    place = owners.dictionary_encode()
-    ranks = pc.rank(place.dictionary, sort_keys="ascending", tiebreaker="dense").to_numpy(zero_copy_only=False)
-    rank = ranks[place.indices.to_numpy(zero_copy_only=False)][body]
+    known = owners.dictionary_encode()
+    ranks = pc.rank(known.dictionary, sort_keys="ascending", tiebreaker="dense").to_numpy(zero_copy_only=False)
+    rank = ranks[known.indices.to_numpy(zero_copy_only=False)][body]
     at = table.column("at").to_numpy()[body] + offset
     order = np.lexsort((at, rank, interval))
     i, r, a = interval[order], rank[order], at[order]
@@ -296,18 +310,13 @@ def _compare(batches: Batches, length: int) -> Batches:
     order = np.lexsort((at, rows))
     rows, at = rows[order], at[order]
     if not len(rows):
-        return
+        return None
     new = np.concatenate([[True], (rows[1:] != rows[:-1]) | (at[1:] > at[:-1] + length)])
     starts = np.flatnonzero(new)
     stops = at[np.concatenate([starts[1:], [len(at)]]) - 1] + length
     of = pa.array(rows[starts])
-    yield pa.RecordBatch.from_arrays(
-        [
-            owners.take(of).cast(kind),
-            table.column("print").combine_chunks().take(of),
-            pa.array(at[starts]),
-            pa.array(stops),
-        ],
+    return pa.RecordBatch.from_arrays(
+        [owners.take(of), table.column("print").combine_chunks().take(of), pa.array(at[starts]), pa.array(stops)],
         ["owner", "print", "start", "stop"],
     )
 
@@ -390,7 +399,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     single = large.join(sent, ["owner", "print"], "left_anti")
     # 2. Units whose core may repeat.
     size = named.agg(F.sum("size")).first()[0] or 0
-    bits = bloom.bits_for(size // 16, 6)
+    bits = bloom.bits_for(size // 16, 9)  # a unit for every 16 to 20 bytes
     pairs = single.select("body").mapInArrow(partial(_fill, bits=bits, length=length), bloom.SCHEMA)
     filled = bloom.twice_filter(pairs, bits, spark)
     found = stage(
@@ -426,19 +435,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     usual = met.where(F.col("held") <= BLOCK).drop("held")
     hot = met.where(F.col("held") > BLOCK).drop("held").mapInArrow(partial(_windows, length=length), columns)
     volume = distinct.join(cores, "core").agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    tasks = max(spark.sparkContext.defaultParallelism, -(-volume // (2 * SHARD_BYTES)))
-    partly = usual.unionByName(hot).repartition(int(tasks), "core").mapInArrow(
-        partial(_compare, length=length), f"owner {kind}, print long, start long, stop long"
+    tasks = int(max(spark.sparkContext.defaultParallelism, -(-volume // TASK_BYTES)))
+    partly = (
+        usual.unionByName(hot)
+        .repartition(tasks, "core")
+        .sortWithinPartitions("core")
+        .mapInArrow(partial(_compare, length=length), f"owner {kind}, print long, start long, stop long")
     )
     spans = (
         again.unionByName(partly)
         .groupBy("owner", "print")
         .agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-        .select("owner", "print", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"), F.lit(False).alias("whole"))
+        .select(F.col("owner").alias("of"), F.col("print").alias("of_print"), F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
     )
-    none = F.lit(None).cast("array<long>")
-    marks = spans.unionByName(copies.select("owner", "print", none.alias("starts"), none.alias("stops"), F.lit(True).alias("whole")))
-    done = source.join(marks, ["owner", "print"], "left").select(
-        F.col("owner").alias(id_col), _remove("body", F.coalesce("whole", F.lit(False)), "starts", "stops").alias("r")
+    spans = stage(spans)
+    # Only texts that lose a part meet their spans; copies lose all and the rest nothing.
+    marks = copies.withColumn("part", F.lit(False)).unionByName(
+        spans.select(F.col("of").alias("owner"), F.col("of_print").alias("print"), F.lit(True).alias("part"))
     )
+    marked = source.join(F.broadcast(marks) if marks.count() <= MAX_SENT else marks, ["owner", "print"], "left")
+    none = F.lit(None).cast("array<long>")
+    untouched = marked.where("part is null or not part").select("owner", "body", F.col("part").isNotNull().alias("whole"), none.alias("starts"), none.alias("stops"))
+    parts = marked.where("part").join(spans, (F.col("owner") == F.col("of")) & (F.col("print") == F.col("of_print")))
+    cut = untouched.unionByName(parts.select("owner", "body", F.lit(False).alias("whole"), "starts", "stops"))
+    done = cut.select(F.col("owner").alias(id_col), _remove("body", "whole", "starts", "stops").alias("r"))
     return done.select(quoted(id_col), "r.*")

@@ -52,6 +52,7 @@ def made_rows(seed: int) -> list[tuple]:
 @pytest.mark.parametrize("block", [sd.BLOCK, 3])
 def test_matches_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(sd, "BLOCK", block)
+    monkeypatch.setattr(sd, "SHARD_BYTES", 500)
     rows = made_rows(block)
     docs = spark.createDataFrame([(o, t, "clash") for o, t in rows], "doc_id long, text string, core string").repartition(5)
     got = [tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in sd.remove_repeats(docs).collect()]
