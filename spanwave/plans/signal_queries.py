@@ -39,7 +39,50 @@ def asof_reference_index(spark, folder):
     return matched.select("event_id", "sensor_name", "sample_index", "reference_index")
 
 
-def _aligned_sql(select: str) -> str:
+def bandpass_views(source: str, keys: tuple[str, ...], *, order: int = 4, low_hz: float = 0.5, high_hz: float = 20.0) -> dict[str, str]:
+    """SQL of the zero-phase band-pass over ``source`` (``keys, idx, value``) as view ``bp``.
+
+    The impulse response of the cascade comes from its difference equations, one recursion step a
+    sample; both passes are plain sums over it. Starting from the steady state of the first sample
+    is the same as subtracting that sample, since the cascade lets no constant through.
+    """
+    sections = conditioning.butterworth_sections(order, low_hz, high_hz, 100.0)
+    pad = 3 * (2 * len(sections) + 1)
+    k = ", ".join(keys)
+    ka = ", ".join(f"a.{c}" for c in keys)
+    number = lambda x: f"CAST('{float(x)!r}' AS DOUBLE)"
+    step = "SELECT *, CASE WHEN i = -1 THEN 1e0 ELSE 0e0 END AS y0 FROM h WHERE i < (SELECT max(n) FROM bp_src) + " + str(2 * pad)
+    states = ["i + 1 AS i", f"y{len(sections)} AS y"]
+    for j, (b0, b1, b2, _, a1, a2) in enumerate(sections, start=1):
+        step = f"SELECT *, {number(b0)} * y{j - 1} + p{j} AS y{j} FROM ({step})"
+        states.append(f"{number(b1)} * y{j - 1} - {number(a1)} * y{j} + q{j} AS p{j}")
+        states.append(f"{number(b2)} * y{j - 1} - {number(a2)} * y{j} AS q{j}")
+    names = "".join(f", p{j}, q{j}" for j in range(1, len(sections) + 1))
+    zeros = ", 0e0" * (1 + 2 * len(sections))
+    convolved = (
+        f"SELECT {ka}, a.n, a.e, sum(h.y * (b.x - c.x)) AS y FROM {{0}} a JOIN {{0}} b USING ({k}) JOIN {{0}} c USING ({k}) "
+        "JOIN bp_h h ON h.i = a.e - b.e WHERE c.e = 0 AND b.e <= a.e GROUP BY ALL"
+    )
+    return {
+        "bp_src": f"SELECT {k}, idx, CASE WHEN value IS NULL OR isnan(value) THEN 0e0 ELSE value END AS value, count(*) OVER (PARTITION BY {k}) AS n FROM {source}",
+        "bp_h": f"SELECT i, y FROM (WITH RECURSIVE h(i, y{names}) AS (SELECT -1::BIGINT{zeros} UNION ALL SELECT {', '.join(states)} FROM ({step})) SELECT i, y FROM h WHERE i >= 0)",
+        "bp_ends": f"SELECT {k}, n, max(value) FILTER (idx = 0) AS x0, max(value) FILTER (idx = n - 1) AS x1 FROM bp_src WHERE n > {pad} GROUP BY ALL",
+        "bp_ext": f"SELECT {k}, n, idx + {pad} AS e, value AS x FROM bp_src WHERE n > {pad} "
+        f"UNION ALL SELECT {k}, n, {pad} - idx, 2 * x0 - value FROM bp_src JOIN bp_ends USING ({k}, n) WHERE idx BETWEEN 1 AND {pad} "
+        f"UNION ALL SELECT {k}, n, {pad} + n + (n - 2 - idx), 2 * x1 - value FROM bp_src JOIN bp_ends USING ({k}, n) WHERE idx BETWEEN n - 1 - {pad} AND n - 2",
+        "bp_forward": convolved.format("bp_ext"),
+        "bp_turned": f"SELECT {k}, n, n + {2 * pad} - 1 - e AS e, y AS x FROM bp_forward",
+        "bp_back": convolved.format("bp_turned"),
+        "bp": f"SELECT {k}, n + {pad} - 1 - e AS idx, y AS value FROM bp_back WHERE n + {pad} - 1 - e BETWEEN 0 AND n - 1 "
+        f"UNION ALL SELECT {k}, idx, value FROM bp_src WHERE n <= {pad}",
+    }
+
+
+#: Order of the band-pass in the job under test: one section, so that events of ten samples are filtered.
+JOB_ORDER = 1
+
+
+def _aligned_sql(select: str, *, filtered: bool = False) -> str:
     extra = {
         "inc": "SELECT a.* FROM annotated a JOIN event_list e USING (event_id) WHERE a.sensor_status = 'included' "
         f"AND e.active_sensor_count >= {event_queries.MIN_ACTIVE_SENSORS}",
@@ -52,6 +95,17 @@ def _aligned_sql(select: str) -> str:
         "ELSE value - (start_value + (end_value - start_value) * idx / steps) END AS value FROM raw",
         "r0": "SELECT event_id, timestamp_utc AS ts, idx FROM sig WHERE slot = 0",
     }
+    if filtered:
+        passed = {
+            "acc": "SELECT event_id, sensor_name, idx, value FROM raw WHERE sensor_name LIKE '%ACC!_Z' ESCAPE '!'",
+            **bandpass_views("acc", ("event_id", "sensor_name"), order=JOB_ORDER),
+            "clean": "SELECT r.* REPLACE (coalesce(bp.value, r.value) AS value) FROM raw r LEFT JOIN bp USING (event_id, sensor_name, idx)",
+            "sig": "SELECT event_id, sensor_name, slot, timestamp_utc, idx, CASE WHEN steps = 0 THEN 0.0 "
+            "ELSE value - (first_value(value) OVER w + (last_value(value) OVER w - first_value(value) OVER w) * idx / steps) END AS value "
+            "FROM clean WINDOW w AS (PARTITION BY event_id, sensor_name ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
+        }
+        head = {n: extra[n] for n in ("inc", "slotted", "raw")}
+        extra = head | passed | {"r0": extra["r0"]}
     for k in range(1, SLOTS):
         extra[f"r{k}"] = (
             f"SELECT event_id, ts, idx FROM (SELECT *, lead(ts) OVER (PARTITION BY event_id ORDER BY ts, idx) AS nx FROM r{k - 1}) r "
@@ -135,10 +189,18 @@ def preprocessed_events(spark, folder):
     )
 
 
-@query("filtered_aligned_samples")
+@query(
+    "filtered_aligned_samples",
+    _aligned_sql(
+        f"SELECT event_id, sensor_name, sample_index, {iso('ts')} AS timestamp_utc, {rnd('value', 6)} AS value FROM aligned",
+        filtered=True,
+    ),
+)
 def filtered_aligned_samples(spark, folder):
     """The full chain with the band-pass on vertical acceleration."""
-    settings = preprocess.Settings(min_active_sensors=event_queries.MIN_ACTIVE_SENSORS, tile_seconds=TILE)
+    settings = preprocess.Settings(
+        min_active_sensors=event_queries.MIN_ACTIVE_SENSORS, tile_seconds=TILE, band={"order": JOB_ORDER}
+    )
     result = preprocess.Run(
         tables.records(spark, folder),
         tables.raw_samples(spark, folder),
@@ -149,7 +211,18 @@ def filtered_aligned_samples(spark, folder):
     return tidy(result.aligned_samples.select("event_id", "sensor_name", "sample_index", "timestamp_utc", "value"))
 
 
-@query("bandpassed_waveforms")
+@query(
+    "bandpassed_waveforms",
+    with_views(
+        f"SELECT set_name, sensor_name, idx AS sample_index, {rnd('value')} AS value FROM bp",
+        "readings",
+        extra={
+            "long": "SELECT set_name, sensor_name, value, row_number() OVER (PARTITION BY set_name, sensor_name "
+            "ORDER BY timestamp_utc, reading_id) - 1 AS idx FROM readings",
+            **bandpass_views("long", ("set_name", "sensor_name")),
+        },
+    ),
+)
 def bandpassed_waveforms(spark, folder):
     """Zero-phase band-pass of each sensor's whole set as one waveform."""
     rows = sequence.ordinal(
