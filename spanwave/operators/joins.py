@@ -58,6 +58,12 @@ def kth_records(records: DataFrame, k: int = 0) -> DataFrame:
     return records.withColumn("_place", F.row_number().over(table)).filter(F.col("_place") == k + 1).drop("_place")
 
 
+def first_of(records: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The first record of each key in the order of the index table."""
+    table = Window.partitionBy(*keys).orderBy(*in_table_order(records))
+    return records.withColumn("_place", F.row_number().over(table)).filter("_place = 1").drop("_place")
+
+
 def read_record(
     records: DataFrame,
     samples: DataFrame,

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from spanwave.functions import times
 from spanwave.operators import features, joins, modal, sequence
-from spanwave.plans import event_queries
+from spanwave.plans import event_queries, signal_queries
+from spanwave.plans import features as feature_jobs
 from spanwave.plans.oracle_views import iso, rnd, with_views
 from spanwave.plans.registry import query, tidy
 from spanwave.session import cut_lineage
@@ -417,26 +418,57 @@ def feature_family_status(spark, folder):
     return modal.family_status(found, modal.channels_of(event_sensors), selected, selected, channels, matrices)
 
 
-@query("raw_record_decomposition")
+RAW_ORDER = 1  # one section, so that days of ten samples are filtered
+_RAW = {
+    "daily": "SELECT set_name, deck, sensor_name, value, set_name || '__' || deck || '__' || strftime(timestamp_utc, '%Y%m%d') AS event_id, "
+    "row_number() OVER (PARTITION BY set_name, sensor_name, raw_file ORDER BY timestamp_utc, reading_id) - 1 AS idx "
+    "FROM readings WHERE sensor_name LIKE '%ACC!_Z' ESCAPE '!'",
+    "chan": "SELECT *, row_number() OVER (PARTITION BY set_name, deck ORDER BY sensor_name) - 1 AS channel_index, "
+    "count(*) OVER (PARTITION BY set_name, deck) AS channel_count FROM (SELECT DISTINCT set_name, deck, sensor_name FROM daily)",
+    "cut": "SELECT event_id, min(n) AS row_count FROM (SELECT event_id, sensor_name, any_value(channel_count) AS c, count(*) AS n "
+    "FROM daily JOIN chan USING (set_name, deck, sensor_name) GROUP BY event_id, sensor_name) GROUP BY event_id HAVING count(*) = any_value(c)",
+    "even": "SELECT d.*, row_count FROM daily d JOIN cut USING (event_id) WHERE idx < row_count",
+    **signal_queries.bandpass_views("even", ("event_id", "sensor_name"), order=RAW_ORDER, low_hz=LOW_HZ, high_hz=45.0),
+    "mat": f"SELECT set_name, deck, event_id, channel_index, idx AS row, bp.value, row_count FROM bp JOIN even e USING (event_id, sensor_name, idx) "
+    f"JOIN chan USING (set_name, deck, sensor_name) WHERE row_count >= {SEGMENT}",
+    **{k: v for k, v in _SHAPES.items() if k not in ("days", "waves", "cand", "expect", "chosen", "chan", "full_rows", "mat", "band")},
+}
+_RAW = {k: v for k, v in _RAW.items() if k not in ("shape", "tops", "picked", "ranked", "vec", "comp")} | {
+    "band": f"SELECT * FROM curve WHERE frequency_hz BETWEEN {LOW_HZ} AND 45",
+    **{k: _SHAPES[k] for k in ("shape", "tops", "picked", "ranked", "vec", "comp")},
+}
+
+
+@query(
+    "raw_record_decomposition",
+    with_views(
+        f"SELECT q.set_name, q.deck, peak_rank, sensor_name, {rnd('frequency_hz')} AS frequency_hz, {rnd('amplitude')} AS mode_shape_amplitude "
+        "FROM comp q JOIN chan c ON q.set_name = c.set_name AND q.deck = c.deck AND q.channel_index = c.channel_index",
+        "readings",
+        extra=_RAW,
+    ),
+)
 def raw_record_decomposition(spark, folder):
-    """Decomposition straight from raw records: daily common windows of all accelerometers, cut to
-    the shortest channel, band-passed, decomposed."""
-    from spanwave.operators import conditioning
-
-    rows = tables.readings(spark, folder).filter(F.col("sensor_name").contains("_ACC_"))
-    day = F.date_format("timestamp_utc", "yyyy-MM-dd")
-    named = rows.withColumn("event_id", F.concat_ws("__", "set_name", "deck", day))
-    waves = sequence.ordinal(named, KEYS, ["timestamp_utc", "reading_id"], "tile", "sample_index")
-    sensors = named.groupBy("set_name", "deck", "event_id", "sensor_name").agg(
-        F.min("timestamp_utc").alias("start_time_utc"), F.lit("included").alias("sensor_status")
+    """Decomposition straight from raw records, deck by deck: every day is a record of each sensor."""
+    samples = tables.raw_samples(spark, folder)
+    day = F.date_trunc("day", F.min("timestamp_utc"))
+    daily = (
+        samples.groupBy("set_name", "deck", "sensor_name", "raw_file")
+        .agg(day.alias("start_time_utc"), F.count(F.lit(1)).alias("end_row_1based"))
+        .withColumns(
+            {
+                "end_time_utc": F.col("start_time_utc") + F.expr("INTERVAL 1 DAY"),
+                "start_row_1based": F.lit(1).cast("bigint"),
+                "duration": F.lit(86400.0),
+            }
+        )
     )
-    candidates = modal.candidate_events(modal.channels_of(sensors, axis=None))
-    selected = cut_lineage(candidates)
-    channels = modal.common_channels(selected)
-    chosen = waves.join(selected.select("event_id"), "event_id", "left_semi")
-    even = cut_lineage(joins.positional_rows(chosen, ["event_id"]))
-    filtered = conditioning.bandpass(even, KEYS)
-    signal = cut_lineage(even.drop("value").join(filtered, [*KEYS, "sample_index"]))
-    matrices = modal.event_matrices(signal, selected, channels, min_rows=SEGMENT)
-    table, located = modal.run(matrices, channels, nperseg=SEGMENT, noverlap=OVERLAP, n_peaks=3, high_hz=45.0)
+    settings = feature_jobs.Settings(
+        low_hz=LOW_HZ, high_hz=45.0, nperseg=SEGMENT, noverlap=OVERLAP, n_peaks=N_PEAKS, sampling_rate_hz=RATE
+    )
+    found = [
+        feature_jobs.from_raw_records(daily, samples, settings, deck=deck, min_rows=SEGMENT, order=RAW_ORDER)[1]
+        for deck in ("NEW", "OLD")
+    ]
+    located = found[0].unionByName(found[1])
     return tidy(located.select("set_name", "deck", "peak_rank", "sensor_name", "frequency_hz", "mode_shape_amplitude"))

@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwave.functions import times
-from spanwave.operators import features, modal
+from spanwave.functions import naming, times
+from spanwave.operators import conditioning, events, features, joins, modal, sequence
 from spanwave.session import cut_lineage
 
 
@@ -30,10 +30,10 @@ class Settings:
 
 
 def build(
-    events: DataFrame, event_sensors: DataFrame, aligned_samples: DataFrame, settings: Settings = Settings()
+    event_table: DataFrame, event_sensors: DataFrame, aligned_samples: DataFrame, settings: Settings = Settings()
 ) -> dict[str, DataFrame]:
     """The four feature tables of the retained events."""
-    retained = events.filter(~F.col("discarded"))
+    retained = event_table.filter(~F.col("discarded"))
     family = f"{settings.quantity.lower()}_{settings.axis.lower()}_fdd"
     samples = aligned_samples.join(retained.select("event_id"), "event_id", "left_semi").withColumn(
         "tile", times.time_tile(F.col("timestamp_utc"), settings.tile_seconds)
@@ -65,16 +65,7 @@ def build(
     matrices = cut_lineage(
         modal.event_matrices(samples, selected, channels, min_common_events=settings.min_common_events)
     )
-    peaks, located = modal.run(
-        matrices,
-        channels,
-        sampling_rate_hz=settings.sampling_rate_hz,
-        nperseg=settings.nperseg,
-        noverlap=settings.noverlap,
-        low_hz=settings.low_hz,
-        high_hz=settings.high_hz,
-        n_peaks=settings.n_peaks,
-    )
+    peaks, located = from_matrices(matrices, channels, settings)
     counts = matrices.groupBy("set_name", "deck").agg(
         F.max("channel_count").alias("channel_count"), F.max("event_count").alias("event_count")
     )
@@ -102,3 +93,62 @@ def build(
             require_full_channel_set=settings.require_full_channel_set,
         ),
     }
+
+
+def raw_record_matrices(
+    records: DataFrame,
+    samples: DataFrame,
+    settings: Settings = Settings(),
+    *,
+    min_duration_seconds: float = 10.0,
+    deck: str | None = None,
+    min_rows: int = 2,
+    order: int = 4,
+) -> tuple[DataFrame, DataFrame]:
+    """Band-passed channel matrices straight from raw records, and their channels.
+
+    Events are the windows that every selected sensor of a set recorded long enough; channels are cut
+    to the shortest and filtered as they are, without alignment. ``deck`` None takes all decks as
+    one group, named ``ALL``.
+    """
+    common = events.common_sensor_events(
+        records, min_duration_seconds, quantity=settings.quantity, axis=settings.axis, deck=deck
+    ).withColumn("event_id", naming.event_id(F.col("set_name"), F.col("deck"), F.col("start_time_utc"), F.col("end_time_utc")))
+    selected = cut_lineage(modal.first_events(common, settings.max_events))
+    keys = ["set_name", "deck", "event_id", "sensor_name"]
+    window = ["set_name", "sensor_name", "start_time_utc", "end_time_utc"]
+    wanted = selected.select("set_name", "deck", "event_id", "start_time_utc", "end_time_utc", F.explode("sensor_names").alias("sensor_name"))
+    own = joins.first_of(records.drop("deck"), window)
+    sliced = joins.slice_records(wanted.join(own, window), samples).withColumn(
+        "tile", F.floor(F.col("row_1based") / joins.ROWS_PER_BLOCK)
+    )
+    waves = sequence.ordinal(sliced.select(*keys, "row_1based", "tile", "value"), keys, ["row_1based"], "tile", "sample_index")
+    even = cut_lineage(joins.positional_rows(waves, ["set_name", "deck", "event_id"]))
+    filtered = conditioning.bandpass(
+        even, keys, sampling_rate_hz=settings.sampling_rate_hz, low_hz=settings.low_hz, high_hz=settings.high_hz, order=order
+    ).withColumn("tile", F.floor(F.col("sample_index") / joins.ROWS_PER_BLOCK))
+    channels = wanted.select("set_name", "deck", "sensor_name").distinct()
+    matrices = modal.event_matrices(
+        filtered, selected, channels, min_common_events=settings.min_common_events, min_rows=min_rows
+    )
+    return matrices, channels
+
+
+def from_raw_records(records: DataFrame, samples: DataFrame, settings: Settings = Settings(), **options) -> tuple[DataFrame, DataFrame]:
+    """Peak table and located mode-shape components from raw records."""
+    matrices, channels = raw_record_matrices(records, samples, settings, **options)
+    return from_matrices(matrices, channels, settings)
+
+
+def from_matrices(matrices: DataFrame, channels: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """Peak table and located mode-shape components from given matrices (as ``modal.event_matrices``)."""
+    return modal.run(
+        matrices,
+        channels,
+        sampling_rate_hz=settings.sampling_rate_hz,
+        nperseg=settings.nperseg,
+        noverlap=settings.noverlap,
+        low_hz=settings.low_hz,
+        high_hz=settings.high_hz,
+        n_peaks=settings.n_peaks,
+    )
