@@ -20,7 +20,7 @@ PROBES = 3
 MIN_BITS = 1 << 16
 MAX_BITS = 1 << 30  # 128 MB, the most a task holds
 SEGMENTS = 512
-FLUSH = 4_000_000  # hashes a task gathers before it hands on a pair
+FLUSH = 1_000_000  # hashes a task gathers before it hands on a pair
 
 SCHEMA = "segment int, once binary, twice binary"
 
@@ -33,12 +33,14 @@ def bits_for(items: int, per_item: int) -> int:
 def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
     """One row of bit positions per hash; all in one segment."""
     width = max(1, bits // SEGMENTS)
-    h = hashes.astype(np.uint64)
-    base = (h % np.uint64(bits // width)) * np.uint64(width)
+    h = hashes.astype(np.uint64, copy=False)
+    base = (h & np.uint64(bits // width - 1)) * np.uint64(width)
     step = (h >> np.uint64(33)) | np.uint64(1)
     start = h >> np.uint64(12)
-    probe = np.arange(PROBES, dtype=np.uint64)
-    return base[:, None] + (start[:, None] + step[:, None] * probe) % np.uint64(width)
+    at = np.empty((len(h), PROBES), np.uint64)
+    for i in range(PROBES):
+        at[:, i] = base | ((start + step * np.uint64(i)) & np.uint64(width - 1))
+    return at
 
 
 def pair_rows(hashes: np.ndarray, bits: int) -> pd.DataFrame:
@@ -47,10 +49,9 @@ def pair_rows(hashes: np.ndarray, bits: int) -> pd.DataFrame:
     values, counts = np.unique(hashes, return_counts=True)
     parts = []
     for chosen in (values, values[counts > 1]):
-        where = np.unique(positions(chosen, bits))
-        segment = (where // np.uint64(width)).astype(np.int64)
-        offset = (where % np.uint64(width)).astype(np.uint32)
-        cut = np.searchsorted(segment, np.arange(bits // width + 1))
+        where = np.unique(positions(chosen, bits).astype(np.uint32))
+        offset = where & np.uint32(width - 1)
+        cut = np.searchsorted(where, np.arange(bits // width + 1) * width)
         parts.append([offset[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)])
     rows = [(i, o, t) for i, (o, t) in enumerate(zip(*parts, strict=True)) if o]
     return pd.DataFrame(rows, columns=["segment", "once", "twice"])
