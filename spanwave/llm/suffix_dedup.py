@@ -176,24 +176,45 @@ def _suspects(batches: Batches, filled, length: int) -> Batches:
 def sort_shard(text: np.ndarray) -> np.ndarray:
     """Suffixes of strings that each end in 0, by doubling ranks; of equal suffixes the earlier string's first."""
     n = len(text)
-    ends = text == 0
-    strings = int(ends.sum())
-    # Ends differ from each other: that of an earlier string is smaller.
-    rank = text.astype(np.int64) + strings
-    rank[ends] = np.arange(strings)
-    span = 1
-    while True:
+    ends = np.flatnonzero(text == 0)
+    left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)  # symbols up to the end of the string
+    # The first symbols in one number; what follows an end does not count.
+    bits = 8 * text.itemsize
+    span = 64 // bits
+    key = np.zeros(n, np.uint64)
+    for i in range(span):
+        at = np.zeros(n, np.uint64)
+        at[: n - i] = text[i:]
+        at[left < i] = 0
+        key |= at << np.uint64(64 - bits * (i + 1))
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    fresh = np.zeros(n, np.int64)
+    # Ends differ from each other, so a suffix that has one in reach has a rank of its own.
+    np.cumsum((ordered[1:] != ordered[:-1]) | (left[order[1:]] < span), out=fresh[1:])
+    rank = np.empty(n, np.int64)
+    rank[order] = fresh
+    while fresh[-1] != n - 1:
         following = np.zeros(n, np.int64)
         following[:-span] = rank[span:] + 1
-        key = rank * np.int64(n + 258) + following
-        order = np.argsort(key, kind="stable")
+        key = rank * np.int64(n + 1) + following
+        order = np.argsort(key)
         ordered = key[order]
-        fresh = np.zeros(n, np.int64)
         np.cumsum(ordered[1:] != ordered[:-1], out=fresh[1:])
         rank[order] = fresh
-        if fresh[-1] == n - 1:
-            return order
         span *= 2
+    return order
+
+
+def stable_order(symbols: np.ndarray) -> np.ndarray:
+    """Places of the symbols in order, of equal ones the earlier first."""
+    if symbols.itemsize > 1 or len(symbols) > 1 << 24:
+        return np.argsort(symbols, kind="stable")
+    key = symbols.astype(np.uint32) << np.uint32(24)
+    key |= np.arange(len(symbols), dtype=np.uint32)
+    key.sort()
+    key &= np.uint32((1 << 24) - 1)
+    return key.astype(np.intp)
 
 
 def merge(text: np.ndarray, cuts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,13 +238,14 @@ def merge(text: np.ndarray, cuts: np.ndarray, length: int) -> tuple[np.ndarray,
     common = np.full(n, length, np.int16)
     edge = np.ones(n, bool)
     for h in range(1, length + 1):
-        symbols = before[row]
-        order = np.argsort(symbols, kind="stable")[strings:]
-        ordered, blocks = symbols[order], block[order]
-        longer = step[row[order]]
+        symbols = before.take(row)
+        order = stable_order(symbols)[strings:]
+        ordered, blocks = symbols.take(order), block.take(order)
+        longer = step.take(row.take(order))
         edge[strings + 1 :] = (ordered[1:] != ordered[:-1]) | (blocks[1:] != blocks[:-1])
-        common[edge & (common == length)] = h - 1
         fresh = np.cumsum(edge, dtype=np.int32)
+        if fresh[-1] != block[-1]:
+            common[edge & (common == length)] = h - 1
         unchanged = fresh[-1] == block[-1] and np.array_equal(row[strings:], longer)
         row[:strings], row[strings:] = ends, longer
         block = fresh
