@@ -365,6 +365,13 @@ def project(model: PCAModel, values: DataFrame) -> DataFrame:
     return model.transform(vectors).withColumn("latent", vector_to_array("p")).drop("v", "p")
 
 
+def turned(model: PCAModel, latent: Column) -> Column:
+    """Coordinates on axes that each point to the side of their largest part, so that signs repeat."""
+    axes = model.pc.toArray()
+    signs = np.where(axes.max(axis=0) >= -axes.min(axis=0), 1.0, -1.0)
+    return F.array(*[F.get(latent, F.lit(i)) * F.lit(float(s)) for i, s in enumerate(signs)])
+
+
 def reconstruct(model: PCAModel, projected: DataFrame) -> DataFrame:
     """Add ``reconstruction``, the latent coordinates mapped back by the fitted axes."""
     axes = model.pc.toArray()  # positions x k, both fixed by the tensor shape

@@ -499,11 +499,62 @@ def scores_with_events(spark, folder):
     return tidy(joins.natural_join(scores, tables.tensors(spark, folder).drop("values")))
 
 
-@query("low_rank_errors")
+def _axes_sql(count: int) -> dict[str, str]:
+    """SQL of the leading ``count`` principal axes of the reference rows, as views ``v1``, ``v2``, ...
+
+    The covariance is squared again and again until only its leading axis is left; then that axis is
+    taken out and the next follows. An axis points to the side of its largest part.
+    """
+    views = {
+        "means": f"SELECT position, avg(value) AS m FROM tensor_values WHERE set_name = '{REFERENCE}' GROUP BY position",
+        "cen": "SELECT event_id, set_name, position, value - m AS z FROM tensor_values JOIN means USING (position)",
+        "rows": "SELECT event_id, set_name, list(z ORDER BY position) AS x FROM cen GROUP BY ALL",
+        "cov": "SELECT a.position AS i, b.position AS j, sum(a.z * b.z) AS c FROM cen a JOIN cen b USING (event_id) "
+        f"WHERE a.set_name = '{REFERENCE}' GROUP BY ALL",
+        "c0": "SELECT list(r ORDER BY i) AS c FROM (SELECT i, list(c ORDER BY j) AS r FROM cov GROUP BY i)",
+    }
+    for k in range(1, count + 1):
+        views[f"s{k}"] = (
+            f"SELECT m FROM (WITH RECURSIVE s(n, m) AS (SELECT 0, c FROM c{k - 1} UNION ALL "
+            "SELECT n + 1, list_transform(q, lambda a: list_transform(a, lambda z: z / t)) FROM "
+            "(SELECT n, q, list_max(list_transform(q, lambda a: list_max(list_transform(a, lambda z: abs(z))))) AS t FROM "
+            "(SELECT n, list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b))) AS q FROM s WHERE n < 20))) "
+            "SELECT m FROM s WHERE n = 20)"
+        )
+        views[f"u{k}"] = f"SELECT u FROM (SELECT unnest(m) AS u FROM s{k}) ORDER BY list_dot_product(u, u) DESC LIMIT 1"
+        views[f"v{k}"] = (
+            "SELECT list_transform(u, lambda z: z * CASE WHEN list_max(u) >= -list_min(u) THEN 1 ELSE -1 END "
+            f"/ sqrt(list_dot_product(u, u))) AS v FROM u{k}"
+        )
+        views[f"c{k}"] = (
+            "SELECT list_transform(c, lambda r, i: list_transform(r, lambda z, j: z - lam * v[i] * v[j])) AS c FROM "
+            f"(SELECT c, v, list_dot_product(list_transform(c, lambda r: list_dot_product(r, v)), v) AS lam FROM c{k - 1}, v{k})"
+        )
+    return views
+
+
+RANK = 8
+_LOW_RANK = {
+    **_axes_sql(RANK),
+    "wrong": "SELECT event_id, set_name, (list_dot_product(x, x)"
+    + "".join(f" - power(list_dot_product(x, (SELECT v FROM v{k})), 2)" for k in range(1, RANK + 1))
+    + ") / 64 AS total FROM rows",
+    "lim": f"SELECT quantile_cont(total, 0.99) AS threshold FROM wrong WHERE set_name = '{REFERENCE}'",
+}
+
+
+@query(
+    "low_rank_errors",
+    with_views(
+        f"SELECT event_id, set_name, {rnd('total')} AS total, {rnd('threshold')} AS threshold, total > threshold AS above FROM wrong, lim",
+        "tensor_values",
+        extra=_LOW_RANK,
+    ),
+)
 def low_rank_errors(spark, folder):
     """Errors of a low-rank reconstruction fitted on the reference set, applied to all sets."""
     centred = scoring.centre(tables.tensors(spark, folder), reference(), 64)
-    model = scoring.fit_projection(centred.filter(reference()), 8)
+    model = scoring.fit_projection(centred.filter(reference()), RANK)
     rebuilt = scoring.reconstruct(model, scoring.project(model, centred))
     errors = cut_lineage(
         rebuilt.select(
@@ -513,12 +564,17 @@ def low_rank_errors(spark, folder):
     return tidy(scoring.flag_exceedances(errors, scoring.threshold(errors, reference())))
 
 
-@query("latent_coordinates")
+@query(
+    "latent_coordinates",
+    with_views(
+        f"SELECT event_id, {rnd('list_dot_product(x, (SELECT v FROM v1))', 5)} AS x, {rnd('list_dot_product(x, (SELECT v FROM v2))', 5)} AS y FROM rows",
+        "tensor_values",
+        extra=_axes_sql(2),
+    ),
+)
 def latent_coordinates(spark, folder):
     """Two-dimensional coordinates on axes fitted once on the reference set."""
     centred = scoring.centre(tables.tensors(spark, folder), reference(), 64)
     model = scoring.fit_projection(centred.filter(reference()), 2)
-    projected = scoring.project(model, centred)
-    return tidy(
-        projected.select("event_id", F.get("latent", F.lit(0)).alias("x"), F.get("latent", F.lit(1)).alias("y"))
-    )
+    latent = scoring.project(model, centred).withColumn("latent", scoring.turned(model, F.col("latent")))
+    return tidy(latent.select("event_id", F.get("latent", F.lit(0)).alias("x"), F.get("latent", F.lit(1)).alias("y")), {"x": 5, "y": 5})
