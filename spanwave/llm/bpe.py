@@ -17,15 +17,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_intdigest
+from xxhash import xxh3_64_intdigest
 
-from spanwave.llm.storage import Batches, as_bytes, list_of, quoted, without
+from spanwave.llm.storage import Batches, as_bytes, list_of, packed, quoted, unpacked, with_fields
 
 MAX_VOCABULARY = 2_000_000
 BUCKET = 4  # keys a bucket of the perfect hash holds on average
-MASK = (1 << 64) - 1
+MASK, LOW = (1 << 64) - 1, (1 << 32) - 1
 STEP, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd multipliers of the slot hash
-MEMO_WORDS = 600_000  # words a task remembers; then it forgets them all
+MEMO_WORDS = 1_000_000  # words a task remembers; then it forgets them all
 MEMO_BYTES = 64  # longer words are not remembered
 LATEST: list = []  # the coder a worker used last, with its memory
 
@@ -40,9 +40,8 @@ class PerfectHash:
     def __init__(self, keys: list[bytes]) -> None:
         n = len(keys)
         self.n, self.buckets = n, max(1, n // BUCKET)
-        digests = [xxh3_128_intdigest(k) for k in keys]
-        low = np.array([d & MASK for d in digests], np.uint64)
-        bucket = np.array([(d >> 64) % self.buckets for d in digests], np.int64)
+        low = np.array([xxh3_64_intdigest(k) for k in keys], np.uint64)
+        bucket = ((low >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
         members = np.split(np.argsort(bucket, kind="stable"), np.cumsum(np.bincount(bucket, minlength=self.buckets))[:-1])
         self.shift = [0] * self.buckets
         taken = np.zeros(n, bool)
@@ -76,14 +75,15 @@ class PerfectHash:
             self.shift[b] = -int(slot) - 1
             slots[members[b][0]] = slot
         self.order = slots
+        self.turn = [shift * STEP & MASK if shift >= 0 else shift for shift in self.shift]
 
     def slot(self, key: bytes) -> int:
         """The slot of ``key`` if it is one of the keys; any slot if not."""
-        d = xxh3_128_intdigest(key)
-        shift = self.shift[(d >> 64) % self.buckets]
-        if shift < 0:
-            return -shift - 1
-        return ((((d & MASK) ^ (shift * STEP & MASK)) * MIX & MASK) >> 32) % self.n
+        d = xxh3_64_intdigest(key)
+        turn = self.turn[(d >> 32) % self.buckets]
+        if turn < 0:
+            return -turn - 1
+        return ((d ^ turn) * MIX >> 32 & LOW) % self.n
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -167,10 +167,9 @@ class Coder(dict):
         mask = (1 << bits) - 1
         end = list(range(1, n + 1))  # end[i]: where the piece that starts at i stops; 0 once joined to its left
         before = list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            if (r := rank(raw[i : i + 2])) >= 0:
-                heap.append(((r << bits | i) << bits) | i + 2)
+        heap = [
+            (r << bits | i) << bits | i + 2 for i in range(n - 1) if (r := rank(raw[i : i + 2])) >= 0
+        ]
         heapify(heap)
         while heap:
             entry = heappop(heap)
@@ -227,26 +226,23 @@ def load(spark, path: str, pattern: str):
     return spark.sparkContext.broadcast(Vocabulary(read_ranks(path), pattern))
 
 
-def _carried(docs: DataFrame, last: str) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", {last}"
-
-
 def encode(docs: DataFrame, vocabulary, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids array<int>`` in place of a column of that name.
 
     Null and empty texts have no ids. Each match of the pattern is encoded by itself; strings of
     special tokens are ordinary text. Bytes that are not UTF-8 count as U+FFFD.
     """
-    kept = without(docs, "ids")
-    rows = docs.select(*[quoted(c) for c in kept.columns], as_bytes(quoted(text_col)).alias("__body"))
-    return rows.mapInArrow(partial(_encode, shared=vocabulary), _carried(kept, "ids array<int>"))
+    rows = docs.select(packed(docs, "ids").alias("given"), as_bytes(quoted(text_col)).alias("body"))
+    done = rows.mapInArrow(partial(_encode, shared=vocabulary), with_fields(rows, "ids array<int>"))
+    return done.select(*unpacked(docs, F.col("given"), "ids"), "ids")
 
 
 def decode(encoded: DataFrame, vocabulary, ids_col: str = "ids") -> DataFrame:
     """Rows with ``decoded binary``, the bytes of ``ids_col``; null ids give no bytes, unknown ids fail."""
-    kept = without(encoded, "decoded", ids_col)
-    rows = encoded.select(*[quoted(c) for c in kept.columns], quoted(ids_col).alias("ids"))
-    return rows.mapInArrow(partial(_decode, shared=vocabulary), _carried(kept, "ids array<int>, decoded binary"))
+    lost = ("decoded", ids_col)
+    rows = encoded.select(packed(encoded, *lost).alias("given"), quoted(ids_col).alias("ids"))
+    done = rows.mapInArrow(partial(_decode, shared=vocabulary), with_fields(rows, "ids array<int>, decoded binary"))
+    return done.select(*unpacked(encoded, F.col("given"), *lost), "ids", "decoded")
 
 
 def digests(decoded: DataFrame, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:

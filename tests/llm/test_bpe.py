@@ -44,6 +44,17 @@ def test_matches_library(spark, encoding):
         assert bytes(row.decoded) == (text or "").encode()
 
 
+def test_random_texts_match_library(encoding):
+    import random
+
+    rng = random.Random(7)
+    coder = bpe.Coder(bpe.Vocabulary(bpe.read_ranks(PATH), public_tokenizers.PATTERN))
+    parts = ["word", "Wörter", "it's", "don't,", "a", ",", ".", "...", "end.", "x,y", " ", "\n", "\t", "\u00a0", "\u2003", "12", "3.5", "日本", "é", "ª", "²", "\x1c", "'s", "'", "_"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) + rng.choice(["", " ", " ", " "]) for _ in range(rng.randint(0, 9)))
+        assert list(memoryview(coder.encode(text)).cast("i")) == encoding.encode_ordinary(text), text
+
+
 def test_query_matches_library(spark, encoding):
     from spanwave.llm import queries
 
