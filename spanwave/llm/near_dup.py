@@ -35,7 +35,7 @@ MATCHES = 30  # at similarity 0.75 fewer come about once in some million pairs
 PREFIX = COORDINATES - MATCHES + 1
 BLOCK = 4096  # classes compared with each other in one task
 MAX_SENT = 1_000_000  # ids that may be sent to all tasks; more are joined
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 
 _random = np.random.RandomState(20240229)
 FLIP = _random.randint(0, 1 << 63, COORDINATES, dtype=np.int64).astype(np.uint64)[:, None]
