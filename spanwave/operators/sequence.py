@@ -158,7 +158,7 @@ def quantiles(
     share = F.coalesce(F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
     if list(keys) == ["_all"]:
         # One row: read as scalars, as a join on a constant would be a nested loop.
-        limited = known.withColumns({c: limits.select(c).scalar() for c in ("_lo", "_hi", "_n")})
+        limited = known.withColumn("_l", limits.select(F.struct("_lo", "_hi", "_n")).scalar()).select("*", "_l.*").drop("_l")
     else:
         limited = known.join(limits, list(keys))
     binned = limited.withColumn(
@@ -178,15 +178,17 @@ def quantiles(
         .withColumn("_local", F.col("_rank") - F.col("_base"))
     )
     needed = ranks.select(*keys, "_bin").distinct()
-    within = Window.partitionBy(*keys, "_bin").orderBy(value)
+    # Equal values count as one row, so a value that fills a bin is no load on its task.
+    before = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        binned.select(*keys, "_bin", value)
-        .join(needed, [*keys, "_bin"], "left_semi")
-        .withColumn("_local", F.row_number().over(within) - 1)
+        binned.join(needed, [*keys, "_bin"], "left_semi")
+        .groupBy(*keys, "_bin", value)
+        .agg(F.count(F.lit(1)).alias("_same"))
+        .withColumn("_first", F.coalesce(F.sum("_same").over(before), F.lit(0)))
     )
     hits = placed.join(
-        ranks.select(*keys, "_bin", "_local", "probability", "_at", "_rank"), [*keys, "_bin", "_local"]
-    )
+        ranks.select(*keys, "_bin", "_local", "probability", "_at", "_rank"), [*keys, "_bin"]
+    ).filter((F.col("_local") >= F.col("_first")) & (F.col("_local") < F.col("_first") + F.col("_same")))
     fraction = F.col("_at") - F.floor("_at")
     low = F.max(F.when(F.col("_rank") == F.floor("_at"), F.col(value)))
     high = F.max(F.when(F.col("_rank") == F.ceil("_at"), F.col(value)))

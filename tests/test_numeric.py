@@ -195,3 +195,17 @@ def test_complex_helpers(spark):
     assert complex(row.re, row.im) == pytest.approx(z * np.exp(-0.3j)) and complex(row.a, row.b) == z * w.conjugate() and row.r == 0
     with pytest.raises(Exception, match="no whole number in Start_Row"):
         spark.range(1).select(numbers.to_int(F.lit(float("nan")), "Start_Row")).collect()
+
+
+def test_quantiles_of_repeated_values(spark):
+    """A value that fills a group is one row of its bin; ranks on both sides of it are right."""
+    from spanwave.operators import sequence
+
+    rows = [("a", 5.0)] * 5000 + [("a", 1.0), ("a", 9.0)] + [("b", float(i % 3)) for i in range(1000)] + [("c", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    chances = [0.0, 0.1, 0.5, 0.75, 0.9999, 1.0]
+    got = {(r.g, r.probability): r.quantile for r in sequence.quantiles(df, ["g"], "v", chances).collect()}
+    for g in "abc":
+        values = [v for k, v in rows if k == g]
+        for p in chances:
+            assert got[g, p] == pytest.approx(np.quantile(values, p))
