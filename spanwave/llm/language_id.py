@@ -17,12 +17,13 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwave.llm.storage import Batches, as_bytes, list_of, packed, quoted, stage, unpacked, with_fields, without
 
 SAMPLE_ROWS = 400  # labelled rows a language is fitted on, at most
+MIN_ROWS = 5  # labelled rows that make a declared code a language
 SAMPLE_BYTES = 20_000  # bytes of a labelled row that are used
 TABLE_BITS = 16
 WEIGHT = 0.1  # neighbouring trigrams overlap, so the text's log likelihood counts for a tenth
@@ -47,22 +48,27 @@ FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 el
 def fit(docs: DataFrame, text_col: str, declared_col: str, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and their log probabilities by table place, from at most ``sample_rows`` rows each.
 
-    The rows are those with the smallest hash of their text, so the choice repeats.
+    The rows are those with the smallest hash of their text, so the choice repeats. Only hashes are
+    shuffled to find them.
     """
-    from pyspark.sql import Window
-
-    body = F.substring(as_bytes(quoted(text_col)), 1, SAMPLE_BYTES)
+    whole = as_bytes(quoted(text_col))
     labelled = docs.select(
         F.lower(F.substring(quoted(declared_col).cast("string"), 1, 2)).alias("language"),
-        F.xxhash64(as_bytes(quoted(text_col))).alias("place"),
-        body.alias("body"),
+        F.xxhash64(whole).alias("place"),
+        F.substring(whole, 1, SAMPLE_BYTES).alias("body"),
     ).where("language rlike '^[a-z]{2}$' and octet_length(body) >= 100")
-    # One small candidate set per task and language, then the overall smallest: no language is sorted whole.
-    salted = labelled.withColumn("part", F.spark_partition_id())
-    by_part = Window.partitionBy("language", "part").orderBy("place")
+    # Hashes only: the smallest of each salt, then of each language; equal texts count once.
+    salted = labelled.select("language", "place").distinct().withColumn("salt", F.pmod("place", F.lit(64)))
+    by_salt = Window.partitionBy("language", "salt").orderBy("place")
     by_language = Window.partitionBy("language").orderBy("place")
-    ranked = salted.withColumn("n", F.row_number().over(by_part)).where(F.col("n") <= sample_rows)
-    chosen = ranked.withColumn("n", F.row_number().over(by_language)).where(F.col("n") <= sample_rows)
+    ranked = salted.withColumn("n", F.row_number().over(by_salt)).where(F.col("n") <= sample_rows)
+    limits = ranked.withColumn("n", F.row_number().over(by_language)).where(F.col("n") <= sample_rows)
+    rows = labelled.groupBy("language").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= MIN_ROWS)
+    limits = limits.join(rows, "language")
+    wanted = F.lit(False)
+    for row in limits.groupBy("language").agg(F.max("place").alias("limit")).collect():  # one row a language
+        wanted = wanted | ((F.col("language") == row.language) & (F.col("place") <= row.limit))
+    chosen = labelled.where(wanted).groupBy("language", "place").agg(F.min("body").alias("body"))
     counts: dict[str, np.ndarray] = {}
     for row in chosen.select("language", "body").toLocalIterator():
         table = counts.setdefault(row.language, np.zeros(1 << TABLE_BITS))
@@ -120,6 +126,7 @@ def identify(
     ``declared_col`` holds what the markup declares (only its first two letters count), ``host_col``
     the host; the part after its last dot is its address suffix. Either may be None.
 
+    A declared code that fewer than ``MIN_ROWS`` rows share is no language.
     Texts without letters (null and empty ones too) have no language and are not accepted; nor is a
     text whose best language has less than ``min_confidence``. Null or unknown declarations and
     hosts are no evidence: such rows use the prior of all rows. Equal scores go to the first

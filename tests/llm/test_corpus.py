@@ -163,7 +163,8 @@ def test_languages_held_out(spark):
 
 def test_language_cases(spark):
     english, german = "the house of the king and the sea with that story " * 4, "und der junge mann ging nicht auf die schöne straße " * 4
-    rows = [(i, english, "en", "a.com") for i in range(8)] + [(i, german, "de", "b.de") for i in range(8, 16)]
+    turned = lambda text, i: " ".join(text.split()[i:] + text.split()[:i])
+    rows = [(i, turned(english, i), "en", "a.com") for i in range(8)] + [(i, turned(german, i), "de", "b.de") for i in range(8, 16)]
     rows += [(20, None, "en", "a.com"), (21, "", None, None), (22, "12 34 !!", "de", "b.de"), (23, german, None, "new.de"), (24, english, "xx", None), (25, german, "en", "b.de"), (0, english, "en", "a.com")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, language int").repartition(3)
     got = {r.doc_id: r for r in language_id.identify(docs).collect()}
