@@ -194,7 +194,7 @@ def histogram(
         F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)
     )
     return (
-        clipped.join(limits, list(keys))
+        clipped.join(small(limits), list(keys))
         .withColumn("bin", F.least(F.floor(share * bins), F.lit(bins - 1)))
         .groupBy(*keys, "bin")
         .agg(F.count(F.lit(1)).alias("n"))

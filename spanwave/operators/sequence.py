@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanwave.operators.sizing import small
+
 
 def _before(keys: Sequence[str], tile: str):
     return Window.partitionBy(*keys).orderBy(tile).rowsBetween(Window.unboundedPreceding, -1)
@@ -160,7 +162,7 @@ def quantiles(
         # One row: read as scalars, as a join on a constant would be a nested loop.
         limited = known.withColumn("_l", limits.select(F.struct("_lo", "_hi", "_n")).scalar()).select("*", "_l.*").drop("_l")
     else:
-        limited = known.join(limits, list(keys))
+        limited = known.join(small(limits), list(keys))
     binned = limited.withColumn(
         "_bin", F.least(F.floor(F.sqrt(F.sqrt(share)) * bins), F.lit(bins - 1)).cast("int")
     )
