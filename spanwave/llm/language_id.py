@@ -88,8 +88,8 @@ def _likelihood(batches: Batches, tables) -> Batches:
         for i, text in enumerate(texts):
             raw = np.frombuffer(text, np.uint8)
             letters[i] = np.count_nonzero(FOLD[raw] != 32)
-            for start in range(0, max(0, len(raw) - 2), 1 << 20):
-                at = trigrams(raw[start : start + (1 << 20) + 2])
+            for start in range(0, max(0, len(raw) - 2), 1 << 18):
+                at = trigrams(raw[start : start + (1 << 18) + 2])
                 sums[i] += model[:, at].sum(axis=1)
         yield pa.RecordBatch.from_arrays(
             [
