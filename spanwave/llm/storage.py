@@ -37,7 +37,17 @@ def stage(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.staged_at = where
+    return read
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete stage tables that nothing reads any more, and let Spark drop the shuffle files of finished plans."""
+    spark = staged[0].sparkSession
+    for frame in staged:
+        frame.staged_at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(frame.staged_at, True)
+    spark._jvm.System.gc()
 
 
 def as_bytes(column: Column | str) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from spanwave.llm import bloom
-from spanwave.llm.storage import Batches, as_bytes, numbers, quoted, stage
+from spanwave.llm.storage import Batches, as_bytes, discard, numbers, quoted, stage
 
 LENGTH = 100
 ANCHOR = 32
@@ -173,20 +173,25 @@ def _suspects(batches: Batches, filled, length: int) -> Batches:
             )
 
 
-def sort_shard(text: np.ndarray) -> np.ndarray:
-    """Suffixes of strings that each end in 0, by doubling ranks; of equal suffixes the earlier string's first."""
+def first_symbols(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Per suffix its first symbols in one number, the symbols up to its end, and how many the number holds."""
     n = len(text)
     ends = np.flatnonzero(text == 0)
-    left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)  # symbols up to the end of the string
-    # The first symbols in one number; what follows an end does not count.
+    left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)
     bits = 8 * text.itemsize
     span = 64 // bits
     key = np.zeros(n, np.uint64)
     for i in range(span):
         at = np.zeros(n, np.uint64)
         at[: n - i] = text[i:]
-        at[left < i] = 0
+        at[left < i] = 0  # what follows an end does not count
         key |= at << np.uint64(64 - bits * (i + 1))
+    return key, left, span
+
+
+def sort_shard(key: np.ndarray, left: np.ndarray, span: int) -> np.ndarray:
+    """Suffixes of strings by doubling ranks, from their first symbols; of equal suffixes the earlier string's first."""
+    n = len(key)
     order = np.argsort(key, kind="stable")
     ordered = key[order]
     fresh = np.zeros(n, np.int64)
@@ -197,9 +202,9 @@ def sort_shard(text: np.ndarray) -> np.ndarray:
     while fresh[-1] != n - 1:
         following = np.zeros(n, np.int64)
         following[:-span] = rank[span:] + 1
-        key = rank * np.int64(n + 1) + following
-        order = np.argsort(key)
-        ordered = key[order]
+        pair = rank * np.int64(n + 1) + following
+        order = np.argsort(pair)
+        ordered = pair[order]
         np.cumsum(ordered[1:] != ordered[:-1], out=fresh[1:])
         rank[order] = fresh
         span *= 2
@@ -221,23 +226,36 @@ def merge(text: np.ndarray, cuts: np.ndarray, length: int) -> tuple[np.ndarray,
     """All suffixes of the shards ``text[cuts[i]:cuts[i + 1]]`` in order of their first ``length`` symbols.
 
     With it the common prefix of each suffix with the one before it, exact below ``length``. The
-    interleave is kept as places in the row of all shards' sorted suffixes. One round takes the
+    interleave starts from the first few symbols and is kept as places in the row of all shards'
+    sorted suffixes. One round takes the
     symbols before the suffixes (the transforms, interleaved), sorts them stably and goes on to the
     suffixes that these symbols begin; ends keep the order of their strings.
     """
     n = len(text)
-    sorted_suffixes = np.concatenate([sort_shard(text[a:b]) + a for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    key, left, span = first_symbols(text)
+    sorted_suffixes = np.concatenate(
+        [sort_shard(key[a:b], left[a:b], span) + a for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    )
     place = np.empty(n, np.int32)
     place[sorted_suffixes] = np.arange(n, dtype=np.int32)
     before = np.concatenate([text[-1:], text[:-1]])[sorted_suffixes]  # the shards' transforms
     step = np.concatenate([place[-1:], place[:-1]])[sorted_suffixes]  # where the suffix one symbol longer is
     ends = place[np.flatnonzero(text == 0)]
     strings = len(ends)
-    row = np.arange(n, dtype=np.int32)
-    block = np.zeros(n, np.int32)
-    common = np.full(n, length, np.int16)
+    # The sorted shards are first merged by the symbols that one number holds.
+    key, left = key[sorted_suffixes], left[sorted_suffixes]
+    row = np.argsort(key, kind="stable").astype(np.int32)
+    key, left = key[row], left[row]
+    differ = key[1:] ^ key[:-1]
     edge = np.ones(n, bool)
-    for h in range(1, length + 1):
+    edge[1:] = (differ != 0) | (left[1:] < span)
+    common = np.full(n, length, np.int16)
+    common[0] = 0
+    in_bytes = differ.astype(">u8").view(np.uint8).reshape(-1, 8) != 0
+    equal = np.where(differ == 0, span, in_bytes.argmax(axis=1) // text.itemsize)
+    common[1:][edge[1:]] = np.minimum(np.minimum(equal, left[1:]), left[:-1])[edge[1:]]
+    block = np.cumsum(edge, dtype=np.int32)
+    for h in range(span + 1, length + 1):
         symbols = before.take(row)
         order = stable_order(symbols)[strings:]
         ordered, blocks = symbols.take(order), block.take(order)
@@ -449,6 +467,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = placed.where("not tied").select("owner", "print", F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("stop"))
     # Rows that share id, start and unit with the first place are first places too.
     tied = placed.where("tied").select("owner", "print", "at", "unit").distinct().join(distinct.select("unit", "core", "bytes"), "unit")
+    discard(found)
     # 4. Different units with one core.
     cores = stage(distinct.groupBy("core").agg(F.count(F.lit(1)).alias("held")).where("held > 1"))
     heads = distinct.select("owner", "print", "at", "core", "bytes")
@@ -471,6 +490,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select(F.col("owner").alias("of"), F.col("print").alias("of_print"), F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
     )
     spans = stage(spans)
+    discard(distinct, placed, cores, named, firsts)
     # Only texts that lose a part meet their spans; copies lose all and the rest nothing.
     marks = copies.withColumn("part", F.lit(False)).unionByName(
         spans.select(F.col("of").alias("owner"), F.col("of_print").alias("print"), F.lit(True).alias("part"))

@@ -83,3 +83,21 @@ def test_merge_gives_order_and_common_prefixes(monkeypatch):
         for o in range(len(raw) - length + 1):
             want.setdefault(raw[o : o + length], set()).add((b, o))
     assert sorted(map(sorted, got.values())) == sorted(sorted(w) for w in want.values() if len(w) > 1)
+
+
+@pytest.mark.parametrize("kind", [np.uint8, np.uint16])
+def test_common_prefixes_are_exact(kind):
+    rng = np.random.RandomState(5)
+    bodies = [bytes(rng.randint(97, 99, rng.randint(1, 30)).astype(np.uint8)) for _ in range(25)] + [b"aaaa", b"aaaa"]
+    begins = np.concatenate([[0], np.cumsum([len(b) + 1 for b in bodies])])
+    text = (np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8).astype(np.uint16) + 1).astype(kind)
+    text[begins[1:] - 1] = 0
+    order, common = sd.merge(text, begins[[0, 9, 10, len(bodies)]], 12)
+    whole = b"\0".join(bodies) + b"\0"
+    suffix = lambda i: whole[i : whole.index(b"\0", i)]
+    got = [suffix(i)[:12] for i in order]
+    assert sorted(order) == list(range(len(text)))
+    assert got == sorted(got)
+    for i in range(1, len(got)):
+        a, b = got[i - 1], got[i]
+        assert common[i] == next((k for k in range(12) if a[k : k + 1] != b[k : k + 1] or k >= len(a)), 12)
