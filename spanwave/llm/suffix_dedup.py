@@ -14,6 +14,7 @@ smaller start); every byte of a repeated string goes.
    group are merged by refining their interleave: after h rounds it is right for the first h bytes,
    and the round in which a boundary first shows gives the common prefix. After ``length`` rounds
    the intervals without a boundary are the repeated strings; suffixes are never sorted again.
+   Strings of a core with more than ``BLOCK`` units are grouped one by one, by their bytes, instead.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh3_64_intdigest, xxh3_128_digest
+from xxhash import xxh3_128_digest
 
 from spanwave.llm import bloom
 from spanwave.llm.storage import Batches, as_bytes, discard, numbers, quoted, stage
@@ -362,7 +363,7 @@ def later_places(table: pa.Table, length: int) -> pa.RecordBatch | None:
 
 
 def _windows(batches: Batches, length: int) -> Batches:
-    """Every string of a unit as a unit of its own, with the hash that deals it out."""
+    """Every string of a unit as a row of its own."""
     for batch in batches:
         bodies = batch.column("bytes").to_pylist()
         strings = [b[i : i + length] for b in bodies for i in range(len(b) - length + 1)]
@@ -371,17 +372,27 @@ def _windows(batches: Batches, length: int) -> Batches:
         shift = np.concatenate([np.arange(c) for c in counts]) if len(counts) else np.zeros(0, np.int64)
         at = numbers(batch.select(["at"]).take(of), "at") + shift
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("owner").take(of),
-                batch.column("print").take(of),
-                pa.array(at, pa.int64()),
-                pa.array([xxh3_64_intdigest(s) >> 1 for s in strings], pa.int64()),
-                pa.array(strings, pa.binary()),
-            ],
-            ["owner", "print", "at", "core", "bytes"],
+            [batch.column("owner").take(of), batch.column("print").take(of), pa.array(at, pa.int64()), pa.array(strings, pa.binary())],
+            ["owner", "print", "at", "bytes"],
         )
 
 
+def later_strings(windows: DataFrame, length: int) -> DataFrame:
+    """``owner, print, start, stop`` of every string of ``windows`` but the first place of each.
+
+    Equal strings are counted inside the tasks before they meet, by their bytes; the places then meet
+    one row for each string, so that no task holds the places of a string at once.
+    """
+    firsts = (
+        windows.groupBy("bytes")
+        .agg(F.min(F.struct("owner", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
+        .select("bytes", "first")
+    )
+    later = (F.col("owner") != F.col("first.owner")) | (F.col("at") != F.col("first.at"))
+    return windows.join(firsts, "bytes").where(later).select("owner", "print", F.col("at").alias("start"), (F.col("at") + length).alias("stop"))
+
+
 RESULT = (
     T.StructType()
     .add("n_bytes", T.LongType())
@@ -472,17 +483,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cores = stage(distinct.groupBy("core").agg(F.count(F.lit(1)).alias("held")).where("held > 1"))
     heads = distinct.select("owner", "print", "at", "core", "bytes")
     met = heads.unionByName(tied.drop("unit")).join(cores, "core")
-    columns = f"owner {kind}, print long, at long, core long, bytes binary"
     usual = met.where(F.col("held") <= BLOCK).drop("held")
-    hot = met.where(F.col("held") > BLOCK).drop("held").mapInArrow(partial(_windows, length=length), columns)
-    volume = distinct.join(cores, "core").agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    volume = distinct.join(cores.where(F.col("held") <= BLOCK), "core").agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     tasks = int(max(spark.sparkContext.defaultParallelism, -(-volume // TASK_BYTES)))
     partly = (
-        usual.unionByName(hot)
-        .repartition(tasks, "core")
+        usual.repartition(tasks, "core")
         .sortWithinPartitions("core")
         .mapInArrow(partial(_compare, length=length), f"owner {kind}, print long, start long, stop long")
     )
+    if not cores.where(F.col("held") > BLOCK).isEmpty():
+        hot = met.where(F.col("held") > BLOCK).select("owner", "print", "at", "bytes")
+        windows = hot.mapInArrow(partial(_windows, length=length), f"owner {kind}, print long, at long, bytes binary")
+        partly = partly.unionByName(later_strings(windows, length))
     spans = (
         again.unionByName(partly)
         .groupBy("owner", "print")

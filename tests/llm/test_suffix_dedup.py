@@ -59,6 +59,27 @@ def test_matches_brute_force(spark, monkeypatch, block):
     assert sorted(got, key=repr) == brute(rows, sd.LENGTH)
 
 
+def test_copies_of_a_hot_passage_never_share_a_task(spark, monkeypatch):
+    """Equal strings in different surroundings: each task of the merge sees a string once."""
+    compare = sd._compare
+
+    def guarded(batches, length):
+        batches = list(batches)
+        bodies = [b for batch in batches for b in batch.column("bytes").to_pylist()]
+        assert len(set(bodies)) == len(bodies)
+        yield from compare(batches, length)
+
+    monkeypatch.setattr(sd, "BLOCK", 3)
+    monkeypatch.setattr(sd, "_compare", guarded)
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = word(104)
+    rows = [(i, word(rng.randint(0, 150)) + passage + word(rng.randint(0, 150))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in sd.remove_repeats(docs).collect()]
+    assert sorted(got, key=repr) == brute(rows, sd.LENGTH)
+
+
 def test_empty_table_and_long_text(spark, monkeypatch):
     assert sd.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rng = random.Random(1)
