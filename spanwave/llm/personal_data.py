@@ -2,8 +2,9 @@
 
 Fixed forms are the seeds. The words around a seed are a pattern; patterns and the identifier-like
 strings they surround make a graph, scored in rounds on Spark: a pattern is as good as the share of
-sure instances it surrounds, an instance as sure as its patterns together make it. Patterns of high
-confidence then point out identifiers that no fixed form matches.
+sure instances it surrounds, an instance as sure as its patterns together make it. Instances believed
+after some rounds support patterns as seeds do, and the rounds are repeated until none is added.
+Patterns of high confidence then point out identifiers that no fixed form matches.
 """
 
 from __future__ import annotations
@@ -31,11 +32,14 @@ DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
 TRIM = ".,;:!?\"'()[]{}<>*#$%&|"
 MIN_TOKEN, MIN_DIGITS = 6, 4  # what an identifier-like string has at least
-ROUNDS = 3
+ROUNDS = 3  # of scoring, before the believed instances are taken over
 SMOOTH = 2.0  # unsure instances that every pattern is charged with
-MIN_SEEDS = 3  # different sure instances a pattern needs
+MIN_SEEDS = 3  # different sure or believed instances a pattern needs
 MIN_CONFIDENCE = 0.6
+MIN_BELIEF = 0.6  # from which on a learned instance supports patterns
 MAX_CONTEXT = 40  # code points of a context word that count
+REACH = 80  # code points before and after a span that are searched for its context
+EDGE, ANY = "|", "*"  # in a context: the text's edge, and a word that says nothing; no stripped word is one of them
 
 
 def luhn(digits: str) -> bool:
@@ -85,15 +89,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def context(text: str, start: int, end: int) -> str | None:
-    """The words next to a span, lower-cased, or None at a text's edges or where digits stand."""
-    left = text[max(0, start - 80) : start].lower().split()
-    right = text[end : end + 80].lower().split()
-    if not left or not right:
-        return None
-    a, b = left[-1].strip(TRIM)[-MAX_CONTEXT:], right[0].strip(TRIM)[:MAX_CONTEXT]
-    if not a or not b or MARK.search(a + b):
-        return None
+def context(text: str, start: int, end: int) -> str:
+    """The words next to a span, lower-cased; ``EDGE`` at a text's edges, ``ANY`` where digits stand or no word is in reach."""
+    left = reversed(text[max(0, start - REACH) : start].lower().split())
+    right = text[end : end + REACH].lower().split()
+    a, b = (next((t for w in words if (t := w.strip(TRIM))), "") for words in (left, right))
+    a, b = a[-MAX_CONTEXT:], b[:MAX_CONTEXT]
+    a = ANY if MARK.search(a) or not a and start > REACH else a or EDGE
+    b = ANY if MARK.search(b) or not b and len(text) > end + REACH else b or EDGE
     return f"{a} _ {b}"
 
 
@@ -101,8 +104,7 @@ def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, st
     """``(pattern, string, place of kind or -1, start, end)``: seeds, and identifier-like strings outside them."""
     found = []
     for kind, start, end in base:
-        if pattern := context(text, start, end):
-            found.append((pattern, text[start:end].lower(), kind, start, end))
+        found.append((context(text, start, end), text[start:end].lower(), kind, start, end))
     if MARK.search(text) is None:
         return found
     taken = sorted((s, e) for _, s, e in base)
@@ -126,8 +128,7 @@ def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, st
             place += 1
         if any(s < end and start < e for s, e in taken[max(0, place - 4) : place + 4]):
             continue
-        if pattern := context(text, start, end):
-            found.append((pattern, own.lower(), -1, start, end))
+        found.append((context(text, start, end), own.lower(), -1, start, end))
     return found
 
 
@@ -154,38 +155,44 @@ def _extract(batches: Batches) -> Batches:
         )
 
 
-def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``pattern, kind, confidence, n_sure`` after ``rounds`` of scoring.
+def score_patterns(edges: DataFrame, rounds: int = ROUNDS, min_belief: float = MIN_BELIEF) -> DataFrame:
+    """``pattern, kind, confidence, n_sure`` after scoring to the end.
 
     ``edges``: distinct ``pattern, string, kind`` with kind -1 for what no fixed form matches. Sure
-    instances start at 1 for their kind, all others at 0.
+    instances start at 1 for their kind, all others at 0. After ``rounds`` the instances believed at
+    least as far as ``min_belief`` keep their belief and support patterns from then on; scoring starts
+    again with them until no instance, and so no pattern, is added. Every start adds an instance, so
+    it ends.
     """
-    pairs = edges.groupBy("pattern", "string").agg(F.max("kind").alias("kind"))
-    sizes = pairs.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    pairs = stage(edges.groupBy("pattern", "string").agg(F.max("kind").alias("kind")))
+    sizes = stage(pairs.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")))
+    unsure = pairs.where("kind < 0").drop("kind")
     sure = pairs.where("kind >= 0").select("pattern", "string", "kind", F.lit(1.0).alias("belief"))
-    beliefs = sure
-    for i in range(rounds):
-        patterns = (
-            beliefs.groupBy("pattern", "kind")
-            .agg(F.sum("belief").alias("mass"), F.sum(F.when(F.col("belief") >= 1.0, 1).otherwise(0)).alias("n_sure"))
-            .where(F.col("n_sure") >= MIN_SEEDS)
-            .join(sizes, "pattern")
-            .select("pattern", "kind", (F.col("mass") / (F.col("n") + SMOOTH)).alias("confidence"), "n_sure")
-        )
-        patterns = stage(patterns)
-        if i + 1 == rounds:
+    believed = stage(unsure.select("string", F.lit(0).alias("kind"), F.lit(0.0).alias("belief")).limit(0))
+    while True:
+        learned = believed
+        for _ in range(rounds):
+            spread = unsure.join(learned, "string").select("pattern", "string", "kind", "belief")
+            patterns = stage(
+                sure.unionByName(spread)
+                .groupBy("pattern", "kind")
+                .agg(F.sum("belief").alias("mass"), F.sum(F.when(F.col("belief") >= min_belief, 1).otherwise(0)).alias("n_sure"))
+                .where(F.col("n_sure") >= MIN_SEEDS)
+                .join(sizes, "pattern")
+                .select("pattern", "kind", (F.col("mass") / (F.col("n") + SMOOTH)).alias("confidence"), "n_sure")
+            )
+            # An unsure instance is believed as far as its patterns leave no doubt, and never less than before.
+            told = (
+                unsure.join(patterns, "pattern")
+                .groupBy("string", "kind")
+                .agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("belief"))
+            )
+            learned = told.unionByName(believed).groupBy("string", "kind").agg(F.max("belief").alias("belief"))
+        added = told.where(F.col("belief") >= min_belief).join(believed, ["string", "kind"], "left_anti")
+        grown = stage(believed.unionByName(added))
+        if grown.count() == believed.count():
             return patterns
-        # An unsure instance is believed as far as its patterns leave no doubt; seeds stay sure.
-        learned = (
-            pairs.where("kind < 0")
-            .drop("kind")
-            .join(patterns, "pattern")
-            .groupBy("string", "kind")
-            .agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("belief"))
-        )
-        spread = pairs.where("kind < 0").drop("kind").join(learned, "string").select("pattern", "string", "kind", "belief")
-        beliefs = sure.unionByName(spread)
-    return patterns
+        believed = grown
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -193,7 +200,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Kinds ``email``, ``ip``, ``card`` and ``phone`` are fixed forms, by leftmost non-overlapping
     matches; ``context`` are strings with digits between words that surround at least ``MIN_SEEDS``
-    different fixed-form strings with at least ``min_confidence``. Offsets are code points, ends
+    different fixed-form or learned strings with at least ``min_confidence``. Offsets are code points, ends
     exclusive; spans are in order of kind and then start.
 
     Null and empty texts have none. Repeated rows count once for a pattern and get equal spans;

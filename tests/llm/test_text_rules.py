@@ -182,6 +182,73 @@ def test_contexts_are_learned(spark):
     assert sum(o is not None and o < 12 and len(s) == 1 and s[0][0] == "email" for o, s in found) == 12
 
 
+def scored(rows: list[tuple]) -> dict[str, float]:
+    """Patterns and their best confidence by the literal rules: rounds from the believed instances until none is added."""
+    pairs: dict[tuple, int] = {}
+    for _, text in rows:
+        for pattern, string, kind, _, _ in personal_data.instances(text, personal_data.base_spans(text)):
+            pairs[pattern, string] = max(kind, pairs.get((pattern, string), -1))
+    size = Counter(p for p, _ in pairs)
+    believed: dict[tuple, float] = {}
+    while True:
+        learned = dict(believed)
+        for _ in range(personal_data.ROUNDS):
+            mass, support = Counter(), Counter()
+            for (p, s), kind in pairs.items():
+                told = {kind: 1.0} if kind >= 0 else {k: b for (t, k), b in learned.items() if t == s}
+                for k, b in told.items():
+                    mass[p, k] += b
+                    support[p, k] += b >= personal_data.MIN_BELIEF
+            patterns = {pk: m / (size[pk[0]] + personal_data.SMOOTH) for pk, m in mass.items() if support[pk] >= personal_data.MIN_SEEDS}
+            doubt: dict[tuple, float] = {}
+            for (p, s), kind in pairs.items():
+                for (q, k), c in patterns.items():
+                    if q == p and kind < 0:
+                        doubt[s, k] = doubt.get((s, k), 1.0) * (1 - c)
+            told_now = {sk: 1 - d for sk, d in doubt.items()}
+            learned = {sk: max(told_now.get(sk, 0), believed.get(sk, 0)) for sk in {*told_now, *believed}}
+        added = {sk: b for sk, b in told_now.items() if b >= personal_data.MIN_BELIEF and sk not in believed}
+        if not added:
+            best: dict[str, float] = {}
+            for (p, _), c in patterns.items():
+                best[p] = max(c, best.get(p, 0))
+            return best
+        believed |= added
+
+
+def contexts(spark, rows: list[tuple]) -> list[tuple]:
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = personal_data.find_personal_data(docs).collect()
+    return sorted((r.doc_id, s.start, s.end) for r in found for s in r.spans if s.kind == "context")
+
+
+def test_contexts_over_two_hops(spark):
+    """Badges stand once among addresses, then in words no address has; cards only beside such badges."""
+    badge = lambda i: f"QX-{1000 + 37 * i}-b"
+    rows = [(i, f"please write to user{i}@mail.example now or never") for i in range(12)]
+    rows += [(20 + i, f"please write to {badge(i)} now or never") for i in range(8)]
+    rows += [(40 + i, f"the badge {badge(i)} was shown") for i in range(8)]
+    rows += [(60 + i, f"the badge ZZ-{5000 + i} was shown") for i in range(2)]
+    rows += [(70 + i, f"the year {1900000 + i} was long") for i in range(8)]
+    best = scored(rows)
+    want = sorted(
+        (owner, start, end)
+        for owner, text in rows
+        for pattern, _, kind, start, end in personal_data.instances(text, personal_data.base_spans(text))
+        if kind < 0 and best.get(pattern, 0) >= personal_data.MIN_CONFIDENCE
+    )
+    assert {60, 61} <= {o for o, _, _ in want} and not {o for o, _, _ in want} & set(range(70, 80))
+    assert contexts(spark, rows) == want
+
+
+def test_contexts_at_edges_and_beside_digits(spark):
+    """Seeds at a text's end, its start and beside a number teach, and strings there are found."""
+    rows = [(i, f"you reach me at user{i}@mail.example") for i in range(8)] + [(8, "you reach me at AB-12345")]
+    rows += [(10 + i, f"user{i}@post.example is where I am") for i in range(8)] + [(18, "(CD-12345) is where I am")]
+    rows += [(20 + i, f"he paid {i}00 to user{i}@shop.example 77 times") for i in range(8)] + [(28, "he paid 900 to EF-12345 78 times")]
+    assert {o for o, _, _ in contexts(spark, rows)} == {8, 18, 28}
+
+
 @pytest.mark.parametrize("call", [quality.score, secret_scan.find_secrets, personal_data.find_personal_data])
 def test_empty_tables(spark, call):
     assert call(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
