@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -76,24 +78,20 @@ def novelty(text: str, start: int, end: int, frame: zstandard.ZstdCompressor) ->
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, str]], frame: zstandard.ZstdCompressor, least: float) -> list[tuple[int, int, int]]:
-    """Incompressible strings of letters and digits shortly after a sensitive word, outside ``taken``."""
+    """Incompressible ones of all candidates shortly after a sensitive word, outside ``taken``; each is measured once."""
     found, done = [], 0
+    starts = [s for s, _, _ in taken]
+    reached = list(accumulate((e for _, _, e in taken), max))
     for word in SENSITIVE.finditer(text):
-        at = CANDIDATE.search(text, max(done, word.end()), min(len(text), word.end() + REACH + 16))
-        if at is None:
-            continue
-        start = at.start()
-        end = CANDIDATE.match(text, start).end()
-        if start < done:
-            continue
-        done = end
-        own = text[start:end]
-        if sum(c.isdigit() for c in own) < 2 or not any(c.isalpha() for c in own):
-            continue
-        if any(s < end and start < e for s, _, e in taken):
-            continue
-        if novelty(text, start, end, frame) >= least:
-            found.append((start, 3, end))
+        last = min(len(text), word.end() + REACH + 16)
+        while at := CANDIDATE.search(text, max(done, word.end()), last):
+            start = at.start()
+            end = done = CANDIDATE.match(text, start).end()
+            before = bisect_left(starts, end)
+            if before and reached[before - 1] > start:
+                continue
+            if novelty(text, start, end, frame) >= least:
+                found.append((start, 3, end))
     return found
 
 

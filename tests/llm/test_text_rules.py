@@ -107,6 +107,19 @@ def test_secrets(spark, documents):
     assert len(novel[13]) == 1 and not novel[12]
 
 
+def test_all_candidates_of_a_context_are_measured():
+    """A random string after a longer name, without digits, or after another one counts; each once."""
+    found = lambda text: [text[s:e] for s, _, e in secret_scan.scan(text, secret_scan.priming(), 0.5)]
+    one, two, letters = "Zx9Qv2Lm8Rt4Kp7Wb3Nc", "Hq5Jd8Tw2Xk6Vn4Gz7Fs", "QzXvKjWpYhGfBnMdTrLc"
+    assert one in found(f"bearer application_gateway_name {one}")
+    assert letters in found(f"the bearer is {letters} here") and "Zx" + letters[2:-1] + "7" in found(f"bearer Zx{letters[2:-1]}7")
+    assert found(f"bearer {one} {two} key").count(two) == 1 and one in found(f"bearer {one} {two}")
+    text = f"bearer token session {one}"
+    assert found(text) == [one]
+    far = "bearer " + "x " * 40 + one
+    assert one not in found(far)
+
+
 def digest(spans: list[tuple[str, int, int]]) -> str:
     return hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()
 
