@@ -75,6 +75,32 @@ def test_quality_cases(spark):
     check_quality(got, rows, 4, 0.2)
 
 
+def test_common_lines_leave_the_texts(spark):
+    """Texts without their host's common lines, by the literal rule; what is null stays null."""
+    rng = random.Random(3)
+    shared = ["Shared Line of many words number %d here" % i for i in range(4)]
+    rows = [(0, None, None), (1, "", "a"), (2, " \n\n", "a")]
+    for i in range(3, 50):
+        own = [" ".join(f"é{rng.randint(0, 400)}" for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(0, 3))]
+        rows.append((i, "\n".join(own + ["", " " + rng.choice(shared).upper(), *rng.sample(shared, rng.randint(0, 3))]), rng.choice("ab")))
+    key = lambda line: line.strip(" \t\x0b\x0c\r").lower()
+    held = Counter((h, k) for _, t, h in rows for k in {key(x) for x in (t or "").split("\n")} if k)
+    docs = Counter(h for _, _, h in rows)
+    want = []
+    for owner, text, host in rows:
+        lines = (text or "").split("\n")
+        stay = [x for x in lines if held[host, key(x)] <= max(4, 0.2 * docs[host])]
+        want.append((owner, None if text is None else "\n".join(stay), len(lines) - len(stay)))
+    given = spark.createDataFrame([(o, t, h) for o, t, h in rows], "doc_id long, text string, source string").repartition(3)
+    done = quality.score(given, min_line_docs=4, max_line_share=0.2)
+    got = sorted(map(tuple, done.select("doc_id", "text", "n_lines_removed").collect()))
+    assert got == sorted(want) and sum(n for _, _, n in got) > 50
+    for row in done.collect():
+        words = len(WHITE.findall(row.text or ""))
+        assert words == row.n_words - row.n_common_words
+        assert row.kept == (not row.base_failed and words >= row.n_words * quality.MIN_WORDS_LEFT)
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
