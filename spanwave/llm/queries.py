@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwave import session
-from spanwave.llm import bpe, decontaminate, language_id, line_dedup, near_dup, personal_data, quality, secret_scan, sharding, suffix_dedup
+from spanwave.llm import bpe, clustering, decontaminate, language_id, line_dedup, near_dup, personal_data, quality, secret_scan, sharding, suffix_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +130,49 @@ def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     done = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering.cluster(table(spark, folder, "embeddings"))
+
+
+def _cluster_sql() -> str:
+    """The rounds as one chain of tables."""
+    parts = [
+        """kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+        "cells AS MATERIALIZED (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM kept)",
+        """c0 AS MATERIALIZED (
+  SELECT c, unnest(v) AS y, generate_subscripts(v, 1) AS i FROM (
+    SELECT v, row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR), v) - 1 AS c FROM kept
+    WHERE vec_id IS NOT NULL QUALIFY c < 8)
+)""",
+    ]
+    for k in range(clustering.ROUNDS + 1):
+        parts.append(
+            f"""a{k} AS MATERIALIZED (
+  SELECT r, min(d)::BIGINT AS distance, arg_min(c, (d, c))::INTEGER AS cluster
+  FROM (SELECT r, c, sum((x - y) * (x - y)) AS d FROM cells JOIN c{k} USING (i) GROUP BY r, c) GROUP BY r
+)"""
+        )
+        if k < clustering.ROUNDS:
+            parts.append(
+                f"""c{k + 1} AS MATERIALIZED (
+  SELECT c, i, coalesce((s - ((s % n) + n) % n) // n, y)::BIGINT AS y FROM c{k} LEFT JOIN (
+    SELECT cluster AS c, i, sum(x) AS s, count(*) AS n FROM cells JOIN a{k} USING (r) GROUP BY ALL) USING (c, i)
+)"""
+            )
+    last = clustering.ROUNDS
+    return f"""WITH {", ".join(parts)},
+digests AS (SELECT c, sha256(string_agg(y::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{last} GROUP BY c)
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{last} JOIN kept USING (r) JOIN digests ON cluster = c
+"""
+
+
+ORACLES["op11_centroid_clusters"] = _cluster_sql()
