@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwave import session
-from spanwave.llm import bpe, clustering, decontaminate, language_id, line_dedup, near_dup, personal_data, quality, secret_scan, sharding, suffix_dedup
+from spanwave.llm import bpe, clustering, decontaminate, language_id, line_dedup, near_dup, personal_data, quality, secret_scan, sharding, source_audit, suffix_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -176,3 +176,47 @@ FROM a{last} JOIN kept USING (r) JOIN digests ON cluster = c
 
 
 ORACLES["op11_centroid_clusters"] = _cluster_sql()
+
+
+@query
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_audit.audit(table(spark, folder, "documents"))
+
+
+ORACLES["op12_source_divergence"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source
+  FROM documents
+),
+words AS (
+  SELECT r, lang, source, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM docs)
+),
+terms AS (SELECT lang, term, count(*) AS total FROM words GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS lang_n FROM terms GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN terms USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, source, sum(n) AS group_n FROM counts GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+cells AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (coalesce(group_n, 0) + 5 * v) AS p,
+    1 + (1000000000::HUGEINT * (total + 5)) // (lang_n + 5 * v) AS q
+  FROM groups JOIN terms USING (lang) JOIN langs USING (lang)
+  LEFT JOIN counts USING (lang, source, term) LEFT JOIN sizes USING (lang, source)
+),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+)
+SELECT lang, source, 'pair' AS part, item, value,
+  (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM pairs
+UNION ALL
+SELECT lang, source, 'term', term, (p - q)::BIGINT,
+  (row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term))::INTEGER AS rank
+FROM cells WHERE n > 0 AND p > q QUALIFY rank <= 50
+"""
