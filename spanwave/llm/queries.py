@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwave import session
-from spanwave.llm import bpe, clustering, decontaminate, language_id, line_dedup, near_dup, personal_data, quality, secret_scan, sharding, source_audit, suffix_dedup
+from spanwave.llm import bpe, clustering, decontaminate, jaccard_join, language_id, line_dedup, near_dup, personal_data, quality, secret_scan, sharding, source_audit, suffix_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -220,3 +220,8 @@ SELECT lang, source, 'term', term, (p - q)::BIGINT,
   (row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term))::INTEGER AS rank
 FROM cells WHERE n > 0 AND p > q QUALIFY rank <= 50
 """
+
+
+@query
+def op13_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, folder, "documents"))
