@@ -14,8 +14,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanwave.operators.sizing import small
-
 
 def _before(keys: Sequence[str], tile: str):
     return Window.partitionBy(*keys).orderBy(tile).rowsBetween(Window.unboundedPreceding, -1)
@@ -140,61 +138,63 @@ def quantiles(
     value: str,
     probabilities: Sequence[float],
     *,
-    bins: int = 2048,
+    bins: int = 10_000,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group, without holding a group in one task.
 
-    Rows are counted in value bins first; only the bins that hold a wanted rank are sorted. Bins
-    are narrower near the lower end, where error scores crowd. Columns: ``keys``, ``probability``,
-    ``quantile``.
+    Two scans of ``df``. The first keeps a mergeable summary of every group, whose ranks are off by at
+    most ``1 / bins`` of the rows; it gives two pivots around each wanted rank. The second counts
+    equal values once; what lies below the pivots is only counted, what lies above is dropped, and the
+    values between them, some ``4 / bins`` of the group, are ordered. NULL is no value, NaN
+    the largest. Columns: ``keys``, ``probability``, ``quantile``.
     """
     if not keys:
-        return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probabilities, bins=bins).drop(
-            "_all"
-        )
+        # A NULL group from no rows at all falls out.
+        whole = quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probabilities, bins=bins)
+        return whole.drop("_all")
+    keys, wanted = list(keys), sorted({float(p) for p in probabilities})
     known = df.select(*keys, value).filter(F.col(value).isNotNull())
-    limits = known.groupBy(*keys).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_n")
-    )
-    # sqrt is correctly rounded everywhere, so every branch of the plan gets the same bins.
-    share = F.coalesce(F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    if list(keys) == ["_all"]:
-        # One row: read as scalars, as a join on a constant would be a nested loop.
-        limited = known.withColumn("_l", limits.select(F.struct("_lo", "_hi", "_n")).scalar()).select("*", "_l.*").drop("_l")
-    else:
-        limited = known.join(small(limits), list(keys))
-    binned = limited.withColumn(
-        "_bin", F.least(F.floor(F.sqrt(F.sqrt(share)) * bins), F.lit(bins - 1)).cast("int")
-    )
-    counted = binned.groupBy(*keys, "_bin").agg(
-        F.count(F.lit(1)).alias("_size"), F.first("_n").alias("_n")
-    )
-    to_date = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    edges = counted.withColumn("_base", F.coalesce(F.sum("_size").over(to_date), F.lit(0)))
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
-    ranks = (
-        edges.withColumn("probability", wanted)
-        .withColumn("_at", F.col("probability") * (F.col("_n") - 1))
-        .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))))
-        .filter((F.col("_rank") >= F.col("_base")) & (F.col("_rank") < F.col("_base") + F.col("_size")))
-        .withColumn("_local", F.col("_rank") - F.col("_base"))
+    margin = 2 / bins
+    around = [max(0.0, p - margin) for p in wanted] + [min(1.0, p + margin) for p in wanted]
+    summary = known.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min(value).alias("_least"),
+        F.max(value).alias("_most"),
+        F.percentile_approx(value, around, bins).alias("_around"),
     )
-    needed = ranks.select(*keys, "_bin").distinct()
-    # Equal values count as one row, so a value that fills a bin is no load on its task.
-    before = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        binned.join(needed, [*keys, "_bin"], "left_semi")
-        .groupBy(*keys, "_bin", value)
-        .agg(F.count(F.lit(1)).alias("_same"))
-        .withColumn("_first", F.coalesce(F.sum("_same").over(before), F.lit(0)))
+    # With few rows a pivot may be off by more than the margin; then the whole group lies between.
+    sure = F.col("_n") >= 4 * bins
+    at = lambda i: F.get("_around", F.lit(i))
+    pivots = [
+        F.struct(
+            F.lit(p).alias("probability"),
+            (F.when(sure, at(i)) if p > margin else F.lit(None)).alias("low"),
+            (F.when(sure, at(len(wanted) + i)) if p < 1 - margin else F.lit(None)).alias("high"),
+        )
+        for i, p in enumerate(wanted)
+    ]
+    limits = summary.select(*keys, "_n", F.array(*pivots).alias("_p"))
+    counted = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_same"))
+    low, high = F.col("_pivot.low"), F.col("_pivot.high")
+    bracket = (
+        counted.join(limits, keys)
+        .withColumn("_pivot", F.explode("_p"))
+        .filter(high.isNull() | (F.col(value) <= high))
+        .groupBy(*keys, "_n", "_pivot.probability", F.when(low.isNull() | (F.col(value) >= low), F.col(value)).alias("_v"))
+        .agg(F.sum("_same").alias("_same"))
     )
-    hits = placed.join(
-        ranks.select(*keys, "_bin", "_local", "probability", "_at", "_rank"), [*keys, "_bin"]
-    ).filter((F.col("_local") >= F.col("_first")) & (F.col("_local") < F.col("_first") + F.col("_same")))
-    fraction = F.col("_at") - F.floor("_at")
-    low = F.max(F.when(F.col("_rank") == F.floor("_at"), F.col(value)))
-    high = F.max(F.when(F.col("_rank") == F.ceil("_at"), F.col(value)))
-    return hits.groupBy(*keys, "probability").agg(
-        (low + (high - low) * F.first(fraction)).alias("quantile")
+    # What lies below the low pivot is one row without a value, before all others.
+    before = Window.partitionBy(*keys, "probability").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, -1)
+    place = F.col("probability") * (F.col("_n") - 1)
+    first = F.coalesce(F.sum("_same").over(before), F.lit(0))
+    ranked = bracket.withColumns({"_first": first, "_at": place}).withColumn("_end", F.col("_first") + F.col("_same"))
+    holds = lambda rank: F.when((rank >= F.col("_first")) & (rank < F.col("_end")), F.col("_v"))
+    return (
+        ranked.groupBy(*keys, "probability")
+        .agg(
+            F.max(holds(F.floor("_at"))).alias("_low"),
+            F.max(holds(F.ceil("_at"))).alias("_high"),
+            F.first(F.col("_at") - F.floor("_at")).alias("_part"),
+        )
+        .select(*keys, "probability", (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias("quantile"))
     )
-

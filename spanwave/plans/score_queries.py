@@ -13,7 +13,7 @@ from spanwave.operators import scoring, tensors
 from spanwave.plans import event_queries, feature_queries
 from spanwave.plans.oracle_views import iso, rnd, with_views
 from spanwave.plans.registry import query, tidy
-from spanwave.session import cut_lineage
+from spanwave.session import cut_lineage, stage
 from spanwave.sources import tables
 
 REFERENCE = "SPAN_SET1_2024_01"
@@ -63,12 +63,17 @@ def event_scores(spark, folder):
     return means.withColumn("total", total).withColumn("temperature", F.col("temperature") * 100)
 
 
+def staged_scores(spark, folder):
+    """Event scores written once: the arrays behind them are read by one scan, however often the scores are."""
+    return stage(event_scores(spark, folder))
+
+
 def reference():
     return F.col("set_name") == REFERENCE
 
 
 def flagged(spark, folder):
-    scores = event_scores(spark, folder)
+    scores = staged_scores(spark, folder)
     return scoring.flag_exceedances(scores, scoring.threshold(scores, reference()))
 
 
@@ -117,7 +122,7 @@ def event_score_table(spark, folder):
 )
 def reference_threshold(spark, folder):
     """99th percentile of the reference set's scores."""
-    return tidy(scoring.threshold(event_scores(spark, folder), reference()))
+    return tidy(scoring.threshold(staged_scores(spark, folder), reference()))
 
 
 @query(
@@ -150,7 +155,7 @@ def exceedance_rates(spark, folder):
 )
 def modality_rates(spark, folder):
     """Exceedance rate of each set by modality, each against its own reference threshold."""
-    scores = event_scores(spark, folder)
+    scores = staged_scores(spark, folder)
     rates = scoring.modality_rates(scores, reference(), {"strain": "STR", "acc": "ACC", "total": "ALL"})
     return tidy(rates, {"above_rate": 8})
 
@@ -187,7 +192,7 @@ def set_comparison(spark, folder):
 )
 def median_change(spark, folder):
     """Median of each set against the reference set's, in percent."""
-    summary = cut_lineage(scoring.compare_sets(flagged(spark, folder)))
+    summary = stage(scoring.compare_sets(flagged(spark, folder)))
     return tidy(scoring.relative_change(summary, REFERENCE))
 
 
@@ -264,7 +269,7 @@ def sanity_flags(spark, folder):
 )
 def score_histogram(spark, folder):
     """Scores of each set in equal bins, clipped at the 99.5th percentile of all sets."""
-    return scoring.histogram(event_scores(spark, folder), ["set_name"], "total", bins=20)
+    return scoring.histogram(staged_scores(spark, folder), ["set_name"], "total", bins=20)
 
 
 @query(
@@ -277,7 +282,7 @@ def score_histogram(spark, folder):
     ),
 )
 def score_quartiles(spark, folder):
-    return tidy(scoring.box_quantiles(event_scores(spark, folder), ["set_name"], "total"))
+    return tidy(scoring.box_quantiles(staged_scores(spark, folder), ["set_name"], "total"))
 
 
 @query(
@@ -475,7 +480,7 @@ def rates_on_sensors(spark, folder):
 )
 def metric_names_split(spark, folder):
     """Wide result columns melted, the metric name split and labelled."""
-    scores = event_scores(spark, folder)
+    scores = staged_scores(spark, folder)
     wide = scores.groupBy("set_name").agg(F.avg("total").alias("mean_comb"))
     for measure, name in (("acc", "median_acc"), ("strain", "median_sg")):
         box = scoring.box_quantiles(scores, ["set_name"], measure).select("set_name", F.col("median").alias(name))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,13 +47,11 @@ def local_session(cores: str | int = 8, app: str = "spanwave") -> SparkSession:
     return prepare(spark)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder so a lost executor costs a re-read only.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local master may fall back to a
-    folder of its own.
+    Only a local master may fall back to a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = context.getConf().get("spark.checkpoint.dir")
@@ -60,4 +60,46 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
             configured = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "checkpoint")
         context.setCheckpointDir(configured)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder so a lost executor costs a re-read only."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back.
+
+    For tables that several parts of a plan read: each reads the columns it needs. The files go when
+    the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _remove_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_bucketed(df: DataFrame, keys: Sequence[str], order: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+    """As ``stage``, in buckets of ``keys``: later groups, windows and joins on them (and more) need no shuffle.
+
+    One shuffle, to one file a bucket. The number of buckets is that of the session's shuffle partitions.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"stage_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    writer = df.repartition(buckets, *keys).write.format("parquet").option("compression", "zstd").option("path", path)
+    writer = writer.bucketBy(buckets, *keys)
+    if order:
+        writer = writer.sortBy(*order)
+    writer.saveAsTable(name)
+    _remove_at_exit(spark, path)
+    return spark.table(name)
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)

@@ -209,3 +209,24 @@ def test_quantiles_of_repeated_values(spark):
         values = [v for k, v in rows if k == g]
         for p in chances:
             assert got[g, p] == pytest.approx(np.quantile(values, p))
+
+
+def test_quantiles_between_pivots(spark):
+    """Whatever the summary's error, the wanted ranks lie between its pivots."""
+    rng = np.random.default_rng(8)
+    groups = {"even": np.arange(3000.0), "steps": np.floor(np.arange(3000) / 700), "wild": rng.standard_cauchy(3000), "few": rng.normal(size=39)}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in rng.permutation(vs)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(9)
+    chances = [0.0, 0.05, 0.1, 0.33, 0.5, 0.9, 0.999, 1.0]
+    for bins in (4, 10, 300):
+        got = {(r.g, r.probability): r.quantile for r in sequence.quantiles(df, ["g"], "v", chances, bins=bins).collect()}
+        assert got == {(g, p): pytest.approx(np.quantile(v, p), rel=1e-12, abs=1e-12) for g, v in groups.items() for p in chances}
+    assert sequence.quantiles(df.filter("g = 'none'"), [], "v", [0.5]).collect() == []
+
+
+def test_channel_errors_match_numpy(spark):
+    values = np.random.default_rng(3).normal(size=(5, 4 * 700))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values)], "i int, v array<double>")
+    got = df.select("i", scoring.channel_errors(F.col("v"), 4).alias("e")).collect()
+    for r in got:
+        assert r.e == pytest.approx(values[r.i].reshape(4, 700).var(axis=1).tolist(), rel=1e-12)
