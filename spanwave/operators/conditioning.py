@@ -8,13 +8,13 @@ independently. Only the true ends of a waveform get the odd extension and the st
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwave.functions import naming
@@ -32,24 +32,30 @@ def zero_waveforms(
     method: str = "linear_endpoints",
     value: str = "value",
     where: Column | None = None,
+    tile: str | None = None,
 ) -> DataFrame:
     """Subtract from each waveform the straight line between its end values, by sample index.
 
-    Waveforms outside ``where`` (a condition on ``keys``) pass unchanged.
+    Waveforms outside ``where`` (a condition on ``keys``) pass unchanged. With ``tile`` the end values
+    meet the samples tile by tile, so samples already dealt by a key and the tile are not shuffled.
     """
     if _checked(method) == "none":
         return samples
     chosen = samples if where is None else samples.filter(where)
-    ends = chosen.groupBy(*keys).agg(
-        F.min_by(value, "sample_index").alias("_first"),
-        F.max_by(value, "sample_index").alias("_last"),
-        F.max("sample_index").alias("_steps"),
+    point = F.struct("sample_index", value)
+    by = list(keys) if tile is None else [*keys, tile]
+    ends = chosen.groupBy(*by).agg(F.min(point).alias("_a"), F.max(point).alias("_b"))
+    if tile is not None:
+        whole = Window.partitionBy(*keys)
+        ends = ends.withColumns({"_a": F.min("_a").over(whole), "_b": F.max("_b").over(whole)})
+    ends = ends.select(
+        *by, F.col(f"_a.{value}").alias("_first"), F.col(f"_b.{value}").alias("_last"), F.col("_b.sample_index").alias("_steps")
     )
     step = F.coalesce(F.try_divide(F.col("_last") - F.col("_first"), F.col("_steps")), F.lit(0.0))
     at_end = (F.col("sample_index") == F.col("_steps")) & (F.col("_steps") > 0)
     baseline = F.when(at_end, F.col("_last")).otherwise(F.col("_first") + F.col("sample_index") * step)
     return (
-        samples.join(ends, list(keys), "left")
+        samples.join(ends, by, "left")
         .withColumn(value, F.col(value) - F.coalesce(baseline, F.lit(0.0)))
         .drop("_first", "_last", "_steps")
     )
@@ -177,20 +183,19 @@ def bandpass(
     order: int = 4,
     block: int = BLOCK,
     value: str = "value",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Zero-phase band-pass over each waveform of ``(keys, sample_index, value)``.
 
     Missing values count as 0. Waveforms not longer than the padding come back unfiltered. The
-    result holds ``keys, sample_index`` and the filtered value. One shuffle, by (keys, block).
+    result holds ``keys, sample_index``, the filtered value and the columns named in ``keep``, which
+    ride along with their samples. One shuffle, by (keys, block).
     """
     sections = butterworth_sections(order, low_hz, high_hz, sampling_rate_hz)
     pad, halo, kernel = pad_length(sections), halo_length(sections), _kernel(sections)
     if block < halo or halo < pad:
         raise ValueError(f"block must hold at least the halo of {halo} samples")
     keys = list(keys)
-    key_types = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in samples.select(*keys).schema.fields
-    )
     i = F.col("sample_index")
     own = F.floor(i / F.lit(block))
     place = F.pmod(i, F.lit(block))
@@ -203,11 +208,12 @@ def bandpass(
         lambda b: b.isNotNull(),
     )
     clean = F.coalesce(F.when(~F.isnan(value), F.col(value)), F.lit(0.0))
+    # Sample numbers are unique in a waveform, so they alone decide the order.
+    row = F.struct("sample_index", "_v", *([F.struct(*keep).alias("_kept")] if keep else []))
     blocks = (
-        samples.select(*keys, "sample_index", clean.alias("_v"), F.explode(copies).alias("_block"))
+        samples.select(*keys, *keep, "sample_index", clean.alias("_v"), F.explode(copies).alias("_block"))
         .groupBy(*keys, "_block")
-        .agg(F.array_sort(F.collect_list(F.struct("sample_index", "_v"))).alias("_rows"))
-        .select(*keys, "_block", F.col("_rows._v").alias("_x"))
+        .agg(F.array_sort(F.collect_list(row)).alias("_rows"))
     )
 
     def filtered(start: int, x: np.ndarray) -> np.ndarray:
@@ -219,20 +225,23 @@ def bandpass(
         whole = _zero_phase(kernel, x, pad, origin == 0, at_end)
         return whole[start - origin : start - origin + block]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [
-                filtered(int(b) * block, np.asarray(x, dtype=float))
-                if len(x) > int(b) * block - max(int(b) * block - halo, 0)
+    @F.pandas_udf("array<double>")
+    def run(number: pd.Series, x: pd.Series) -> pd.Series:
+        return pd.Series(
+            [
+                filtered(int(n) * block, np.asarray(v, dtype=float))
+                if len(v) > int(n) * block - max(int(n) * block - halo, 0)
                 else np.empty(0)
-                for b, x in zip(batch["_block"], batch["_x"], strict=True)
-            ]
-            yield batch.drop(columns="_x").assign(_y=out)
+                for n, v in zip(number, x, strict=True)
+            ],
+            dtype=object,
+        )
 
-    done = blocks.mapInPandas(run, f"{key_types}, `_block` bigint, `_y` array<double>")
-    return done.select(
-        *keys, (F.col("_block") * block).alias("_from"), F.posexplode("_y").alias("_i", value)
-    ).select(*keys, (F.col("_from") + F.col("_i")).alias("sample_index"), value)
+    own_rows = F.filter("_rows", lambda r: F.floor(r["sample_index"] / F.lit(block)) == F.col("_block"))
+    done = blocks.select(*keys, own_rows.alias("_own"), run("_block", F.col("_rows._v")).alias("_y"))
+    each = done.select(*keys, F.inline(F.arrays_zip("_own", "_y")))
+    kept = [F.col(f"_own._kept.{c}").alias(c) for c in keep]
+    return each.select(*keys, F.col("_own.sample_index").alias("sample_index"), F.col("_y").alias(value), *kept)
 
 
 def condition(
@@ -242,10 +251,12 @@ def condition(
     acc_filter: str = "butterworth_bandpass",
     acc_zeroing: str = "linear_endpoints",
     strain_zeroing: str = "linear_endpoints",
+    tile: str | None = None,
     **band,
 ) -> DataFrame:
     """Chain by kind of signal: vertical acceleration is filtered then zeroed, strain zeroed only,
-    other channels pass. Missing values count as 0. ``keys`` must include ``sensor_name``.
+    other channels pass. Missing values count as 0. ``keys`` must include ``sensor_name``; ``tile`` as in
+    ``zero_waveforms``.
     """
     if acc_filter not in FILTER_METHODS:
         raise ValueError(f"unsupported filter {acc_filter!r}; use one of {FILTER_METHODS}")
@@ -256,8 +267,8 @@ def condition(
         "value", F.coalesce(F.when(~F.isnan("value"), F.col("value")), F.lit(0.0))
     )
     if acc_filter != "none":
-        acc = clean.filter(is_acc_z)
-        filtered = acc.drop("value").join(bandpass(acc, keys, **band), [*keys, "sample_index"])
+        others = [c for c in clean.columns if c not in (*keys, "sample_index", "value")]
+        filtered = bandpass(clean.filter(is_acc_z), keys, keep=others, **band)
         clean = clean.filter(~is_acc_z).unionByName(filtered)
     zeroed_kinds = [
         kind
@@ -266,7 +277,7 @@ def condition(
     ]
     if not zeroed_kinds:
         return clean
-    return zero_waveforms(clean, keys, where=reduce(Column.__or__, zeroed_kinds))
+    return zero_waveforms(clean, keys, where=reduce(Column.__or__, zeroed_kinds), tile=tile)
 
 
 def _checked(method: str) -> str:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from spanwave.functions import times
 from spanwave.operators import align, conditioning, events, joins, sequence
-from spanwave.session import cut_lineage
+from spanwave.session import cut_lineage, discard, stage_bucketed
 
 KEYS = ["event_id", "sensor_name"]
+PLACE = ["event_id", "tile"]
 
 
 @dataclass(frozen=True)
@@ -33,9 +34,9 @@ class Run:
     """One preprocessing run: group, select, discard, slice, condition and align.
 
     Tables are built when first asked for. Events that fail the sensor rule never reach the samples.
-    The annotated records, the sliced and the aligned samples are written to the checkpoint folder on
-    the way, so that the tables built from them share one computation and a lost executor costs a
-    re-read. ``slots`` may be passed when the number of sensors per event is known, which saves the
+    The annotated records go to the checkpoint folder on the way; samples are written once as they are
+    cut out, filtered ones once more, and the aligned rows, all in buckets of (event, tile). So the tables
+    built from them share one computation and one shuffle, and a lost executor costs a re-read. ``slots`` may be passed when the number of sensors per event is known, which saves the
     small job that counts them.
     """
 
@@ -91,30 +92,35 @@ class Run:
             )
         )
 
-    @cached_property
-    def sliced(self) -> DataFrame:
-        """Numbered samples of every usable event and sensor."""
-        rows = joins.drop_unparsed(joins.slice_records(self._slotted, self._samples)).withColumn(
-            "tile", times.time_tile(F.col("timestamp_utc"), self.settings.tile_seconds)
-        )
-        return cut_lineage(sequence.ordinal(rows, KEYS, ["timestamp_utc", "row_1based"], "tile", "sample_index"))
-
     @cached_property
     def conditioned(self) -> DataFrame:
+        """Numbered, filtered and zeroed samples of every usable event and sensor.
+
+        The samples cut out are dealt once, to buckets of (event, tile); numbering, zeroing and
+        alignment group by these keys and more, so only a filter between them shuffles samples again.
+        The samples as they were cut out go once these are written.
+        """
         s = self.settings
+        rows = joins.drop_unparsed(joins.slice_records(self._slotted, self._samples)).withColumn(
+            "tile", times.time_tile(F.col("timestamp_utc"), s.tile_seconds)
+        )
+        cut_out = stage_bucketed(rows, PLACE)
         ready = conditioning.condition(
-            self.sliced,
+            sequence.ordinal(cut_out, KEYS, ["timestamp_utc", "row_1based"], "tile", "sample_index"),
             KEYS,
             acc_filter=s.acc_filter,
             acc_zeroing=s.acc_zeroing,
             strain_zeroing=s.strain_zeroing,
+            tile="tile",
             **s.band,
         )
-        return cut_lineage(ready) if s.acc_filter != "none" else ready
+        ready = stage_bucketed(ready, PLACE, dealt=s.acc_filter == "none")
+        discard(cut_out)
+        return ready
 
     @cached_property
     def _aligned(self) -> DataFrame:
-        return cut_lineage(align.align(self.conditioned, self.slots))
+        return stage_bucketed(align.align(self.conditioned, self.slots), PLACE, dealt=True)
 
     @cached_property
     def aligned_samples(self) -> DataFrame:
@@ -135,7 +141,7 @@ class Run:
     def events(self) -> DataFrame:
         """The event manifest, retained and discarded."""
         before = (
-            self.sliced.filter("slot = 0")
+            self.conditioned.filter("slot = 0")
             .groupBy("event_id")
             .agg(F.count(F.lit(1)).alias("rows_before_alignment"))
         )

@@ -14,6 +14,8 @@ RUNTIME_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A join may use a partitioning by some of its keys, such as that of a bucketed stage table.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # Rows that reach Python carry whole blocks of samples, so batches must stay short.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
 }
@@ -78,28 +80,37 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _remove_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _staged(spark, spark.read.schema(df.schema).parquet(path), path)
 
 
-def stage_bucketed(df: DataFrame, keys: Sequence[str], order: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+def stage_bucketed(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str] = (), *, buckets: int | None = None, dealt: bool = False
+) -> DataFrame:
     """As ``stage``, in buckets of ``keys``: later groups, windows and joins on them (and more) need no shuffle.
 
-    One shuffle, to one file a bucket. The number of buckets is that of the session's shuffle partitions.
+    One shuffle, to one file a bucket; none for rows already ``dealt`` by the keys. The number of
+    buckets is that of the session's shuffle partitions.
     """
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"stage_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
-    writer = df.repartition(buckets, *keys).write.format("parquet").option("compression", "zstd").option("path", path)
+    rows = df if dealt else df.repartition(buckets, *keys)
+    writer = rows.write.format("parquet").option("compression", "zstd").option("path", path)
     writer = writer.bucketBy(buckets, *keys)
     if order:
         writer = writer.sortBy(*order)
     writer.saveAsTable(name)
-    _remove_at_exit(spark, path)
-    return spark.table(name)
+    return _staged(spark, spark.table(name), path)
 
 
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+def _staged(spark: SparkSession, read: DataFrame, path: str) -> DataFrame:
+    read.staged_at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    read.staged_at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(read.staged_at)
+    return read
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete stage tables that nothing reads any more."""
+    for frame in staged:
+        frame.staged_at.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(frame.staged_at, True)
