@@ -7,7 +7,7 @@ bounded array per event and channel.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwave.functions import naming
-from spanwave.operators import sequence
+from spanwave.operators import sequence, transform
 
-BLOCK = 16384
+BLOCK = 1 << 16  # samples transformed in one task
 EXCLUDED_NOTE = "excluded_from_neural_input"  # fixed value
 
 
@@ -224,43 +224,26 @@ def spectra(
 ) -> DataFrame:
     """Magnitude of the zero-padded transform of each waveform on the kept bins.
 
-    The transform is linear, so blocks of a waveform are transformed apart, turned by the phase of
-    their start and summed; a waveform of one block takes one transform.
+    A waveform of at most ``block`` samples is transformed in one task; longer ones, which no task
+    should hold, by split transforms (``transform.long_transform``). Both take n log n.
     """
     keys = list(keys)
-    key_types = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in samples.select(*keys).schema.fields
-    )
     bins = np.arange(n_fft // 2 + 1)
     hz = bins * sampling_rate_hz / max(n_fft, 1)
     bins = bins[(hz >= low_hz) & (hz <= high_hz)]
-    blocks = (
-        samples.withColumn("_block", F.floor(F.col("sample_index") / F.lit(block)))
-        .groupBy(*keys, "_block")
-        .agg(F.array_sort(F.collect_list(F.struct("sample_index", "value"))).alias("_rows"))
-        .select(*keys, (F.col("_block") * block).alias("_from"), F.col("_rows.value").alias("_x"))
-    )
-
-    def transform(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            re, im = [], []
-            for start, x in zip(batch["_from"], batch["_x"], strict=True):
-                # Single-precision input as stored, double inside the transform.
-                line = np.fft.rfft(np.asarray(x, dtype=np.float32).astype(float), n=n_fft)[bins]
-                if start:
-                    line = line * np.exp(-2j * np.pi * ((bins * int(start)) % n_fft) / n_fft)
-                re.append(line.real)
-                im.append(line.imag)
-            yield batch.drop(columns=["_from", "_x"]).assign(_re=re, _im=im)
-
-    lines = blocks.mapInPandas(transform, f"{key_types}, `_re` array<double>, `_im` array<double>")
-    first = int(bins[0]) if len(bins) else 0
-    return (
-        lines.select(*keys, F.posexplode(F.arrays_zip("_re", "_im")).alias("_i", "_z"))
-        .groupBy(*keys, (F.col("_i") + first).cast("bigint").alias("bin"))
-        .agg(F.sum("_z._re").alias("_re"), F.sum("_z._im").alias("_im"))
-        .select(*keys, "bin", F.hypot("_re", "_im").alias("magnitude"))
-    )
+    first, last = (int(bins[0]), int(bins[-1])) if len(bins) else (0, -1)
+    # Single-precision input as stored, double inside the transform.
+    single = samples.select(*keys, "sample_index", F.col("value").cast("float").cast("double").alias("value"))
+    if n_fft > block:
+        return transform.long_transform(single, keys, n_fft, first, last)
+    waves = single.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sample_index", "value"))).alias("_rows"))
+
+    @F.pandas_udf("array<double>")
+    def magnitudes(x: pd.Series) -> pd.Series:
+        return pd.Series([np.abs(np.fft.rfft(np.asarray(v, dtype=float), n=n_fft)[bins]) for v in x], dtype=object)
+
+    lines = waves.select(*keys, F.posexplode(magnitudes(F.col("_rows.value"))).alias("_i", "magnitude"))
+    return lines.select(*keys, (F.col("_i") + first).cast("bigint").alias("bin"), "magnitude")
 
 
 def pack_arrays(long: DataFrame, keys: Sequence[str], position: str, value: str, name: str) -> DataFrame:

@@ -230,3 +230,20 @@ def test_channel_errors_match_numpy(spark):
     got = df.select("i", scoring.channel_errors(F.col("v"), 4).alias("e")).collect()
     for r in got:
         assert r.e == pytest.approx(values[r.i].reshape(4, 700).var(axis=1).tolist(), rel=1e-12)
+
+
+@pytest.mark.parametrize("n", [1, 7, 1000, 131_071])
+def test_long_transform_matches_numpy(spark, n):
+    """Any length, two waveforms at once, one of them short and padded."""
+    from spanwave.operators import transform
+
+    rng = np.random.default_rng(n)
+    waves = {"a": rng.normal(size=n), "b": rng.normal(size=max(1, n // 3))}
+    rows = [(k, w.tolist()) for k, w in waves.items()]
+    df = spark.createDataFrame(rows, "k string, w array<double>").select("k", F.posexplode("w").alias("sample_index", "value"))
+    low, high = n // 10, n // 2
+    out = transform.long_transform(df, ["k"], n, low, high).toPandas()
+    for name, wave in waves.items():
+        got = out[out.k == name].sort_values("bin")
+        assert got["bin"].tolist() == list(range(low, high + 1))
+        assert np.allclose(got["magnitude"], np.abs(np.fft.fft(wave, n=n))[low : high + 1], rtol=1e-9, atol=1e-9 * np.sqrt(n))
