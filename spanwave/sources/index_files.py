@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanwave import schema
 from spanwave.functions import numbers, times
+from spanwave.operators import sequence
 
 # Keys under which a JSON file may hold its list of records.
 INDEX_WRAPPERS = ("data", "records", "rows", "table")
@@ -34,11 +33,6 @@ def catalogue(files: DataFrame, observed: DataFrame) -> DataFrame:
     )
 
 
-def _cell(value: object) -> str | None:
-    """A JSON value as text: strings as they are, all else as JSON."""
-    return value if value is None or isinstance(value, str) else json.dumps(value)
-
-
 def _flat(record: dict, prefix: str = "") -> dict:
     """Nested objects as dotted names."""
     out: dict = {}
@@ -58,7 +52,7 @@ def _by_rows(columns: dict) -> list[dict]:
 
 
 def json_records(data: object, wrappers: Sequence[str]) -> list[dict]:
-    """Rows of one JSON file, by the shape of that file alone.
+    """Rows of one parsed JSON document: the rules that ``read_json_rows`` follows on the JVM, for tests of it.
 
     A list of records; an object with such a list under one of ``wrappers``; an object of columns;
     a single record, nested objects flattened to dotted names. A lone record with lists is one of
@@ -77,40 +71,106 @@ def json_records(data: object, wrappers: Sequence[str]) -> list[dict]:
     return [{n: v[0] if isinstance(v, list) and len(v) == 1 else v for n, v in r.items()} for r in rows]
 
 
-ROWS = T.StructType(
-    [
-        T.StructField("_path", T.StringType()),
-        T.StructField("row_1based", T.LongType()),
-        T.StructField("cells", T.MapType(T.StringType(), T.StringType())),
-    ]
-)
-ROWS_PER_BATCH = 10_000
+DEPTH = 8  # levels of nested objects that become dotted names; deeper ones stay JSON text
+CELLS = "map<string,string>"
+
+
+def _list(text: Column) -> Column:
+    """The elements of a JSON list as text, NULL for any other text."""
+    return F.when(F.startswith(F.ltrim(text), F.lit("[")), F.from_json(text, "array<string>"))
+
+
+def _object(text: Column) -> Column:
+    return F.when(F.startswith(F.ltrim(text), F.lit("{")), F.from_json(text, CELLS))
+
+
+def _flat_cells(cells: Column) -> Column:
+    """Nested objects as dotted names."""
+
+    def opened(entry: Column) -> Column:
+        inner = F.map_entries(_object(entry["value"]))
+        named = F.transform(inner, lambda x: F.struct(F.concat(entry["key"], F.lit("."), x["key"]).alias("key"), x["value"].alias("value")))
+        return F.when(F.size(inner) > 0, named).otherwise(F.array(entry))
+
+    entries = F.map_entries(cells)
+    for _ in range(DEPTH):
+        entries = F.flatten(F.transform(entries, opened))
+    return F.map_from_entries(entries)
+
+
+def _rows_of_columns(cells: Column) -> Column:
+    """Rows of named lists, short ones padded; a single value belongs to the first row."""
+    columns = F.transform(
+        F.map_entries(cells),
+        lambda e: F.struct(e["key"].alias("key"), F.coalesce(_list(e["value"]), F.array(e["value"])).alias("cells")),
+    )
+
+    def rows(c: Column) -> Column:
+        length = F.coalesce(F.array_max(F.transform(c, lambda e: F.size(e["cells"]))), F.lit(0))
+        row = lambda i: F.map_from_entries(F.transform(c, lambda e: F.struct(e["key"], F.get(e["cells"], i))))
+        return F.when(length > 0, F.transform(F.sequence(F.lit(0), length - 1), row)).otherwise(F.array().cast(f"array<{CELLS}>"))
+
+    # Bound by a lambda, the lists are parsed once and not for each of their rows.
+    return F.get(F.transform(F.array(columns), rows), F.lit(0))
+
+
+def _lone_elements(cells: Column) -> Column:
+    """One-element lists stand for their element."""
+    return F.transform_values(cells, lambda _, v: F.when(F.size(_list(v)) == 1, F.get(_list(v), F.lit(0))).otherwise(v))
+
+
+def _record(text: Column) -> Column:
+    """A list element: an object's cells, or a lone value under the name 0."""
+    return F.coalesce(_object(text), F.create_map(F.lit("0"), text))
+
+
+def document_rows(text: Column, wrappers: Sequence[str]) -> Column:
+    """The rows of a JSON document as an array of cells, by the shape of that document alone.
+
+    A list of records; an object with such a list under one of ``wrappers``; an object of columns;
+    a single record, nested objects flattened to dotted names. A lone record with lists is one of
+    columns. One-element lists stand for their element. Any other document fails.
+    """
+    strict = {"mode": "FAILFAST"}
+    start = F.substring(F.ltrim(F.regexp_replace(text, r"^[\s\x{FEFF}]+", "")), 1, 1)
+    whole = F.when(start == "{", F.from_json(text, CELLS, strict))
+    wrapped = F.coalesce(*[F.when(F.startswith(whole[w], F.lit("[")), whole[w]) for w in wrappers])
+    listed = F.from_json(F.when(start == "[", text).otherwise(wrapped), "array<string>", strict)
+    wrong = F.raise_error(F.lit("a JSON file must hold an object or a list")).cast(f"array<{CELLS}>")
+    rows = (
+        F.when(listed.isNotNull(), F.transform(listed, _record))
+        .when(whole.isNotNull(), F.array(_flat_cells(whole)))
+        .otherwise(wrong)
+    )
 
+    def shaped(found: Column) -> Column:
+        first = F.get(found, F.lit(0))
+        columns = (F.size(found) == 1) & F.exists(F.map_values(first), lambda v: _list(v).isNotNull())
+        return F.when(columns, _rows_of_columns(first)).otherwise(found)
 
-def read_json_rows(spark: SparkSession, paths: str | Sequence[str], wrappers: Sequence[str]) -> DataFrame:
+    return F.transform(F.get(F.transform(F.array(rows), shaped), F.lit(0)), _lone_elements)
+
+
+def read_json_rows(spark: SparkSession, paths: str | Sequence[str], wrappers: Sequence[str], *, lines: bool = False) -> DataFrame:
     """Rows of JSON files, each file by its own shape: ``_path, row_1based, cells``.
 
     Files of any mix of shapes may come in one call. A JSON document is parsed as a whole, so a file
-    is the unit of work and has to fit a task; a file that is no JSON fails the read.
-    """
+    is the unit of work and has to fit a task; a file that is no JSON fails the read, an empty one has no rows. All parsing is
+    done on the JVM.
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, text in zip(*(batch.column(i) for i in range(2)), strict=True):
-                rows = json_records(json.loads(text.as_py()), wrappers)
-                for start in range(0, len(rows), ROWS_PER_BATCH):
-                    part = rows[start : start + ROWS_PER_BATCH]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([path.as_py()] * len(part), pa.string()),
-                            pa.array(range(start + 1, start + 1 + len(part)), pa.int64()),
-                            pa.array([[(n, _cell(v)) for n, v in r.items()] for r in part], pa.map_(pa.string(), pa.string())),
-                        ],
-                        ROWS.names,
-                    )
-
-    files = spark.read.option("wholetext", True).text(paths)
-    return files.select(F.col("_metadata.file_path"), "value").mapInArrow(parse, ROWS)
+    With ``lines`` every line of a file is one record. Such files are split between tasks, however long they are,
+    and rows are numbered by the places of the splits; blank lines are no rows.
+    """
+    path = F.col("_metadata.file_path").alias("_path")
+    if not lines:
+        files = spark.read.text(paths, wholetext=True)
+        rows = files.select(path, F.posexplode(document_rows(F.col("value"), wrappers)).alias("_i", "cells"))
+        return rows.select("_path", (F.col("_i") + 1).cast("bigint").alias("row_1based"), "cells")
+    split = F.col("_metadata.file_block_start").alias("_split")
+    texts = spark.read.text(paths).select(path, split, F.monotonically_increasing_id().alias("_place"), "value")
+    numbered = sequence.ordinal(texts.filter(F.trim("value") != ""), ["_path"], ["_place"], "_split", "_row")
+    cells = F.from_json("value", CELLS, {"mode": "FAILFAST"})
+    return numbered.select("_path", (F.col("_row") + 1).alias("row_1based"), _lone_elements(cells).alias("cells"))
 
 
 def has_cell(name: str) -> Column:
@@ -137,14 +197,14 @@ def needed_time(name: str) -> Column:
     return F.when(at.isNotNull(), at).otherwise(F.raise_error(message).cast("timestamp"))
 
 
-def read_index_tables(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_index_tables(spark: SparkSession, paths: str | Sequence[str], *, lines: bool = False) -> DataFrame:
     """Index tables of any number of sensors and sets as typed records, in one scan.
 
     Set and sensor come from the path ``<set>/TABLE_<sensor>_SETn.json``. A row without one of the
     needed columns, with an unreadable time or without row numbers fails the read; other cells
     that are no numbers are NULL.
     """
-    rows = read_json_rows(spark, paths, INDEX_WRAPPERS)
+    rows = read_json_rows(spark, paths, INDEX_WRAPPERS, lines=lines)
     path = F.col("_path")
     sensor = sensor_from_file(F.element_at(F.split(path, "/"), -1))
     measures = [f.name for f in schema.INDEX_COLUMNS.fields if isinstance(f.dataType, T.DoubleType)]
@@ -167,7 +227,9 @@ def read_index_tables(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
     )
 
 
-def read_waveforms(spark: SparkSession, paths: str | Sequence[str], sensor_name: str | None = None) -> DataFrame:
+def read_waveforms(
+    spark: SparkSession, paths: str | Sequence[str], sensor_name: str | None = None, *, lines: bool = False
+) -> DataFrame:
     """Raw waveform files of any number of sensors in one scan: typed time and value.
 
     Set, sensor and file come from the path ``<set>/<sensor>/<file>``, the sensor from
@@ -175,7 +237,7 @@ def read_waveforms(spark: SparkSession, paths: str | Sequence[str], sensor_name:
     else the first that is not the time. Times and values that cannot be read are NULL; a row
     without a time column or without any other fails the read.
     """
-    rows = read_json_rows(spark, paths, WAVEFORM_WRAPPERS)
+    rows = read_json_rows(spark, paths, WAVEFORM_WRAPPERS, lines=lines)
     tokens = F.split("_path", "/")
     sensor = F.lit(sensor_name) if sensor_name else F.element_at(tokens, -2)
     others = F.map_filter("cells", lambda k, _: F.lower(k) != "timestamp")

@@ -87,6 +87,47 @@ def test_nested_objects_are_flattened():
     assert index_files.json_records([{"a": [1]}, {"a": [1, 2]}], ()) == [{"a": 1}, {"a": [1, 2]}]
 
 
+def test_reader_follows_the_rules_for_one_document(spark, tmp_path):
+    """Every shape through the reader, which runs no Python, against the plain rules."""
+    documents = [
+        {"a": {"b": {"c": 1}, "d": [2]}, "e": 3}, {"a": {"b": [1, 2]}, "e": "x"}, {"data": [{"k": 1}, {"k": [1, 2]}]}, {"data": 5, "rows": [[1], "s", None]},
+        [], {}, {"a": []}, {"a": [1, 2, 3], "b": ["x"], "c": []}, {"a": [1, None], "b": 7, "c": {}}, [{"a": [1, 2], "b": "[no list"}], [{"a": True, "b": -1.5, "c": "{no"}],
+        [{"a": {"b": 1}}, 4, "text", None, [5], [6, 7]], {"records": {"a": 1}}, {"table": [], "x": 1}, [{"é": "ü\n\"q\""}],
+    ]
+    cell = lambda v: v if v is None or isinstance(v, str) else json.dumps(v, separators=(",", ":"))
+    for i, content in enumerate(documents):
+        (tmp_path / f"{i:02d}.json").write_text(" \n" * (i % 2) + json.dumps(content), encoding="utf-8")
+    rows = index_files.read_json_rows(spark, str(tmp_path), index_files.INDEX_WRAPPERS)
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in rows.collect():
+        got.setdefault(int(r._path.split("/")[-1][:2]), []).append((r.row_1based, r.cells))
+    for i, content in enumerate(documents):
+        want = [{n: cell(v) for n, v in r.items()} for r in index_files.json_records(content, index_files.INDEX_WRAPPERS)]
+        assert sorted(got.get(i, []), key=lambda p: p[0]) == list(enumerate(want, 1)), content
+
+
+@pytest.mark.parametrize("text", ["3", "{\"a\": ", "no json", " "])
+def test_no_json_fails(spark, tmp_path, text):
+    (tmp_path / "x.json").write_text(text)
+    with pytest.raises(Exception):
+        index_files.read_json_rows(spark, str(tmp_path), index_files.INDEX_WRAPPERS).collect()
+
+
+def test_line_records_are_split_and_numbered(spark, tmp_path):
+    folder = tmp_path / "SET1" / "A"
+    folder.mkdir(parents=True)
+    texts = [json.dumps({"timestamp": f"2022-07-01 00:00:{i % 60:02d}", "A": [i]}) for i in range(4000)]
+    (folder / "f.json").write_text("\n\n".join(texts) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        rows = index_files.read_waveforms(spark, str(folder), lines=True)
+        assert rows.rdd.getNumPartitions() > 1
+        assert sorted((r.row_1based, r.value) for r in rows.collect()) == [(i + 1, float(i)) for i in range(4000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_waveforms_of_many_sensors_in_one_scan(spark, tmp_path):
     for sensor, content in (("A", {"timestamp": ["2022-07-01"], "A": [1]}), ("B", [{"x": 2, "Timestamp": "2022-07-01"}]), ("C", {"rows": [{"timestamp": "2022-07-01", "x": 9, "C": 3}]})):
         (tmp_path / "SET1" / sensor).mkdir(parents=True)
