@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanwave import schema
 from spanwave.functions import times
 from spanwave.operators import events, joins
+from spanwave.sinks import ledger
 
 PARTITIONS = ("set_name", "deck")
 ROWS_PER_FILE = 20_000_000
@@ -93,16 +94,12 @@ def append_new_sensors(incoming: DataFrame, path: str) -> None:
     events.new_sensors(incoming, stored).coalesce(1).write.mode("append").parquet(path)
 
 
-def append_unprocessed(found: DataFrame, build, path: str) -> None:
-    """Run ``build`` on the events that ``path`` does not hold yet and append its rows."""
-    spark = found.sparkSession
-    try:
-        done = spark.read.parquet(path).select("event_id")
-    except Exception as missing:  # nothing processed yet
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        done = found.select("event_id").limit(0)
-    build(events.unprocessed(found, done)).write.mode("append").parquet(path)
+def append_unprocessed(found: DataFrame, build, path: str) -> int:
+    """Run ``build`` on the events that ``path`` does not hold yet and append its rows as one batch.
+
+    The ledger beside the rows tells what is held; see ``ledger``. Returns the number of new events.
+    """
+    return ledger.Ledger(found.sparkSession, path).append(found, build)
 
 
 def export_samples_csv(samples: DataFrame, sensors: Sequence[str], path: str, *, compressed: bool = True) -> None:

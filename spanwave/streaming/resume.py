@@ -21,8 +21,9 @@ def process_new_events(
 ) -> StreamingQuery:
     """Work through the event files that arrived since the last run and stop.
 
-    The source checkpoint skips files, and each batch leaves out events whose id the sink holds, so
-    a repeated file or a batch retried after a failure adds nothing twice.
+    The source checkpoint skips files, and each batch leaves out events whose id the sink's ledger
+    holds, so a repeated file or a batch retried after a failure adds nothing twice; what a failed
+    batch wrote is removed first.
     """
 
     def handle(batch: DataFrame, _: int) -> None:
