@@ -98,6 +98,31 @@ def records_around(records: DataFrame, timestamp: str, **selection) -> DataFrame
     return sensors.join(collapsed, ["set_name", "sensor_name"], "left")
 
 
+def load_events(records: DataFrame, requests: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Load any number of events at once: the sensors of each request with their records, and their waveforms.
+
+    ``requests`` are as for ``events.resolve_event_records``, and may hold ``sensors``, the names to load; NULL
+    loads all that are found. Several records of a sensor are widened into one.
+
+    The first table has one row per (request, sensor) with its record, the number of its files, the rows
+    kept and the rows dropped for want of a usable time; a sensor spread over files cannot be cut out and
+    keeps none. A request that nothing matches has no row. The second table holds the kept rows.
+    """
+    keys = ["request_id", "sensor_name"]
+    found = events.resolve_event_records(records, requests.drop("sensors"))
+    if "sensors" in requests.columns:
+        named = requests.select("request_id", F.col("sensors").alias("_wanted"))
+        listed = F.col("_wanted").isNull() | F.array_contains("_wanted", F.col("sensor_name"))
+        found = found.join(named, "request_id").filter(listed).drop("_wanted")
+    collapsed = events.collapse_records(found, keys)
+    rows = slice_records(collapsed.filter("raw_file_count = 1"), samples)
+    counts = rows.groupBy(*keys).agg(
+        F.count("timestamp_utc").alias("row_count"), F.count_if(F.col("timestamp_utc").isNull()).alias("dropped_rows")
+    )
+    sensors = collapsed.join(counts, keys, "left").fillna(0, ["row_count", "dropped_rows"])
+    return sensors, drop_unparsed(rows)
+
+
 def asof_backward(
     reference: DataFrame,
     target: DataFrame,

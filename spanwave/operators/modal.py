@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spanwave.functions import naming, numbers
 from spanwave.operators import sequence
 from spanwave.operators.sizing import small
-from spanwave.session import cut_lineage
+from spanwave.session import cut_lineage, stage
 
 GROUP = ["set_name", "deck"]
 
@@ -74,6 +74,23 @@ def common_channels(selected: DataFrame) -> DataFrame:
     )
 
 
+def matrix_report(selected: DataFrame, matrices: DataFrame, *, min_rows: int = 2, min_common_events: int = 2) -> DataFrame:
+    """Every selected event with its full rows and why it is left out, NULL if it is used.
+
+    ``matrices`` are those of ``event_matrices`` without limits (``min_rows=1, min_common_events=1``).
+    """
+    keys = [*GROUP, "event_id"]
+    sizes = matrices.groupBy(*keys).agg(F.max("row_count").alias("row_count"))
+    rows = selected.select(*keys).join(sizes, keys, "left")
+    enough = rows.groupBy(*GROUP).agg(F.count_if(F.col("row_count") >= min_rows).alias("_long"))
+    reason = (
+        F.when(F.col("row_count").isNull(), F.lit("no_full_rows"))
+        .when(F.col("row_count") < min_rows, F.lit("too_few_rows"))
+        .when(F.col("_long") < min_common_events, F.lit("too_few_events"))
+    )
+    return rows.join(enough, GROUP).select(*keys, F.coalesce("row_count", F.lit(0)).alias("row_count"), reason.alias("reason"))
+
+
 def event_matrices(
     samples: DataFrame,
     selected: DataFrame,
@@ -109,6 +126,7 @@ def event_matrices(
         .withColumn("values", F.col("_c.value"))
         .drop("_c")
     )
+    full = stage(full)  # numbering and counting read it, so that the samples are read once
     numbered_rows = sequence.ordinal(
         full, [*GROUP, "event_id"], ["sample_index"], "_tile", "row", size="row_count"
     ).filter(F.col("row_count") >= min_rows)

@@ -115,13 +115,15 @@ def package(
     acc_count = channels.agg(F.count_if(F.col("modality") == "acc")).scalar()
     v = F.col("value")
     is_strain = F.col("modality") == "strain"
+    channel = 2 * F.col("model_channel_index") + (F.col("modality") == "acc").cast("int")
     at_peak = F.struct(F.abs(v), -F.col("sample_index"), -F.col("model_channel_index"))
     broken = F.col("modality").isNotNull() & (
         v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
     )
     per_event = samples.join(channels, "sensor_name", "left").groupBy("event_id").agg(
         (F.max("sample_index") + 1).alias("row_count"),
-        F.count_distinct(F.when(F.col("modality").isNotNull(), F.col("sensor_name"))).alias("_have"),
+        # One bit a channel, set inside the tasks: no row per event and sensor is shuffled.
+        F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(channel + 1))).alias("_have"),
         F.max(broken).alias("_broken"),
         F.max_by("sample_index", F.when(is_strain & v.isNotNull(), at_peak)).alias("peak_row"),
     )

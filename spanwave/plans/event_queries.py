@@ -518,6 +518,25 @@ def discarded_event_sensors(spark, folder):
     )
 
 
+# Requests by id, by window or by neither, and what each step of the search finds.
+_RESOLVE = {
+    "requests": "SELECT event_id AS request_id, CASE (day(start_time_utc) % 3) WHEN 0 THEN event_id "
+    "WHEN 1 THEN NULL ELSE 'unknown' END AS event_id, deck, start_time_utc, "
+    "CASE WHEN day(start_time_utc) % 2 = 0 THEN end_time_utc ELSE end_time_utc + INTERVAL 1 SECOND END "
+    "AS end_time_utc, active_sensor_count AS n FROM event_list",
+    "inc": "SELECT * FROM annotated WHERE sensor_status = 'included'",
+    "hits": "SELECT q.request_id, 1 AS kind, r.sensor_name, r.record_uid, r.set_name FROM requests q JOIN inc r USING (event_id) "
+    "UNION ALL SELECT q.request_id, 2, r.sensor_name, r.record_uid, r.set_name FROM requests q JOIN inc r ON q.deck = r.deck "
+    "AND q.start_time_utc = r.event_start_time_utc AND q.end_time_utc = r.event_end_time_utc "
+    "UNION ALL SELECT q.request_id, 3, r.sensor_name, r.record_uid, r.set_name FROM requests q JOIN inc r ON q.deck = r.deck "
+    "AND q.start_time_utc = r.start_time_utc AND r.end_time_utc <= q.end_time_utc",
+    "chosen": "SELECT q.request_id, CASE "
+    "WHEN q.event_id IS NOT NULL AND (SELECT count(DISTINCT sensor_name) FROM hits h WHERE h.request_id = q.request_id AND kind = 1) >= q.n THEN 1 "
+    "WHEN (SELECT count(DISTINCT sensor_name) FROM hits h WHERE h.request_id = q.request_id AND kind = 2) >= greatest(q.n, 1) THEN 2 "
+    "ELSE 3 END AS kind FROM requests q",
+}
+
+
 @query(
     "resolved_event_records",
     with_views(
@@ -525,30 +544,19 @@ def discarded_event_sensors(spark, folder):
         "SELECT c.request_id, q.kind AS step, sensor_name, record_uid FROM hits c JOIN chosen q "
         "ON c.request_id = q.request_id AND c.kind = q.kind)",
         "event_list",
-        extra={
-            "requests": "SELECT event_id AS request_id, CASE (day(start_time_utc) % 3) WHEN 0 THEN event_id "
-            "WHEN 1 THEN NULL ELSE 'unknown' END AS event_id, deck, start_time_utc, "
-            "CASE WHEN day(start_time_utc) % 2 = 0 THEN end_time_utc ELSE end_time_utc + INTERVAL 1 SECOND END "
-            "AS end_time_utc, active_sensor_count AS n FROM event_list",
-            "inc": "SELECT * FROM annotated WHERE sensor_status = 'included'",
-            "hits": "SELECT q.request_id, 1 AS kind, r.sensor_name, r.record_uid FROM requests q JOIN inc r USING (event_id) "
-            "UNION ALL SELECT q.request_id, 2, r.sensor_name, r.record_uid FROM requests q JOIN inc r ON q.deck = r.deck "
-            "AND q.start_time_utc = r.event_start_time_utc AND q.end_time_utc = r.event_end_time_utc "
-            "UNION ALL SELECT q.request_id, 3, r.sensor_name, r.record_uid FROM requests q JOIN inc r ON q.deck = r.deck "
-            "AND q.start_time_utc = r.start_time_utc AND r.end_time_utc <= q.end_time_utc",
-            "chosen": "SELECT q.request_id, CASE "
-            "WHEN q.event_id IS NOT NULL AND (SELECT count(DISTINCT sensor_name) FROM hits h WHERE h.request_id = q.request_id AND kind = 1) >= q.n THEN 1 "
-            "WHEN (SELECT count(DISTINCT sensor_name) FROM hits h WHERE h.request_id = q.request_id AND kind = 2) >= greatest(q.n, 1) THEN 2 "
-            "ELSE 3 END AS kind FROM requests q",
-        },
+        extra=_RESOLVE,
     ),
 )
 def resolved_event_records(spark, folder):
     """Records found again by id, by exact window, or by start, whichever step first suffices."""
     rows = cut_lineage(events.included_records(annotated(spark, folder)))
-    found = events.group_events(rows)
+    resolved = events.resolve_event_records(rows, _requests(rows).drop("active_sensors"))
+    return tidy(resolved.select("request_id", "step", "sensor_name", "record_uid"))
+
+
+def _requests(rows):
     day = F.dayofmonth("start_time_utc")
-    requests = found.select(
+    return events.group_events(rows).select(
         F.col("event_id").alias("request_id"),
         F.when(day % 3 == 0, F.col("event_id")).when(day % 3 == 2, F.lit("unknown")).alias("event_id"),
         "deck",
@@ -557,9 +565,42 @@ def resolved_event_records(spark, folder):
         .otherwise(F.col("end_time_utc") + F.expr("INTERVAL 1 SECOND"))
         .alias("end_time_utc"),
         "active_sensor_count",
+        "active_sensors",
     )
-    resolved = events.resolve_event_records(rows, requests)
-    return tidy(resolved.select("request_id", "step", "sensor_name", "record_uid"))
+
+
+@query(
+    "loaded_events",
+    with_views(
+        "SELECT r.request_id, r.sensor_name, r.files AS raw_file_count, count(s.row_1based) FILTER (s.row_1based % 7 <> 0) AS row_count, "
+        f"count(s.row_1based) FILTER (s.row_1based % 7 = 0) AS dropped_rows, {rnd('coalesce(sum(s.value) FILTER (s.row_1based % 7 <> 0), 0)')} AS value_sum "
+        "FROM one r LEFT JOIN samples s ON r.files = 1 AND r.set_name = s.set_name AND r.sensor_name = s.sensor_name AND r.raw_file = s.raw_file "
+        "AND s.row_1based BETWEEN r.a AND r.b GROUP BY ALL",
+        "event_list",
+        "samples",
+        extra={
+            **_RESOLVE,
+            "one": "SELECT c.request_id, c.sensor_name, count(DISTINCT a.raw_file) AS files, any_value(a.raw_file) AS raw_file, "
+            "any_value(a.set_name) AS set_name, min(a.start_row_1based) AS a, max(a.end_row_1based) AS b FROM hits c "
+            "JOIN chosen q ON c.request_id = q.request_id AND c.kind = q.kind JOIN requests w ON w.request_id = c.request_id "
+            "JOIN inc a ON a.set_name = c.set_name AND a.sensor_name = c.sensor_name AND a.record_uid = c.record_uid "
+            "WHERE day(w.start_time_utc) % 2 = 0 OR c.sensor_name LIKE '%STR' GROUP BY c.request_id, c.sensor_name",
+        },
+    ),
+)
+def loaded_events(spark, folder):
+    """Waveforms of requested events: records resolved, sensors chosen, ranges widened, rows cut out and counted."""
+    rows = cut_lineage(events.included_records(annotated(spark, folder)))
+    strain = F.filter("active_sensors", lambda s: F.endswith(s, F.lit("STR")))
+    sensors = F.when(F.dayofmonth("start_time_utc") % 2 != 0, strain).alias("sensors")
+    requests = _requests(rows).select("*", sensors).drop("active_sensors")
+    clock = F.when(F.col("row_1based") % 7 != 0, F.col("timestamp_utc"))
+    samples = tables.raw_samples(spark, folder).withColumn("timestamp_utc", clock)
+    loaded, waves = joins.load_events(rows, requests, samples)
+    keys = ["request_id", "sensor_name"]
+    sums = waves.groupBy(*keys).agg(F.sum("value").alias("value_sum"))
+    done = loaded.select(*keys, "raw_file_count", "row_count", "dropped_rows").join(sums, keys, "left")
+    return tidy(done.fillna(0.0, ["value_sum"]))
 
 
 @query(

@@ -210,7 +210,7 @@ _PEAKS = {
 }
 
 
-def _modal(spark, folder, min_rows: int = 2):
+def _modal(spark, folder, min_rows: int = 2, min_common_events: int = 2):
     block = times.time_tile(F.col("timestamp_utc"), 172800)
     rows = tables.readings(spark, folder).withColumn(
         "event_id", F.concat_ws("__", "set_name", "deck", block.cast("string"))
@@ -221,7 +221,9 @@ def _modal(spark, folder, min_rows: int = 2):
     )
     selected = cut_lineage(modal.candidate_events(modal.channels_of(event_sensors)))
     channels = modal.common_channels(selected)
-    return event_sensors, selected, channels, modal.event_matrices(waves, selected, channels, min_rows=min_rows)
+    return event_sensors, selected, channels, modal.event_matrices(
+        waves, selected, channels, min_rows=min_rows, min_common_events=min_common_events
+    )
 
 
 @query(
@@ -282,6 +284,22 @@ def event_matrices(spark, folder):
     return tidy(matrices.select("set_name", "deck", "event_id", "row", "row_count", "values"))
 
 
+@query(
+    "modal_event_report",
+    with_views(
+        "SELECT c.set_name, c.deck, c.event_id, coalesce(row_count, 0) AS row_count, CASE WHEN row_count IS NULL THEN 'no_full_rows' "
+        f"WHEN row_count < {SEGMENT} THEN 'too_few_rows' WHEN count(*) FILTER (row_count >= {SEGMENT}) OVER (PARTITION BY c.set_name, c.deck) < 2 "
+        "THEN 'too_few_events' END AS reason FROM chosen c LEFT JOIN (SELECT event_id, count(*) AS row_count FROM full_rows GROUP BY ALL) n USING (event_id)",
+        "readings",
+        extra={k: _MODAL[k] for k in ("days", "waves", "cand", "expect", "chosen", "chan", "full_rows")},
+    ),
+)
+def modal_event_report(spark, folder):
+    """Selected events with their full rows, and why the density below leaves some of them out."""
+    _, selected, _, matrices = _modal(spark, folder, min_rows=1, min_common_events=1)
+    return modal.matrix_report(selected, matrices, min_rows=SEGMENT)
+
+
 def _density(spark, folder):
     _, _, channels, matrices = _modal(spark, folder, min_rows=SEGMENT)
     return channels, modal.spectral_density(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwave.operators import events, joins, tensors
@@ -16,22 +19,23 @@ HALF, MIN_ROWS = 1, 2
 RATE, LOW, HIGH = 100.0, 0.5, 45.0
 
 _CHANNELS = {
-    "sensors": "SELECT sensor_name, min(sensor_order) AS source_sensor_order, split_part(sensor_name, '_', 5) AS quantity, "
+    "sensors": "SELECT sensor_name, split_part(sensor_name, '_', 1) AS deck, min(sensor_order) AS source_sensor_order, split_part(sensor_name, '_', 5) AS quantity, "
     "split_part(sensor_name, '_', 4) AS location, nullif(split_part(sensor_name, '_', 6), '') AS axis "
-    "FROM records WHERE deck = 'OLD' GROUP BY ALL",
+    "FROM records GROUP BY ALL",
     "kinds": "SELECT *, CASE WHEN quantity = 'STR' AND location IN ('INF', 'SUP') THEN 'strain' "
     "WHEN quantity = 'ACC' AND axis = 'Z' THEN 'acc' END AS modality FROM sensors",
-    "channels": "SELECT *, CASE WHEN modality IS NOT NULL THEN row_number() OVER (PARTITION BY modality ORDER BY source_sensor_order, "
+    "channels": "SELECT *, CASE WHEN modality IS NOT NULL THEN row_number() OVER (PARTITION BY deck, modality ORDER BY source_sensor_order, "
     "sensor_name) - 1 END AS idx FROM kinds",
-    "chosen": "SELECT sensor_name, modality, idx FROM channels WHERE modality IS NOT NULL",
+    "chosen": "SELECT deck, sensor_name, modality, idx FROM channels WHERE modality IS NOT NULL",
+    "needs": "SELECT deck, count(*) AS need FROM chosen GROUP BY deck",
 }
-# Event windows of the OLD deck, sensors side by side by sample index; one sensor in some events
+# Event windows of each deck, sensors side by side by sample index; one sensor in some events
 # carries a broken value so that every gate is met.
 _EVENTS = {
     **_CHANNELS,
     "aligned": "SELECT event_id, set_name, deck, window_start, sensor_name, sample_index, row_count, temperature, "
-    "CASE WHEN reading_id % 401 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value - 20 END AS value FROM pos_rows WHERE deck = 'OLD'",
-    "ev": "SELECT DISTINCT event_id, set_name, deck, window_start FROM waveforms WHERE deck = 'OLD'",
+    "CASE WHEN reading_id % 401 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value - 20 END AS value FROM pos_rows",
+    "ev": "SELECT DISTINCT event_id, set_name, deck, window_start FROM waveforms",
     "joined": "SELECT a.*, c.modality, c.idx FROM aligned a JOIN chosen c USING (sensor_name)",
     "stats": "SELECT event_id, count(DISTINCT sensor_name) AS have, bool_or(isnan(value) OR isinf(value)) AS broken, "
     "first(sample_index ORDER BY abs(value) DESC, sample_index, idx) FILTER (modality = 'strain') AS peak_row "
@@ -39,27 +43,33 @@ _EVENTS = {
     "rows": "SELECT event_id, max(sample_index) + 1 AS row_count FROM aligned GROUP BY ALL",
     "judged": "SELECT ev.*, coalesce(r.row_count, 0) AS row_count, s.peak_row, CASE "
     "WHEN coalesce(r.row_count, 0) = 0 THEN 'empty_aligned_event' "
-    "WHEN coalesce(s.have, 0) < 6 THEN 'missing_aligned_columns' WHEN s.broken THEN 'nonfinite_values' "
+    "WHEN coalesce(s.have, 0) < n.need THEN 'missing_aligned_columns' WHEN s.broken THEN 'nonfinite_values' "
     f"WHEN r.row_count < {MIN_ROWS} THEN 'acc_too_short' WHEN r.row_count < {2 * HALF} THEN 'strain_window_out_of_bounds' END AS discard_reason, "
     f"greatest(least(s.peak_row - {HALF}, r.row_count - {2 * HALF}), 0) AS w0 "
-    "FROM ev LEFT JOIN rows r USING (event_id) LEFT JOIN stats s USING (event_id)",
+    "FROM ev LEFT JOIN rows r USING (event_id) LEFT JOIN stats s USING (event_id) JOIN needs n ON n.deck = ev.deck",
     "kept": "SELECT * FROM judged WHERE discard_reason IS NULL",
 }
 
 
-def _channels(spark, folder):
+def _by_deck(spark, folder, build):
+    """One packaging run per deck, its rows under ``deck``; the layout has a few decks."""
+    decks = event_queries.records(spark, folder).select("deck").distinct().collect()
+    return reduce(DataFrame.unionByName, [build(r.deck).withColumn("deck", F.lit(r.deck)) for r in sorted(decks)])
+
+
+def _channels(spark, folder, deck):
     records = event_queries.records(spark, folder)
-    return tensors.channel_map(records.select("sensor_name", "deck", "sensor_order"), decks=["OLD"])
+    return tensors.channel_map(records.select("sensor_name", "deck", "sensor_order"), decks=[deck])
 
 
-def _packaged(spark, folder):
-    waves = tables.waveforms(spark, folder).filter(F.col("deck") == "OLD")
+def _packaged(spark, folder, deck):
+    waves = tables.waveforms(spark, folder).filter(F.col("deck") == deck)
     broken = F.when(F.col("reading_id") % 401 == 0, F.lit(float("nan"))).otherwise(F.col("value") - 20)
     aligned = joins.positional_rows(waves, ["event_id"]).withColumn("value", broken)
     found = waves.groupBy("event_id", "set_name", "deck").agg(
         F.min("window_start").alias("start_time_utc"), F.max("timestamp_utc").alias("end_time_utc")
     )
-    channels = small(cut_lineage(tensors.selected_channels(_channels(spark, folder))))
+    channels = small(cut_lineage(tensors.selected_channels(_channels(spark, folder, deck))))
     packaged = tensors.package(found, aligned, channels, half_window=HALF, min_aligned_samples=MIN_ROWS)
     return aligned, channels, packaged
 
@@ -67,9 +77,9 @@ def _packaged(spark, folder):
 @query(
     "model_channels",
     with_views(
-        "SELECT sensor_name, quantity AS sensor_type, location, coalesce(axis, location) AS axis_or_type, source_sensor_order, "
+        "SELECT deck, sensor_name, quantity AS sensor_type, location, coalesce(axis, location) AS axis_or_type, source_sensor_order, "
         "coalesce(idx, -1) AS model_channel_index, coalesce(CASE modality WHEN 'strain' THEN idx WHEN 'acc' THEN "
-        "idx + (SELECT count(*) FROM kinds WHERE modality = 'strain') END, -1) AS global_model_channel_index, "
+        "idx + (SELECT count(*) FROM kinds k WHERE k.modality = 'strain' AND k.deck = channels.deck) END, -1) AS global_model_channel_index, "
         "CASE modality WHEN 'strain' THEN printf('STR%02d', idx) WHEN 'acc' THEN printf('ACCZ%02d', idx) ELSE '' END AS model_channel_id, "
         "modality IS NOT NULL AS include_flag FROM channels",
         "records",
@@ -77,9 +87,10 @@ def _packaged(spark, folder):
     ),
 )
 def model_channels(spark, folder):
-    """Stable channel numbering of one deck over all sets."""
+    """Stable channel numbering of each deck over all sets."""
     return tidy(
-        _channels(spark, folder).select(
+        _by_deck(spark, folder, lambda deck: _channels(spark, folder, deck)).select(
+            "deck",
             "sensor_name",
             "sensor_type",
             "location",
@@ -97,7 +108,7 @@ def model_channels(spark, folder):
     "channel_coverage",
     with_views(
         "SELECT e.event_id, coalesce(string_agg(c.sensor_name, ',' ORDER BY c.sensor_name) FILTER (p.event_id IS NULL), '') AS missing_sensors, "
-        "count(*) FILTER (p.event_id IS NULL) = 0 AS complete FROM ev e CROSS JOIN chosen c "
+        "count(*) FILTER (p.event_id IS NULL) = 0 AS complete FROM ev e JOIN chosen c ON c.deck = e.deck "
         "LEFT JOIN (SELECT DISTINCT event_id, sensor_name FROM waveforms) p ON p.event_id = e.event_id AND p.sensor_name = c.sensor_name "
         "GROUP BY e.event_id",
         "pos_rows",
@@ -107,8 +118,12 @@ def model_channels(spark, folder):
 )
 def channel_coverage(spark, folder):
     """Which selected channels each event lacks."""
-    waves = tables.waveforms(spark, folder).filter(F.col("deck") == "OLD")
-    return tidy(tensors.coverage(waves, tensors.selected_channels(_channels(spark, folder))))
+    waves = tables.waveforms(spark, folder)
+
+    def build(deck):
+        return tensors.coverage(waves.filter(F.col("deck") == deck), tensors.selected_channels(_channels(spark, folder, deck)))
+
+    return tidy(_by_deck(spark, folder, build).drop("deck"))
 
 
 @query(
@@ -124,7 +139,7 @@ def channel_coverage(spark, folder):
 )
 def packaging_gate(spark, folder):
     """First failing packaging reason and the strain window of kept events."""
-    _, _, packaged = _packaged(spark, folder)
+    packaged = _by_deck(spark, folder, lambda deck: _packaged(spark, folder, deck)[2])
     return packaged.select(
         "event_id",
         "row_count",
@@ -138,18 +153,21 @@ def packaging_gate(spark, folder):
 @query(
     "coverage_tallies",
     with_views(
-        "SELECT count(*) AS retained_events, count(*) FILTER (complete) AS complete_events, "
+        "SELECT deck, count(*) AS retained_events, count(*) FILTER (complete) AS complete_events, "
         "count(*) FILTER (NOT complete) AS incomplete_events, count(*) FILTER (complete AND discard_reason IS NOT NULL) AS packaging_rejected_events, "
-        "count(*) FILTER (complete AND discard_reason IS NULL) AS packaged_events FROM (SELECT j.*, coalesce(s.have, 0) = 6 AS complete "
-        "FROM judged j LEFT JOIN stats s USING (event_id))",
+        "count(*) FILTER (complete AND discard_reason IS NULL) AS packaged_events FROM (SELECT j.*, coalesce(s.have, 0) = n.need AS complete "
+        "FROM judged j LEFT JOIN stats s USING (event_id) JOIN needs n ON n.deck = j.deck) GROUP BY deck",
         "pos_rows",
         "records",
         extra=_EVENTS,
     ),
 )
 def coverage_tallies(spark, folder):
-    aligned, channels, packaged = _packaged(spark, folder)
-    return tensors.coverage_tallies(tensors.coverage(aligned, channels), packaged)
+    def build(deck):
+        aligned, channels, packaged = _packaged(spark, folder, deck)
+        return tensors.coverage_tallies(tensors.coverage(aligned, channels), packaged)
+
+    return _by_deck(spark, folder, build)
 
 
 @query(
@@ -165,31 +183,35 @@ def coverage_tallies(spark, folder):
 )
 def strain_windows(spark, folder):
     """Strain samples around each kept event's peak."""
-    aligned, channels, packaged = _packaged(spark, folder)
-    return tidy(tensors.strain_windows(aligned, packaged, channels))
+
+    def build(deck):
+        aligned, channels, packaged = _packaged(spark, folder, deck)
+        return tensors.strain_windows(aligned, packaged, channels)
+
+    return tidy(_by_deck(spark, folder, build).drop("deck"))
 
 
 _SPECTRA = {
     **_EVENTS,
-    "n_fft": "SELECT max(row_count) AS n FROM kept",
-    "bins": f"SELECT k AS bin, k * {RATE} / n AS hz FROM n_fft, range((SELECT max(row_count) FROM kept)) AS t(k) WHERE k <= n // 2 AND k * {RATE} / n BETWEEN {LOW} AND {HIGH}",
+    "n_fft": "SELECT deck, max(row_count) AS n FROM kept GROUP BY deck",
+    "bins": f"SELECT deck, k AS bin, k * {RATE} / n AS hz FROM n_fft, range((SELECT max(row_count) FROM kept)) AS t(k) WHERE k <= n // 2 AND k * {RATE} / n BETWEEN {LOW} AND {HIGH}",
 }
 
 
 @query(
     "frequency_bins",
     with_views(
-        f"SELECT bin, {rnd('hz')} AS frequency_hz FROM bins", "pos_rows", "records", extra=_SPECTRA
+        f"SELECT deck, bin, {rnd('hz')} AS frequency_hz FROM bins", "pos_rows", "records", extra=_SPECTRA
     ),
 )
 def frequency_bins(spark, folder):
     """Kept bins of the transform as long as the longest kept record."""
-    _, _, packaged = _packaged(spark, folder)
-    return tidy(
-        tensors.frequency_bins(
-            spark, tensors.transform_length(packaged), sampling_rate_hz=RATE, low_hz=LOW, high_hz=HIGH
-        )
-    )
+
+    def build(deck):
+        length = tensors.transform_length(_packaged(spark, folder, deck)[2])
+        return tensors.frequency_bins(spark, length, sampling_rate_hz=RATE, low_hz=LOW, high_hz=HIGH)
+
+    return tidy(_by_deck(spark, folder, build))
 
 
 @query(
@@ -198,7 +220,7 @@ def frequency_bins(spark, folder):
         "SELECT j.event_id, idx AS model_channel_index, bin, "
         "round(sqrt(power(sum(CAST(CAST(value AS FLOAT) AS DOUBLE) * cos(2 * pi() * bin * sample_index / n)), 2) + "
         "power(sum(CAST(CAST(value AS FLOAT) AS DOUBLE) * sin(2 * pi() * bin * sample_index / n)), 2)), 6) + 0.0 AS magnitude "
-        "FROM joined j JOIN kept USING (event_id), bins, n_fft WHERE modality = 'acc' GROUP BY ALL",
+        "FROM joined j JOIN kept USING (event_id) JOIN bins ON bins.deck = j.deck JOIN n_fft ON n_fft.deck = j.deck WHERE modality = 'acc' GROUP BY ALL",
         "pos_rows",
         "records",
         extra=_SPECTRA,
@@ -206,31 +228,31 @@ def frequency_bins(spark, folder):
 )
 def acceleration_spectra(spark, folder):
     """Zero-padded magnitude spectrum of every kept acceleration channel."""
-    aligned, channels, packaged = _packaged(spark, folder)
-    packaged = cut_lineage(packaged)
+
+    def build(deck):
+        aligned, channels, packaged = _packaged(spark, folder, deck)
+        return _spectra(aligned, channels, cut_lineage(packaged))
+
+    return tidy(_by_deck(spark, folder, build).drop("deck"))
+
+
+def _spectra(aligned, channels, packaged):
     kept = packaged.filter("status = 'keep'").select("event_id")
     acc = aligned.join(channels.filter("modality = 'acc'"), "sensor_name").join(kept, "event_id", "left_semi")
-    lines = tensors.spectra(
-        acc,
-        ["event_id", "model_channel_index"],
-        tensors.transform_length(packaged),
-        sampling_rate_hz=RATE,
-        low_hz=LOW,
-        high_hz=HIGH,
-    )
-    return tidy(lines)
+    length = tensors.transform_length(packaged)
+    return tensors.spectra(acc, ["event_id", "model_channel_index"], length, sampling_rate_hz=RATE, low_hz=LOW, high_hz=HIGH)
 
 
 _MODALITIES = {
     **_SPECTRA,
-    "manifest": "SELECT row_number() OVER (ORDER BY set_name, deck, window_start, event_id) - 1 AS row_index, event_id, "
+    "manifest": "SELECT deck, row_number() OVER (PARTITION BY deck ORDER BY set_name, deck, window_start, event_id) - 1 AS row_index, event_id, "
     "row_count AS valid_length, w0 FROM kept",
     "strain": "SELECT event_id, 'strain' AS modality, idx, sample_index - w0 AS position, value "
     f"FROM joined JOIN manifest USING (event_id) WHERE modality = 'strain' AND sample_index >= w0 AND sample_index < w0 + {2 * HALF}",
-    "acc": "SELECT event_id, 'acc' AS modality, idx, bin - (SELECT min(bin) FROM bins) AS position, "
+    "acc": "SELECT event_id, 'acc' AS modality, idx, bin - (SELECT min(bin) FROM bins b WHERE b.deck = j.deck) AS position, "
     "sqrt(power(sum(CAST(CAST(value AS FLOAT) AS DOUBLE) * cos(2 * pi() * bin * sample_index / n)), 2) + "
     "power(sum(CAST(CAST(value AS FLOAT) AS DOUBLE) * sin(2 * pi() * bin * sample_index / n)), 2)) AS value "
-    "FROM joined JOIN manifest USING (event_id), bins, n_fft WHERE modality = 'acc' GROUP BY event_id, idx, bin",
+    "FROM joined j JOIN manifest USING (event_id) JOIN bins ON bins.deck = j.deck JOIN n_fft ON n_fft.deck = j.deck WHERE modality = 'acc' GROUP BY event_id, j.deck, idx, bin",
     "temps": "SELECT event_id, avg(t) AS temperature_mean, count(t) AS temperature_sensor_count FROM "
     "(SELECT event_id, sensor_name, avg(temperature) AS t FROM joined GROUP BY ALL) GROUP BY event_id",
 }
@@ -239,7 +261,7 @@ _MODALITIES = {
 @query(
     "packaged_tensors",
     with_views(
-        "SELECT row_index, event_id, valid_length, modality, idx AS model_channel_index, position, "
+        "SELECT deck, row_index, event_id, valid_length, modality, idx AS model_channel_index, position, "
         "round(CAST(CAST(value AS FLOAT) AS DOUBLE), 3) + 0.0 AS value, "
         f"{rnd('temperature_mean', 8)} AS temperature_mean, temperature_sensor_count "
         "FROM (SELECT * FROM strain UNION ALL SELECT * FROM acc) JOIN manifest USING (event_id) LEFT JOIN temps USING (event_id)",
@@ -249,16 +271,17 @@ _MODALITIES = {
     ),
 )
 def packaged_tensors(spark, folder):
-    """The packed arrays of each modality on the shared event axis, one row per value: strain
+    """The packed arrays of each modality on the event axis of their deck, one row per value: strain
     windows and spectra by their own channels, valid length and temperature of the event."""
-    aligned, channels, packaged = _packaged(spark, folder)
+    long = _by_deck(spark, folder, lambda deck: _tensors_of_deck(*_packaged(spark, folder, deck)))
+    return tidy(long.withColumns({"value": F.col("value").cast("double"), "position": F.col("position").cast("bigint")}), {"value": 3, "temperature_mean": 8})
+
+
+def _tensors_of_deck(aligned, channels, packaged):
     packaged = cut_lineage(packaged)
     keys = ["event_id", "model_channel_index"]
     strain = tensors.pack_arrays(tensors.strain_windows(aligned, packaged, channels), keys, "position", "value", "values")
-    kept = packaged.filter("status = 'keep'").select("event_id")
-    acc = aligned.join(channels.filter("modality = 'acc'"), "sensor_name").join(kept, "event_id", "left_semi")
-    lines = tensors.spectra(acc, keys, tensors.transform_length(packaged), low_hz=LOW, high_hz=HIGH)
-    spectra = tensors.pack_arrays(lines, keys, "bin", "magnitude", "values")
+    spectra = tensors.pack_arrays(_spectra(aligned, channels, packaged), keys, "bin", "magnitude", "values")
     packed = strain.withColumn("modality", F.lit("strain")).unionByName(spectra.withColumn("modality", F.lit("acc")))
     sensors = aligned.groupBy("event_id", "sensor_name").agg(F.avg("temperature").alias("temperature"))
     rows = (
@@ -269,40 +292,43 @@ def packaged_tensors(spark, folder):
         .join(tensors.mean_temperature(sensors, channels), "event_id", "left")
     )
     values = F.posexplode("values").alias("position", "value")
-    long = rows.select(
+    return rows.select(
         "row_index", "event_id", "valid_length", "modality", "model_channel_index", values, "temperature_mean", "temperature_sensor_count"
     )
-    return tidy(long.withColumns({"value": F.col("value").cast("double"), "position": F.col("position").cast("bigint")}), {"value": 3, "temperature_mean": 8})
 
 
 @query(
     "model_manifest",
     with_views(
-        "SELECT row_number() OVER (ORDER BY set_name, deck, window_start, event_id) - 1 AS row_index, event_id, set_name, deck FROM kept",
+        "SELECT row_number() OVER (PARTITION BY deck ORDER BY set_name, deck, window_start, event_id) - 1 AS row_index, event_id, set_name, deck FROM kept",
         "pos_rows",
         "records",
         extra=_EVENTS,
     ),
 )
 def model_manifest(spark, folder):
-    _, _, packaged = _packaged(spark, folder)
-    return tensors.manifest(packaged).select("row_index", "event_id", "set_name", "deck")
+    rows = _by_deck(spark, folder, lambda deck: tensors.manifest(_packaged(spark, folder, deck)[2]))
+    return rows.select("row_index", "event_id", "set_name", "deck")
 
 
 @query(
     "event_temperatures",
     with_views(
         f"SELECT event_id, {rnd('avg(temperature)', 8)} AS temperature_mean, count(temperature) AS temperature_sensor_count "
-        "FROM annotated WHERE deck = 'OLD' AND sensor_name IN (SELECT sensor_name FROM chosen) GROUP BY event_id",
+        "FROM annotated WHERE sensor_name IN (SELECT sensor_name FROM chosen) GROUP BY event_id",
         "annotated",
         extra=_CHANNELS,
     ),
 )
 def event_temperatures(spark, folder):
     """Mean record temperature over an event's model channels."""
-    rows = event_queries.annotated(spark, folder).filter(F.col("deck") == "OLD")
-    table = tensors.mean_temperature(rows, tensors.selected_channels(_channels(spark, folder)))
-    return tidy(table, {"temperature_mean": 8})
+    rows = event_queries.annotated(spark, folder)
+
+    def build(deck):
+        chosen = tensors.selected_channels(_channels(spark, folder, deck))
+        return tensors.mean_temperature(rows.filter(F.col("deck") == deck), chosen)
+
+    return tidy(_by_deck(spark, folder, build).drop("deck"), {"temperature_mean": 8})
 
 
 @query(

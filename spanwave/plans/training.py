@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,6 +79,28 @@ def package(
     }
 
 
+def package_decks(
+    events: DataFrame,
+    event_sensors: DataFrame,
+    aligned_samples: DataFrame,
+    sensors: DataFrame,
+    settings: Settings = Settings(),
+) -> dict[str, DataFrame]:
+    """``package`` of every deck in ``settings``, or else of the sensor table, as one run.
+
+    Each deck has its own channel numbers, event axis and transform length; every table tells the deck
+    its rows belong to. The decks are read from the sensor dimension, which has a few.
+    """
+    decks = settings.decks or [r.deck for r in sensors.select("deck").distinct().orderBy("deck").collect()]
+    runs = [
+        (deck, package(events, event_sensors, aligned_samples, sensors, replace(settings, decks=(deck,)))) for deck in decks
+    ]
+    return {
+        name: reduce(DataFrame.unionByName, [run[name].withColumn("deck", F.lit(deck)) for deck, run in runs])
+        for name in runs[0][1]
+    }
+
+
 def prepare(
     inputs: dict[str, DataFrame],
     *,

@@ -14,12 +14,13 @@ RUNTIME_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # A join may use a partitioning by some of its keys, such as that of a bucketed stage table.
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # Rows that reach Python carry whole blocks of samples, so batches must stay short.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
 }
 
+#: Whether a join asks for a partitioning by all of its keys.
+CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every plan in this package relies on.
@@ -88,8 +89,9 @@ def stage_bucketed(
 ) -> DataFrame:
     """As ``stage``, in buckets of ``keys``: later groups, windows and joins on them (and more) need no shuffle.
 
-    One shuffle, to one file a bucket; none for rows already ``dealt`` by the keys. The number of
-    buckets is that of the session's shuffle partitions.
+    One shuffle, to one file a bucket; none for rows already ``dealt`` by the keys, whose plan may then
+    join on the keys and more without a shuffle. The number of buckets is that of the session's shuffle
+    partitions.
     """
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -100,7 +102,12 @@ def stage_bucketed(
     writer = writer.bucketBy(buckets, *keys)
     if order:
         writer = writer.sortBy(*order)
-    writer.saveAsTable(name)
+    before = spark.conf.get(CO_PARTITION)
+    spark.conf.set(CO_PARTITION, "false" if dealt else before)
+    try:
+        writer.saveAsTable(name)
+    finally:
+        spark.conf.set(CO_PARTITION, before)
     return _staged(spark, spark.table(name), path)
 
 

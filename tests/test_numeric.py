@@ -124,6 +124,17 @@ def fdd_samples(spark, hz, channels, events=2, seconds=40, second=None):
     ).withColumn("tile", F.floor(F.col("sample_index") / 500))
 
 
+def test_report_names_what_is_left_out(spark):
+    rows = [("e1", i, float(i)) for i in range(9)] + [("e2", i, float(i)) for i in range(3)]
+    matrices = spark.createDataFrame(rows, "event_id string, row long, v double").selectExpr(
+        "'S' AS set_name", "'NEW' AS deck", "event_id", "row", "count(*) OVER (PARTITION BY event_id) AS row_count"
+    )
+    selected = spark.createDataFrame([("S", "NEW", e) for e in ("e1", "e2", "e3")], "set_name string, deck string, event_id string")
+    report = lambda least: {r.event_id: (r.row_count, r.reason) for r in modal.matrix_report(selected, matrices, min_rows=least).collect()}
+    assert report(2) == {"e1": (9, None), "e2": (3, None), "e3": (0, "no_full_rows")}
+    assert report(5) == {"e1": (9, "too_few_events"), "e2": (3, "too_few_rows"), "e3": (0, "no_full_rows")}
+
+
 def test_decomposition_finds_the_mode(spark):
     samples = fdd_samples(spark, 3.2, 4, second=11.0)
     bridge = samples.select("set_name", "deck", "event_id", "sensor_name").distinct().withColumns(

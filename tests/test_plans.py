@@ -143,6 +143,46 @@ def test_model_inputs(done, month):
     assert ready["temperature_scaling"].first()["std"] == 1.0
 
 
+def test_model_inputs_of_every_deck(done, month):
+    """One run over all decks equals a run a deck; each deck numbers its own channels."""
+    sensors = events.add_sensor_order(month[0]).select("sensor_name", "deck", "sensor_order")
+    other = sensors.withColumns({"sensor_name": F.regexp_replace("sensor_name", "^OLD", "NEW"), "deck": F.lit("NEW")})
+    tables = [done[n] for n in ("events", "event_sensors", "aligned_samples")]
+    settings = training.Settings(half_window=50, min_aligned_samples=500)
+    both = training.package_decks(*tables, sensors.union(other), settings)
+    assert {(r.deck, r.n) for r in both["sensor_map"].groupBy("deck").agg(F.max("model_channel_index").alias("n")).collect()} == {("NEW", 3), ("OLD", 3)}
+    alone = training.package(*tables, sensors, settings)
+    assert {r.event_id for r in both["manifest"].collect()} == {r.event_id for r in alone["manifest"].collect()}
+    assert {r.deck: r.packaged_events for r in both["summary"].collect()} == {"NEW": 0, "OLD": 2}
+
+
+def test_samples_are_dealt_once(month):
+    """Alignment reads the bucketed stage table; only summaries a tile are shuffled after it."""
+    import re
+
+    from spanwave.operators import align
+
+    run = preprocess.Run(*month, preprocess.Settings(acc_filter="none"), slots=8)
+    plan = align.align(run.conditioned, 8)._jdf.queryExecution().executedPlan().toString()
+    assert "default.stage_" in plan
+    below = re.findall(r"Exchange hashpartitioning\((.*?)\).*\n.*?(\w+Aggregate|Generate|Project|Scan)", plan)
+    assert below and all("tile" not in keys for keys, _ in below)
+
+
+def test_events_are_loaded_by_request(spark, month):
+    from spanwave.operators import joins
+
+    records, samples = month
+    found = events.assign_event_groups(events.add_sensor_order(records), "shared_start")
+    named = events.group_events(found).withColumn("request_id", F.col("event_id"))
+    asked = named.select("request_id", "event_id", "deck", "start_time_utc", "end_time_utc", "active_sensor_count", F.array(F.lit(SENSORS[0]), F.lit(SENSORS[5])).alias("sensors"))
+    clock = F.when(F.col("row_1based") % 100 != 1, F.col("timestamp_utc"))
+    table, rows = joins.load_events(found, asked, samples.withColumn("timestamp_utc", clock))
+    got = sorted((r.sensor_name, r.row_count, r.dropped_rows) for r in table.collect())
+    assert got == [(SENSORS[0], 594, 6)] * 3 + [(SENSORS[5], 594, 6)] * 2
+    assert rows.count() == 594 * 5
+
+
 def test_bundle(month):
     tables = bundle.build(*month)
     assert tables["sensor_layout"].count() == 8 and tables["event_groups"].count() == 3
