@@ -223,4 +223,4 @@ def timestamp_query(
     )
     zeroed = conditioning.zero_waveforms(cut_lineage(indexed), [KEY, "sensor_name"], method=zeroing)
     slotted = zeroed.join(sensors.select(KEY, "sensor_name", "slot"), [KEY, "sensor_name"])
-    return aligned_long(align(slotted, slots), sensors)
+    return aligned_long(align(slotted, slots), sensors, keep=("set_name", "deck"))

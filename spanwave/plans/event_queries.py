@@ -76,7 +76,7 @@ def sensor_metadata(spark, folder):
     with_views(
         "SELECT set_name AS dataset, sensor_name, 'TABLE_' || sensor_name || '_' || "
         "regexp_extract(set_name, '(SET[0-9]+)_', 1) || '.json' AS table_file, "
-        "count(raw_file) > 0 AS sensor_dir_exists FROM records GROUP BY ALL",
+        "NOT (set_name LIKE 'SPAN!_SET3!_%' ESCAPE '!' AND sensor_name LIKE 'NEW!_%' ESCAPE '!') AS sensor_dir_exists FROM records GROUP BY ALL",
         "records",
     ),
 )
@@ -89,7 +89,9 @@ def sensor_catalogue(spark, folder):
         F.col("set_name").alias("dataset"),
         F.concat_ws("_", F.lit("TABLE"), "sensor_name", naming.set_label(F.col("set_name"))).alias("stem"),
     ).distinct()
-    observed = rows.select(F.col("set_name").alias("dataset"), "sensor_name").distinct()
+    # The raw files of one deck of a set stand for files that were lost.
+    lost = F.startswith("set_name", F.lit("SPAN_SET3_")) & F.startswith("sensor_name", F.lit("NEW_"))
+    observed = rows.filter(~lost).select(F.col("set_name").alias("dataset"), "sensor_name").distinct()
     return index_files.catalogue(files.select("dataset", F.concat("stem", F.lit(".json")).alias("table_file")), observed)
 
 
@@ -474,7 +476,7 @@ def event_sensor_rows(spark, folder):
             "duration",
             "temperature",
             "is_reference",
-        ).orderBy("event_id", "sensor_order", "sensor_name"),
+        ).repartition("event_id").sortWithinPartitions("event_id", "sensor_order", "sensor_name"),
         {"temperature": 8},
     )
 

@@ -301,41 +301,39 @@ def records_around_timestamp(spark, folder):
 
 QUERY_SLOTS = 6
 _TIMESTAMP_EXTRA = {
-    "chosen": "SELECT DISTINCT set_name, sensor_name FROM records WHERE deck = 'NEW' AND sensor_name LIKE '%STR' "
-    "AND set_name = 'SPAN_SET2_2024_01'",
+    "chosen": "SELECT DISTINCT set_name, sensor_name FROM records WHERE deck = 'NEW' AND sensor_name LIKE '%STR'",
     "slotted": "SELECT set_name, sensor_name, row_number() OVER (PARTITION BY set_name ORDER BY sensor_name) - 1 AS slot FROM chosen",
-    "sig": "SELECT w.sensor_name, slot, w.timestamp_utc, sample_index AS idx, "
+    "sig": "SELECT set_name, w.sensor_name, slot, w.timestamp_utc, sample_index AS idx, "
     "CASE WHEN steps = 0 THEN 0.0 ELSE value - (v0 + (v1 - v0) * sample_index / steps) END AS value "
     "FROM (SELECT *, first_value(value) OVER k AS v0, last_value(value) OVER k AS v1, count(*) OVER k - 1 AS steps, "
     "max(timestamp_utc) OVER k AS ends FROM waveforms WINDOW k AS (PARTITION BY event_id, sensor_name ORDER BY sample_index "
     "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) w JOIN slotted USING (set_name, sensor_name) "
     f"WHERE window_start < TIMESTAMP '{event_queries.PROBE}' AND ends > TIMESTAMP '{event_queries.PROBE}'",
-    "r0": "SELECT timestamp_utc AS ts, idx FROM sig WHERE slot = 0",
+    "r0": "SELECT set_name, timestamp_utc AS ts, idx FROM sig WHERE slot = 0",
 }
 for _k in range(1, QUERY_SLOTS):
     _TIMESTAMP_EXTRA[f"r{_k}"] = (
-        f"SELECT ts, idx FROM (SELECT *, lead(ts) OVER (ORDER BY ts, idx) AS nx FROM r{_k - 1}) r "
-        f"WHERE NOT EXISTS (SELECT 1 FROM sig WHERE slot = {_k}) OR EXISTS (SELECT 1 FROM sig s WHERE s.slot = {_k} "
-        "AND s.timestamp_utc >= r.ts AND (r.nx IS NULL OR s.timestamp_utc < r.nx))"
+        f"SELECT set_name, ts, idx FROM (SELECT *, lead(ts) OVER (PARTITION BY set_name ORDER BY ts, idx) AS nx FROM r{_k - 1}) r "
+        f"WHERE NOT EXISTS (SELECT 1 FROM sig s WHERE s.set_name = r.set_name AND s.slot = {_k}) OR EXISTS (SELECT 1 FROM sig s WHERE s.slot = {_k} "
+        "AND s.set_name = r.set_name AND s.timestamp_utc >= r.ts AND (r.nx IS NULL OR s.timestamp_utc < r.nx))"
     )
 
 
 @query(
     "timestamp_query",
     with_views(
-        f"SELECT t.sensor_name, c.sample_index, {iso('c.ts')} AS timestamp_utc, "
-        f"{rnd('(SELECT arg_min(s.value, s.timestamp_utc) FROM sig s WHERE s.slot = t.slot AND s.timestamp_utc >= c.ts)', 9)} AS value "
-        f"FROM (SELECT *, row_number() OVER (ORDER BY ts, idx) - 1 AS sample_index FROM r{QUERY_SLOTS - 1}) c, slotted t",
+        f"SELECT t.set_name, t.sensor_name, c.sample_index, {iso('c.ts')} AS timestamp_utc, "
+        f"{rnd('(SELECT arg_min(s.value, s.timestamp_utc) FROM sig s WHERE s.set_name = t.set_name AND s.slot = t.slot AND s.timestamp_utc >= c.ts)', 9)} AS value "
+        f"FROM (SELECT *, row_number() OVER (PARTITION BY set_name ORDER BY ts, idx) - 1 AS sample_index FROM r{QUERY_SLOTS - 1}) c JOIN slotted t ON t.set_name = c.set_name",
         "waveforms",
         "records",
         extra=_TIMESTAMP_EXTRA,
     ),
 )
 def timestamp_query(spark, folder):
-    """Select, slice, zero and align the sensors of one deck around one moment."""
-    records = event_queries.records(spark, folder).filter(F.col("set_name") == "SPAN_SET2_2024_01")
+    """Select, slice, zero and align the sensors of one deck around one moment, in every set that covers it."""
     found = align.timestamp_query(
-        records,
+        event_queries.records(spark, folder),
         tables.raw_samples(spark, folder),
         event_queries.PROBE,
         deck="NEW",
@@ -343,7 +341,7 @@ def timestamp_query(spark, folder):
         slots=QUERY_SLOTS,
         tile_seconds=TILE,
     )
-    return tidy(found.select("sensor_name", "sample_index", "timestamp_utc", "value"), {"value": 9})
+    return tidy(found.select("set_name", "sensor_name", "sample_index", "timestamp_utc", "value"), {"value": 9})
 
 
 @query(
