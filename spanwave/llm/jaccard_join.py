@@ -22,7 +22,7 @@ from functools import lru_cache, partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
@@ -36,6 +36,7 @@ SWAP = 8  # postings that a look-up with one deletion must spare for each postin
 BLOCK_ROWS = 1024
 BLOCK_BYTES = 16 << 20
 MAX_SENT = 1_000_000  # rows that may be sent to all tasks; more are joined
+MAX_ENTRIES = 8_000_000  # entries of arrays likewise
 MEMO_WORDS = 150_000
 NEVER = 1 << 40  # a cost beyond all others
 
@@ -328,9 +329,14 @@ def _join_components(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]}, dtype="int64")
 
 
-def sent(df: DataFrame) -> DataFrame:
-    """``df``, to be sent to all tasks if its rows are few; it must be staged."""
-    return F.broadcast(df) if df.count() <= MAX_SENT else df
+def sent(df: DataFrame, entries: Column | None = None) -> DataFrame:
+    """``df``, to be sent to all tasks if it is small; it must be staged.
+
+    Small is at most ``MAX_SENT`` rows, of fixed width, or entries of the arrays in its rows; an entry takes
+    16 bytes at most.
+    """
+    held = df.agg(F.coalesce(F.sum(F.lit(1) if entries is None else entries + 1), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= (MAX_SENT if entries is None else MAX_ENTRIES) else df
 
 
 def _lists(sets: DataFrame) -> DataFrame:
@@ -344,7 +350,7 @@ def _lists(sets: DataFrame) -> DataFrame:
     )
     costs = posted.join(shared, "key").groupBy("cid").agg(F.collect_set(F.struct("key", "found")).alias("k"))
     costs = stage(costs.select("cid", F.col("k.key").alias("keys"), F.col("k.found").alias("counts")))
-    given = sets.join(sent(costs), "cid").select("cid", "codes", "keys", "counts")
+    given = sets.join(sent(costs, F.size("keys")), "cid").select("cid", "codes", "keys", "counts")
     fields = "key long, cid long, looks boolean, one boolean, two boolean"
     rows = stage(given.mapInArrow(_allocate, fields))
     lists = rows.select("key", "cid", "looks")

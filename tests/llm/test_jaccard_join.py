@@ -91,6 +91,7 @@ def test_documents_match_all_pairs(spark):
 
 def test_without_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "MAX_SENT", 0)
+    monkeypatch.setattr(jaccard_join, "MAX_ENTRIES", 0)
     made = made_rows(3)[:120]
     same(jaccard_join.jaccard_components(spark.createDataFrame(made, "doc_id long, text string")).collect(), brute(made))
 
