@@ -276,7 +276,7 @@ def common_channels(spark, folder):
 
 @query(
     "event_matrices",
-    with_views("SELECT set_name, deck, event_id, row, row_count, string_agg(CAST(value AS VARCHAR), ',' ORDER BY channel_index) AS \"values\" FROM mat GROUP BY ALL", "readings", extra={k: v for k, v in _MODAL.items() if k not in ("seg", "hann", "z", "g", "pair", "curve")}),
+    with_views("SELECT set_name, deck, event_id, row, row_count, string_agg(CAST(value AS VARCHAR), ',' ORDER BY channel_index) AS \"values\" FROM mat JOIN ev USING (set_name, deck) WHERE event_count >= 2 GROUP BY ALL", "readings", extra={k: v for k, v in _MODAL.items() if k not in ("seg", "hann", "z", "g", "pair", "curve")}),
 )
 def event_matrices(spark, folder):
     """Channel matrices of the selected events without gappy rows."""
