@@ -2,7 +2,8 @@
 
 The vocabulary is a file of ranks, read on the driver and broadcast (its size is that of the file,
 bounded by ``MAX_VOCABULARY``). Each pre-token is looked up whole; only those outside the vocabulary
-are merged: a heap of adjacent pairs over a doubly linked list of byte pieces.
+are merged: a heap of adjacent pairs over a doubly linked list of byte pieces, whose ranks are read
+from a plain table.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from xxhash import xxh3_64_intdigest
 from spanwave.llm.storage import Batches, as_bytes, list_of, packed, quoted, unpacked, with_fields
 
 MAX_VOCABULARY = 2_000_000
+MAX_ID = 1 << 24
 BUCKET = 4  # keys a bucket of the perfect hash holds on average
 MASK, LOW = (1 << 64) - 1, (1 << 32) - 1
 STEP, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd multipliers of the slot hash
@@ -90,6 +92,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
     """A file of lines ``base64 rank``."""
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, filter(bytes.strip, lines))}
+    if not all(0 <= rank < MAX_ID for rank in ranks.values()):
+        raise ValueError(f"ranks in {path} must be at least 0 and below {MAX_ID}")
     if not 0 < len(ranks) <= MAX_VOCABULARY:
         raise ValueError(f"{len(ranks)} tokens in {path}; at most {MAX_VOCABULARY}, at least one")
     missing = 256 - sum(bytes([b]) in ranks for b in range(256))
@@ -109,7 +113,11 @@ class Vocabulary:
         self.ids = [0] * len(words)
         for word, slot in zip(words, self.hash.order.tolist(), strict=True):
             self.words[slot], self.ids[slot] = word, ranks[word]
-        self.by_id = {i: w for w, i in ranks.items()}
+        self.ranks = ranks
+        spelled: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+        for word, i in ranks.items():
+            spelled[i] = word
+        self.spelled = pa.array(spelled, pa.large_binary())  # by id
 
     def rank(self, word: bytes) -> int | None:
         slot = self.hash.slot(word)
@@ -121,30 +129,17 @@ def pack(ids: list[int]) -> bytes:
     return array("i", ids).tobytes()
 
 
-class Pieces(dict):
-    """Ranks of parts of words by the perfect hash, -1 for none; remembers within a bound."""
-
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, piece: bytes) -> int:
-        found = self.vocabulary.rank(piece)
-        found = -1 if found is None else found
-        if len(piece) <= MEMO_BYTES:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[piece] = found
-        return found
-
-
 class Coder(dict):
     """Words to the bytes of their 32-bit ids; remembers what it has worked out, within a bound."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
         self.vocabulary = vocabulary
-        self.pieces = Pieces(vocabulary)
+        self.known = vocabulary.ranks.get
+        self.two = [-1] * (1 << 16)  # ranks of all pairs of bytes
+        for word, rank in vocabulary.ranks.items():
+            if len(word) == 2:
+                self.two[word[0] << 8 | word[1]] = rank
         self.split = regex.compile(vocabulary.pattern).findall
 
     def __missing__(self, word: str) -> bytes:
@@ -162,33 +157,31 @@ class Coder(dict):
 
         A heap entry packs rank, start and end of a possible join into one number.
         """
-        rank, n = self.pieces.__getitem__, len(raw)
+        known, two, n = self.known, self.two, len(raw)
         bits = n.bit_length()
         mask = (1 << bits) - 1
         end = list(range(1, n + 1))  # end[i]: where the piece that starts at i stops; 0 once joined to its left
-        before = list(range(-1, n - 1))
+        before = list(range(-1, n))
         heap = [
-            (r << bits | i) << bits | i + 2 for i in range(n - 1) if (r := rank(raw[i : i + 2])) >= 0
+            (r << bits | i) << bits | i + 2 for i, (a, b) in enumerate(zip(raw, raw[1:])) if (r := two[a << 8 | b]) >= 0
         ]
         heapify(heap)
         while heap:
             entry = heappop(heap)
             stop, i = entry & mask, entry >> bits & mask
             middle = end[i]
-            if not middle or middle >= n or end[middle] != stop:
+            if not middle or middle == n or end[middle] != stop:
                 continue  # one of the two pieces has grown since
             end[i], end[middle] = stop, 0
-            if stop < n:
-                before[stop] = i
-                after = end[stop]
-                if (r := rank(raw[i:after])) >= 0:
-                    heappush(heap, ((r << bits | i) << bits) | after)
+            before[stop] = i
+            if stop < n and (r := known(raw[i : end[stop]], -1)) >= 0:
+                heappush(heap, (r << bits | i) << bits | end[stop])
             left = before[i]
-            if left >= 0 and (r := rank(raw[left:stop])) >= 0:
-                heappush(heap, ((r << bits | left) << bits) | stop)
+            if left >= 0 and (r := known(raw[left:stop], -1)) >= 0:
+                heappush(heap, (r << bits | left) << bits | stop)
         ids, i = [], 0
         while i < n:
-            ids.append(rank(raw[i : end[i]]))
+            ids.append(known(raw[i : end[i]]))
             i = end[i]
         return ids
 
@@ -210,15 +203,19 @@ def _encode(batches: Batches, shared) -> Batches:
 
 
 def _decode(batches: Batches, shared) -> Batches:
-    words = shared.value.by_id.__getitem__
+    spelled = shared.value.spelled
     for batch in batches:
         column = batch.column(batch.num_columns - 1)
-        ids, cut = column.flatten().to_pylist(), column.value_lengths().fill_null(0).to_pylist()
-        texts, at = [], 0
-        for length in cut:
-            texts.append(b"".join(map(words, ids[at : at + length])))
-            at += length
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
+        words = spelled.take(column.flatten())
+        if words.null_count:
+            raise ValueError("an id outside the vocabulary")
+        # The words lie one after another, so a text is cut out of them by its first and last offset.
+        cut = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())])
+        offsets = np.frombuffer(words.buffers()[1], np.int64)[cut] if len(words) else np.zeros(len(cut), np.int64)
+        texts = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), batch.num_rows, [None, pa.py_buffer(offsets), words.buffers()[2] or pa.py_buffer(b"")]
+        )
+        yield pa.RecordBatch.from_arrays([*batch.columns, texts.cast(pa.binary())], [*batch.schema.names, "decoded"])
 
 
 def load(spark, path: str, pattern: str):
