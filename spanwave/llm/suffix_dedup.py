@@ -10,7 +10,7 @@ smaller start); every byte of a repeated string goes.
    in units with equal cores. A Bloom pair over cores lets only units through whose core may repeat.
 3. Equal units: all but the first are repeated throughout.
 4. Different units with one core are brought together. Each task takes them core by core in
-   groups of a few shards, sorts the suffixes of each shard and takes its transform. The shards of a
+   groups of a few shards, cuts off the ends where no string has the hash of another place's, sorts the suffixes of each shard and takes its transform. The shards of a
    group are merged by refining their interleave: after h rounds it is right for the first h bytes,
    and the round in which a boundary first shows gives the common prefix. After ``length`` rounds
    the intervals without a boundary are the repeated strings; suffixes are never sorted again.
@@ -127,7 +127,7 @@ def units(texts: list[bytes], length: int, rolling: Rolling) -> Iterator[tuple]:
         anchor = (sliding_min(ordered, width) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
         first = np.arange(len(anchor), dtype=np.int64)  # starts of strings
         begins = np.concatenate([[0], ends[:-1]])
-        part = np.searchsorted(ends, first, side="right")
+        part = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[: len(anchor)]
         inside = first + length <= ends[part]
         first, anchor, part = first[inside], anchor[inside], part[inside]
         if not len(first):
@@ -273,6 +273,28 @@ def merge(text: np.ndarray, cuts: np.ndarray, length: int) -> tuple[np.ndarray,
     return sorted_suffixes[row], common
 
 
+def worth_merging(bodies: list[bytes], length: int, rolling: Rolling) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The parts of ``bodies`` that may hold a repeated string: body, offset in it, bytes.
+
+    A part reaches from the first to the last string of a body whose hash another place has too.
+    """
+    raw = np.frombuffer(b"".join(bodies), np.uint8)
+    ends = np.cumsum([len(b) for b in bodies])
+    body = np.repeat(np.arange(len(bodies)), np.diff(ends, prepend=0))
+    start = np.flatnonzero(np.arange(length, len(raw) + length) <= ends[body])
+    hashes = rolling.runs(rolling.sums(raw), start, start + length)
+    order = np.argsort(hashes)
+    equal = hashes[order[1:]] == hashes[order[:-1]]
+    twice = np.zeros(len(start), bool)
+    twice[order[1:]] = equal
+    twice[order[:-1]] |= equal
+    start = start[twice]
+    of, first, counts = np.unique(body[start], return_index=True, return_counts=True)
+    starts, stops = start[first], start[first + counts - 1] + length
+    whole = raw.tobytes()
+    return of, starts - (ends - np.diff(ends, prepend=0))[of], [whole[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+
+
 def repeated(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All strings that two or more places of ``bodies`` hold: interval number, body, offset of each place."""
     sizes = np.array([len(b) + 1 for b in bodies], np.int64)
@@ -324,17 +346,22 @@ def groups(batches: Batches) -> Iterator[pa.Table]:
 
 def _compare(batches: Batches, length: int) -> Batches:
     """Places of repeated strings in the units of a task, but the first place of each."""
+    rolling = Rolling()
     for table in groups(batches):
-        if (rows := later_places(table, length)) is not None:
+        if (rows := later_places(table, length, rolling)) is not None:
             yield rows
 
 
-def later_places(table: pa.Table, length: int) -> pa.RecordBatch | None:
+def later_places(table: pa.Table, length: int, rolling: Rolling) -> pa.RecordBatch | None:
     if table.num_rows < 2:
         return None
-    interval, body, offset = repeated(table.column("bytes").to_pylist(), length)
+    of, shift, parts = worth_merging(table.column("bytes").to_pylist(), length, rolling)
+    if not parts:
+        return None
+    interval, part, offset = repeated(parts, length)
     if not len(interval):
         return None
+    body, offset = of[part], offset + shift[part]
     owners = table.column("owner").combine_chunks()
     known = owners.dictionary_encode()
     ranks = pc.rank(known.dictionary, sort_keys="ascending", tiebreaker="dense").to_numpy(zero_copy_only=False)
