@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
+from spanwave.llm.storage import distinct
+
 PROBES = 3
 MIN_BITS = 1 << 16
 MAX_BITS = 1 << 30  # 128 MB, the most a task holds
@@ -49,9 +51,7 @@ def pair_rows(hashes: np.ndarray, bits: int) -> pd.DataFrame:
     values, counts = np.unique(hashes, return_counts=True)
     parts = []
     for chosen in (values, values[counts > 1]):
-        where = positions(chosen, bits).astype(np.uint32).ravel()
-        where.sort()  # far cheaper than np.unique, which hashes
-        where = where[np.diff(where, prepend=where[:1] + np.uint32(1)) != 0]
+        where = distinct(positions(chosen, bits).astype(np.uint32))
         offset = where & np.uint32(width - 1)
         cut = np.searchsorted(where, np.arange(bits // width + 1) * width)
         parts.append([offset[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)])

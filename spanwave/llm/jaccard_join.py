@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from spanwave.llm.components import components
-from spanwave.llm.storage import Batches, as_bytes, discard, quoted, stage
+from spanwave.llm.storage import Batches, as_bytes, discard, distinct, quoted, stage
 
 WORDS = 3
 PERCENT = 90  # of the union that the intersection must have
@@ -72,7 +72,7 @@ def shingles(text: bytes, memo: WordHashes) -> np.ndarray:
     total = np.full(n, width, np.uint64)
     for i in range(width):
         total += hashed[i : i + n] * PLACES[i]
-    return np.unique(mixed(total))
+    return distinct(mixed(total))
 
 
 def differences(sizes: int | np.ndarray) -> int | np.ndarray:

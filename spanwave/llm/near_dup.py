@@ -26,7 +26,7 @@ from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from spanwave.llm import bloom
 from spanwave.llm.components import components
-from spanwave.llm.storage import Batches, as_bytes, list_of, numbers, quoted, stage
+from spanwave.llm.storage import Batches, as_bytes, distinct, list_of, numbers, quoted, stage
 
 WORDS = 5
 PERCENT = 75  # of the union that the intersection must have
@@ -67,7 +67,7 @@ def shingles(text: bytes, memo: WordHashes) -> np.ndarray:
     total ^= total >> np.uint64(32)
     total *= np.uint64(0xD6E8FEB86659FD93)
     total ^= total >> np.uint64(29)
-    return np.unique(total)
+    return distinct(total)
 
 
 def signature(codes: np.ndarray) -> np.ndarray:
