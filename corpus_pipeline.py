@@ -1,6 +1,8 @@
 """Corpus preparation: language, repeated lines, near copies, benchmark leaks, tokens.
 
-``STAGES`` are run in order, each over all that the stage before kept. Every stage but the last
+``STAGES`` are run in order, each over all that the stage before kept, written as Parquet and read
+again. No stage needs ids that differ: repeated rows are treated alike, unless a stage says which of
+equal rows stays. Rows without an id are copies of nothing and hold nothing, so they stay if their language does. Every stage but the last
 returns the columns of ``documents``; a null text counts as empty, and all other columns pass as they
 are.
 """
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanwave import session
 from spanwave.llm import bpe, decontaminate, language_id, line_dedup, near_dup
-from spanwave.llm.storage import quoted
+from spanwave.llm.storage import quoted, stage
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +62,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = session.prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for _, step in STAGES:
-        docs = step(spark, docs, sf_dir)
-    return docs
+    for _, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir))
+    _, step = STAGES[-1]
+    return step(spark, docs, sf_dir)
