@@ -292,8 +292,9 @@ def finite_counts(values: DataFrame, keys: Sequence[str]) -> DataFrame:
 def split_counts(n: int, fractions: Sequence[float]) -> list[int]:
     """How many of ``n`` events each part gets: whole shares, then one more by largest remainder.
 
-    Of equal remainders the later part comes first. The first part takes one event from the next
-    that has any, should it come out empty.
+    Of equal remainders the later part comes first; shares are doubles, so remainders level on paper may
+    differ in the last digit. The first part takes one event from the next that has any, should it come
+    out empty.
     """
     check_fractions(fractions)
     shares = [f * n for f in fractions]

@@ -400,7 +400,23 @@ _DRAWN = "SELECT event_id, row_number() OVER (ORDER BY md5(event_id || '2026'),
 _SPLIT = _split_sql("CAST(n * 7 // 10 AS BIGINT)", "CAST(n * 2 // 10 AS BIGINT)")
 
 
-@query("event_split", with_views(_SPLIT, "tensors", extra={"drawn": _DRAWN}))
+# Largest remainders at any number of events, with the shares as doubles like ``tensors.split_counts``; of equal
+# remainders the later part comes first. With 0.7 the first part is never empty.
+_PARTS = {
+    "shares": "SELECT part, n, fraction * n AS share, floor(fraction * n) AS whole FROM (VALUES (0, CAST('0.7' AS DOUBLE)), "
+    "(1, CAST('0.2' AS DOUBLE)), (2, CAST('0.1' AS DOUBLE))) AS t(part, fraction), (SELECT count(*) AS n FROM tensors)",
+    "sizes": "SELECT part, whole + CASE WHEN row_number() OVER (ORDER BY share - whole DESC, part DESC) <= n - sum(whole) OVER () "
+    "THEN 1 ELSE 0 END AS size FROM shares",
+    "edges": "SELECT sum(size) FILTER (part = 0) AS train, sum(size) FILTER (part <= 1) AS validation FROM sizes",
+    "drawn": _DRAWN,
+}
+_EVENT_SPLIT = (
+    "SELECT event_id, draw, CASE WHEN draw < train THEN 'train' WHEN draw < validation THEN 'validation' "
+    "ELSE 'test' END AS split FROM drawn, edges"
+)
+
+
+@query("event_split", with_views(_EVENT_SPLIT, "tensors", extra=_PARTS))
 def event_split(spark, folder):
     """Seeded train/validation/test split with largest-remainder counts."""
     assigned = tensors.split_events(tables.tensors(spark, folder).select("event_id"))
