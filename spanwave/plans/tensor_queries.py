@@ -428,7 +428,7 @@ def event_split(spark, folder):
     with_views(
         "SELECT split, count(*) AS event_count FROM s GROUP BY split",
         "tensors",
-        extra={"drawn": _DRAWN, "s": _SPLIT},
+        extra={**_PARTS, "s": _EVENT_SPLIT},
     ),
 )
 def split_manifest(spark, folder):

@@ -50,7 +50,7 @@ def split_folders(duck, tmp_path_factory):
     return root
 
 
-@pytest.mark.parametrize("name", ["event_split"])
+@pytest.mark.parametrize("name", ["event_split", "split_manifest"])
 def test_splits_match_sql_with_remainders(spark, split_folders, name):
     for n in SPLIT_SIZES:
         folder = f"{split_folders}/{n}"
